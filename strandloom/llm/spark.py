@@ -4,11 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+#: Rows of texts, shingle sets or encoded blocks in one Arrow batch: bounds what a Python worker holds.
+ARROW_ROWS = 1000
+
+
+def bound_batches(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
+    """df, with the session's Arrow batches held to so many rows (a smaller setting stays)."""
+    conf = df.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
 
 
 def cut(df: DataFrame) -> DataFrame:
