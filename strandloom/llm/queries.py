@@ -30,9 +30,30 @@ def op4_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op7_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_avi_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import text_media
+
+    return text_media(table(spark, sf_dir, "documents"))
+
+
+def op10_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import language_predictions
+
+    return language_predictions(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_vector_bin_packing": op4_vector_bin_packing,
+    "op7_nb_ngram_toxicity": op7_nb_ngram_toxicity,
+    "op8_avi_media_columns": op8_avi_media_columns,
+    "op10_cross_parsing_language": op10_cross_parsing_language,
 }
 
 SQL: dict[str, str] = {}
