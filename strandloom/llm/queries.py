@@ -30,6 +30,12 @@ def op4_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op6_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_scores
 
@@ -51,6 +57,7 @@ def op10_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_vector_bin_packing": op4_vector_bin_packing,
+    "op6_site_style_tree": op6_site_style_tree,
     "op7_nb_ngram_toxicity": op7_nb_ngram_toxicity,
     "op8_avi_media_columns": op8_avi_media_columns,
     "op10_cross_parsing_language": op10_cross_parsing_language,
