@@ -30,6 +30,12 @@ def op4_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract_main_text
 
@@ -48,6 +54,12 @@ def op8_avi_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
 
 
+def op9_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import language_model_scores
+
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import language_predictions
 
@@ -57,9 +69,11 @@ def op10_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_vector_bin_packing": op4_vector_bin_packing,
+    "op5_template_decontamination": op5_template_decontamination,
     "op6_site_style_tree": op6_site_style_tree,
     "op7_nb_ngram_toxicity": op7_nb_ngram_toxicity,
     "op8_avi_media_columns": op8_avi_media_columns,
+    "op9_hidden_markov_scores": op9_hidden_markov_scores,
     "op10_cross_parsing_language": op10_cross_parsing_language,
 }
 
