@@ -9,6 +9,7 @@ is cut.  Each task packs what it reads, with a pool of bounded size, so nothing
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -20,47 +21,79 @@ from pyspark.sql import functions as F
 from .spark import bound_batches
 from .textops import chunks
 
-#: Words whose ids are kept in a worker; the table is emptied when it is full.
-KNOWN_WORDS = 300_000
+#: Words, and pieces of words, whose ids are kept in a worker; a full table is emptied.
+KNOWN_WORDS, KNOWN_PIECES = 500_000, 500_000
 #: Examples among which a bin chooses, and the most token bytes they hold together.
 POOL, POOL_BYTES = 256, 16 << 20
 
 _encoders: dict[tuple, object] = {}
 
 
-class WordEncoder:
+#: A run of letters and then ASCII punctuation without an apostrophe.
+SIMPLE = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class WordEncoder(dict):
     """Ids (little-endian uint32 bytes) of white-space separated words, each word encoded once.
 
     For tokenizers that drop white space: the ids of a text are those of its words in turn.
+    A word is normalised and split by the tokenizer's own parts, and pieces go to its model.
+    Where probes show that the tokenizer lower-cases and splits letters from punctuation over
+    bytes, words of Latin letters take these two steps here.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words - self.known.keys())
-        if not new:
-            return
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known = {}
-            new = list(words)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self.pieces: dict[str, bytes] = {}
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        # byte b as the model sees it: printable Latin-1 characters stay, the others follow U+0100 in turn
+        stay = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+        rest = [b for b in range(256) if b not in set(stay)]
+        self.as_model = {b: 0x100 + i for i, b in enumerate(rest)}
+        probes = ("AbC,.!", "\u00c9t\u00c9\u00df\u00f1", "x#%&*")
+        self.simple = all(self._split_simple(p) == self._split(p) for p in probes)
+
+    def _split(self, word: str) -> list[str]:
+        t = self.tokenizer
+        word = t.normalizer.normalize_str(word) if t.normalizer else word
+        return [p for p, _ in t.pre_tokenizer.pre_tokenize_str(word)] if t.pre_tokenizer else [word]
+
+    def _split_simple(self, word: str) -> list[str] | None:
+        m = SIMPLE.fullmatch(word)
+        if not m or max(word) >= "\u0130" or not m[1].isalpha():
+            return None
+        parts = [m[1].lower(), m[2]] if m[2] else [m[1].lower()]
+        return parts if word.isascii() else [p.encode().decode("latin-1").translate(self.as_model) for p in parts]
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= KNOWN_PIECES:
+                self.pieces.clear()
+            ids = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], dtype="<u4").tobytes()
+        return ids
+
+    def __missing__(self, raw: bytes) -> bytes:
+        word = raw.decode("utf-8", "replace")
+        parts = self._split_simple(word) if self.simple else None
+        if parts is not None:
+            ids = b"".join(map(self._piece, parts))
+        elif any(x in word for x in self.special):
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        else:
+            ids = b"".join(map(self._piece, self._split(word)))
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[raw] = ids
+        return ids
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        seen: set[bytes] = set()
-        for words in split:
-            seen.update(words)
-        self.learn(seen)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        get = self.__getitem__
+        return [b"".join(map(get, t.split())) for t in texts]
 
 
 def encoder(path: str) -> WordEncoder:
