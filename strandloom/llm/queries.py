@@ -24,6 +24,19 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All batches over the whole table; the rollup's folder is temporary, its totals are few rows."""
+    import uuid
+
+    from .rollup import TokenRollup, document_rollup
+    from .spark import cut, shared_folder
+
+    rollup = TokenRollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    out = cut(document_rollup(rollup, table(spark, sf_dir, "documents")))
+    rollup.drop()
+    return out
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -75,6 +88,7 @@ def op10_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_token_rollups": op3_token_rollups,
     "op4_vector_bin_packing": op4_vector_bin_packing,
     "op5_template_decontamination": op5_template_decontamination,
     "op6_site_style_tree": op6_site_style_tree,
@@ -84,4 +98,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_cross_parsing_language": op10_cross_parsing_language,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_token_rollups": r"""
+        WITH kept AS (
+            SELECT source, lang, coalesce(text, '') AS t FROM documents
+            QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) = 1
+        ), counted AS (
+            SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n FROM kept
+            UNION ALL
+            SELECT source, lang, 'pieces-1', len(regexp_extract_all(t, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) FROM kept
+        )
+        SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
+        FROM counted GROUP BY source, lang, tokenizer
+    """,
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Rows of texts, shingle sets or encoded blocks in one Arrow batch: bounds what a Python worker holds.
@@ -20,12 +20,11 @@ def bound_batches(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
     return df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder of spark.checkpoint.dir, so that a lost executor loses nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
 
     Only where the setting is missing (tests on one machine) is a local folder used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,4 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             where = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(where)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder, so that a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
