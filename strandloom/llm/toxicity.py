@@ -20,7 +20,7 @@ from .textops import BASE, BASE_INV, CHUNK_BYTES, U, chunks, mix64, powers, scal
 
 SIZES = (4, 5, 6)
 #: Bounds of the fit: labelled rows per class, features, and the least z of a feature.
-TOXIC_ROWS, CLEAN_ROWS, MAX_FEATURES, MIN_DOCS, MIN_Z = 3000, 6000, 50_000, 3, 4.0
+TOXIC_ROWS, CLEAN_ROWS, MAX_FEATURES, MIN_DOCS, MIN_Z = 2000, 4000, 10_000, 3, 4.0
 STEPS, RATE, L2 = 300, 0.05, 2e-4
 THRESHOLD = 0.7
 
@@ -149,12 +149,12 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Model:
         for batch in batches:
             y = batch.column(1).to_pylist()
             for lo, hi, data, offs in chunks(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(y[lo:hi], type=pa.int32()), pa.array([f.tolist() for f in look.rows(data, offs)], type=pa.list_(pa.int32()))], names=["toxic", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array(y[lo:hi], type=pa.int32()), pa.array([f.astype(np.int32).tobytes() for f in look.rows(data, offs)], type=pa.binary())], names=["toxic", "found"])
 
-    seen = sample.mapInArrow(presence, "toxic int, found array<int>").toPandas()
-    y = seen["toxic"].to_numpy(dtype=float)
-    cols = np.concatenate([np.asarray(f, dtype=np.int64) for f in seen["found"]] + [np.zeros(0, np.int64)])
-    rows_of = np.repeat(np.arange(len(y)), [len(f) for f in seen["found"]])
+    seen = sample.mapInArrow(presence, "toxic int, found binary").collect()
+    y = np.array([r["toxic"] for r in seen], dtype=float)
+    cols = np.frombuffer(b"".join(r["found"] for r in seen), dtype=np.int32)
+    rows_of = np.repeat(np.arange(len(y), dtype=np.int32), [len(r["found"]) // 4 for r in seen])
     coef, bias = _logistic(rows_of, cols, ratio, y)
     return Model(grams, coef * ratio, bias)
 
