@@ -1,10 +1,444 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine, and for each the SQL that gives the same rows on the same tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+from ..operators import intervals as I
+from ..operators import kmers as K
+from ..operators import partition as P
+from ..operators import pileup as PU
+from ..operators.filters import ReadFilter, SomaticFilter, insufficient_normal
+from . import joint, views
+from .somatic import annotate_known, somatic_standard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+R, L, SEQ_D, SEQ_B = views.REGIONS, views.LOCI, views.seqs_sql("documents", "doc_id"), views.seqs_sql("benchmark", "item_id")
+PILE = views.PILE_SQL
+
+
+def coverage_sql(hw: int = 0, source: str = "regions") -> str:
+    return f"""cov AS (
+    SELECT contig, locus, count(*) AS depth, CAST(sum(CASE WHEN locus = greatest("start" - {hw}, 0) THEN 1 ELSE 0 END) AS BIGINT) AS starts
+    FROM {source}, unnest(range(greatest("start" - {hw}, 0), "end" + {hw})) AS u(locus) GROUP BY contig, locus
+)"""
+
+
+LOCI_COVERAGE = """hit AS (
+    SELECT r.rid, r.contig, x AS locus FROM regions r JOIN loci l ON r.contig = l.contig AND greatest(r."start" - 3, 0) < l."end" AND r."end" + 3 > l."start",
+        unnest(range(greatest(r."start" - 3, 0, l."start"), least(r."end" + 3, l."end"))) AS u(x)
+), firsts AS (SELECT *, min(locus) OVER (PARTITION BY rid) AS first FROM hit)"""
+
+
+# coverage and depth
+
+@query(f"WITH {R}, {coverage_sql()} SELECT * FROM cov")
+def coverage(spark, d):
+    return I.coverage(views.regions(spark, d))
+
+
+@query(f"WITH {R}, {coverage_sql()} SELECT * FROM cov")
+def coverage_exploded(spark, d):
+    return I.coverage_exploded(views.regions(spark, d))
+
+
+@query(f"WITH {R}, {coverage_sql(5)} SELECT * FROM cov")
+def coverage_half_window(spark, d):
+    return I.coverage(views.regions(spark, d), half_window=5)
+
+
+@query(f"WITH {R}, {L}, {LOCI_COVERAGE} SELECT contig, locus, count(*) AS depth, CAST(sum(CASE WHEN locus = first THEN 1 ELSE 0 END) AS BIGINT) AS starts FROM firsts GROUP BY contig, locus")
+def coverage_loci(spark, d):
+    return I.coverage(views.regions(spark, d), half_window=3, loci=views.loci(spark))
+
+
+@query(f"""WITH {R}, {coverage_sql()}, t AS (
+    SELECT *, depth <= 120 AS valid, CASE WHEN (depth <= 120) = lag(depth <= 120) OVER (PARTITION BY contig ORDER BY locus) THEN 0 ELSE 1 END AS turn FROM cov
+), r AS (SELECT *, sum(turn) OVER (PARTITION BY contig ORDER BY locus) AS run FROM t)
+SELECT contig, CAST(run AS BIGINT) AS run, min(locus) AS "start", max(locus) + 1 AS "end", count(*) AS loci, valid FROM r GROUP BY contig, run, valid""")
+def depth_runs(spark, d):
+    return I.depth_runs(I.coverage(views.regions(spark, d)), 120)
+
+
+@query(f"WITH {R}, {coverage_sql()} SELECT depth <= 120 AS valid, count(*) AS loci FROM cov GROUP BY 1")
+def valid_loci_counts(spark, d):
+    return I.valid_loci_counts(I.coverage(views.regions(spark, d)), 120)
+
+
+@query(f'WITH {R} SELECT contig, max("end") AS length FROM regions GROUP BY contig')
+def contig_lengths(spark, d):
+    return I.contig_lengths(views.regions(spark, d))
+
+
+@query(f'WITH {R}, {L} SELECT rid, contig, "start", "end" FROM regions r WHERE EXISTS (SELECT 1 FROM loci l WHERE l.contig = r.contig AND r."start" < l."end" AND r."end" > l."start")')
+def interval_semi_join(spark, d):
+    return I.overlapping(views.regions(spark, d).select("rid", "contig", "start", "end"), views.loci(spark))
+
+
+@query(f"""WITH {R}, m AS (
+    SELECT *, max("end") OVER (PARTITION BY contig ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM regions
+), g AS (SELECT *, sum(CASE WHEN high IS NULL OR "start" > high THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT contig, min("start") AS "start", max("end") AS "end" FROM g GROUP BY contig, run""")
+def merged_intervals(spark, d):
+    return I.merge_intervals(views.regions(spark, d))
+
+
+WINDOW_SQL = """SELECT l.contig, l.locus, count(*) AS n_regions, sum(r."end" - r."start") AS total_length
+FROM (SELECT contig, unnest(range("start", "end", 10)) AS locus FROM loci) l JOIN regions r ON r.contig = l.contig AND r."start" <= l.locus + 7 AND r."end" > l.locus - 7 GROUP BY 1, 2"""
+
+
+@query(f"WITH {R}, {L} SELECT contig, locus, n_regions, CAST(total_length AS BIGINT) AS total_length FROM ({WINDOW_SQL})")
+def sliding_window(spark, d):
+    spots = views.loci(spark).select("contig", F.explode(F.sequence("start", F.col("end") - 1, F.lit(10))).alias("locus"))
+    near = I.window_regions(views.regions(spark, d), spots, 7)
+    return near.groupBy("contig", "locus").agg(F.count(F.lit(1)).alias("n_regions"), F.sum(F.col("end") - F.col("start")).alias("total_length"))
+
+
+@query(f"WITH {R}, {L} SELECT contig, locus, sample_id, count(*) AS n_regions FROM regions r JOIN (SELECT contig AS c, unnest(range(\"start\", \"end\")) AS locus FROM loci) l ON r.contig = l.c AND r.\"start\" <= locus AND r.\"end\" > locus GROUP BY ALL")
+def samples_at_loci(spark, d):
+    spots = views.loci(spark).select("contig", F.explode(F.sequence("start", F.col("end") - 1)).alias("locus"))
+    return I.window_regions(views.regions(spark, d), spots, 0).groupBy("contig", "locus", "sample_id").agg(F.count(F.lit(1)).alias("n_regions"))
+
+
+# partitioning
+
+UNIFORM = """n AS (SELECT sum("end" - "start") AS total FROM spans), step AS (SELECT greatest(1.0, total / {p}.0) AS s FROM n),
+cum AS (SELECT *, sum("end" - "start") OVER (ORDER BY contig, "start") - ("end" - "start") AS c0 FROM spans),
+edges AS (SELECT k, CAST(floor(k * s + 0.5) AS BIGINT) AS lo, CASE WHEN k = {p} - 1 THEN (SELECT total FROM n) ELSE CAST(floor((k + 1) * s + 0.5) AS BIGINT) END AS hi FROM step, unnest(range(0, {p})) AS u(k)),
+parts AS (SELECT contig, CAST("start" + greatest(c0, lo) - c0 AS BIGINT) AS "start", CAST("start" + least(c0 + "end" - "start", hi) - c0 AS BIGINT) AS "end", CAST(k AS INTEGER) AS "partition"
+          FROM cum JOIN edges ON lo < c0 + "end" - "start" AND hi > c0)"""
+SPANS = 'spans AS (SELECT contig, CAST(0 AS BIGINT) AS "start", max("end") AS "end" FROM regions GROUP BY contig)'
+
+
+def _spans(regions: DataFrame) -> DataFrame:
+    return I.contig_lengths(regions).select("contig", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"))
+
+
+@query(f"WITH {R}, {SPANS}, {UNIFORM.format(p=16)} SELECT * FROM parts")
+def uniform_partition(spark, d):
+    return P.uniform(_spans(views.regions(spark, d)), 16)
+
+
+@query(f"WITH {R}, {SPANS}, {UNIFORM.format(p=200)} SELECT \"partition\", count(DISTINCT rid) AS regions FROM parts p JOIN regions r ON r.contig = p.contig AND r.\"start\" < p.\"end\" AND r.\"end\" > p.\"start\" GROUP BY 1")
+def micro_region_counts(spark, d):
+    regions = views.regions(spark, d)
+    return P.micro_counts(regions, P.uniform(_spans(regions), 200))
+
+
+@query()
+def micro_region_partition(spark, d):
+    regions = views.regions(spark, d)
+    return P.micro_region(regions, _spans(regions), 8, accuracy=25)
+
+
+@query()
+def capped_partition(spark, d):
+    return P.capped(views.regions(spark, d), None, 2000)
+
+
+@query(f"WITH {R}, {SPANS}, {UNIFORM.format(p=16)} SELECT DISTINCT rid, \"partition\" FROM parts p JOIN regions r ON r.contig = p.contig AND r.\"start\" < p.\"end\" + 4 AND r.\"end\" > greatest(p.\"start\" - 4, 0)")
+def read_partition_copies(spark, d):
+    regions = views.regions(spark, d)
+    return P.partition_copies(regions, P.uniform(_spans(regions), 16), half_window=4).select("rid", "partition")
+
+
+@query(f"""WITH {R}, {SPANS}, {UNIFORM.format(p=16)}, c AS (SELECT DISTINCT rid, "partition" FROM parts p JOIN regions r ON r.contig = p.contig AND r."start" < p."end" AND r."end" > p."start"),
+n AS (SELECT rid, count(*) AS copies FROM c GROUP BY rid) SELECT copies, count(*) AS regions FROM n GROUP BY copies""".replace("n AS (SELECT rid", "nn AS (SELECT rid").replace("FROM n GROUP BY copies", "FROM nn GROUP BY copies"))
+def partition_copy_histogram(spark, d):
+    regions = views.regions(spark, d)
+    return P.partition_stats(P.partition_copies(regions, P.uniform(_spans(regions), 16)))[0]
+
+
+# reads
+
+@query(f"""WITH {R} SELECT sample_id, count(*) AS n_all, count(*) FILTER (WHERE is_mapped) AS n_mapped, count(*) FILTER (WHERE NOT is_duplicate AND NOT failed_qc AND is_paired) AS n_default,
+    count(*) FILTER (WHERE NOT is_duplicate AND NOT failed_qc AND is_paired AND is_mapped AND mapq >= 30) AS n_strict, count(*) FILTER (WHERE NOT is_mapped OR mapq >= 30) AS n_mapq FROM regions GROUP BY sample_id""")
+def read_filters(spark, d):
+    loose = {"include_duplicates": True, "include_failed_qc": True, "include_single_end": True}
+    return views.regions(spark, d).groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("n_all"), F.count_if(ReadFilter(**loose, only_mapped=True).predicate()).alias("n_mapped"), F.count_if(ReadFilter().predicate()).alias("n_default"),
+        F.count_if(ReadFilter(only_mapped=True, min_mapq=30).predicate()).alias("n_strict"), F.count_if(ReadFilter(**loose, min_mapq=30).predicate()).alias("n_mapq"),
+    )
+
+
+@query("""SELECT event_id, list_sum(q) AS total, q[1] AS first, len(q) AS n FROM (SELECT event_id, list_transform(string_split(props, ''), lambda c: ord(c) - 33) AS q FROM events)""".replace("list_sum(q)", "CAST(list_sum(q) AS BIGINT)").replace("q[1] AS first", "CAST(q[1] AS INTEGER) AS first").replace("len(q) AS n", "CAST(len(q) AS INTEGER) AS n"))
+def base_quality_decode(spark, d):
+    q = views.table(spark, d, "events").select("event_id", S.base_qualities(F.col("props"), F.length("props")).alias("q"))
+    return q.select("event_id", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.element_at("q", 1).alias("first"), F.size("q").alias("n"))
+
+
+@query(f"""WITH {SEQ_B}, {views.READS}, o AS (SELECT read_id, cigar, regexp_extract_all(cigar, '(\\d+)([MIDNSHP=X])', 1) AS n, regexp_extract_all(cigar, '(\\d+)([MIDNSHP=X])', 2) AS c FROM reads)
+SELECT read_id, CAST(list_sum(list_transform(range(1, len(n) + 1), lambda i: CASE WHEN c[i] IN ('M', 'D', 'N', '=', 'X') THEN CAST(n[i] AS INTEGER) ELSE 0 END)) AS INTEGER) AS reference_length,
+CAST(list_sum(list_transform(range(1, len(n) + 1), lambda i: CASE WHEN c[i] IN ('M', 'I', 'S', '=', 'X') THEN CAST(n[i] AS INTEGER) ELSE 0 END)) AS INTEGER) AS read_length,
+CASE WHEN c[1] IN ('S', 'H') THEN CAST(n[1] AS INTEGER) ELSE 0 END AS clipped FROM o""")
+def cigar_parse(spark, d):
+    ops = S.cigar_elements(F.col("cigar"))
+    return views.reads(spark, d).select("read_id", S.reference_length(ops).alias("reference_length"), S.read_length(ops).alias("read_length"), S.clipped_before(ops).alias("clipped"))
+
+
+# sequences
+
+@query(f"WITH {SEQ_B} SELECT id, reverse(translate(sequence, 'ACGT', 'TGCA')) AS reverse_complement, regexp_matches(sequence, '^[ACGT]*$') AS standard FROM seqs")
+def reverse_complement(spark, d):
+    s = views.seqs(spark, d, "benchmark", "item_id")
+    return s.select("id", S.reverse_complement(F.col("sequence")).alias("reverse_complement"), S.is_standard(F.col("sequence")).alias("standard"))
+
+
+KMERS = "kmers AS (SELECT substr(sequence, CAST(i AS INTEGER), 8) AS kmer, count(*) AS n FROM seqs, unnest(range(1, greatest(length(sequence) - 6, 2))) AS u(i) WHERE sequence <> '' GROUP BY 1)"
+
+
+@query(f"WITH {SEQ_D}, {KMERS} SELECT * FROM kmers WHERE n >= 3")
+def kmer_count(spark, d):
+    return K.kmer_counts(views.seqs(spark, d, "documents", "doc_id"), 8, 3)
+
+
+@query(f"WITH {SEQ_B}, {KMERS} SELECT a.kmer AS source, b.kmer AS target FROM kmers a JOIN kmers b ON substr(a.kmer, 2) = substr(b.kmer, 1, 7) WHERE length(a.kmer) = 8 AND length(b.kmer) = 8")
+def kmer_edges(spark, d):
+    return K.kmer_edges(K.kmer_counts(views.seqs(spark, d, "benchmark", "item_id"), 8), 8)
+
+
+@query(f"""WITH {SEQ_B}, {KMERS}, e AS (SELECT a.kmer AS s, b.kmer AS t FROM kmers a JOIN kmers b ON substr(a.kmer, 2) = substr(b.kmer, 1, 7) WHERE length(a.kmer) = 8 AND length(b.kmer) = 8)
+SELECT parents, children, count(*) AS nodes FROM (SELECT kmer, (SELECT count(*) FROM e WHERE t = kmer) AS parents, (SELECT count(*) FROM e WHERE s = kmer) AS children FROM kmers) GROUP BY 1, 2""")
+def kmer_degrees(spark, d):
+    kmers = K.kmer_counts(views.seqs(spark, d, "benchmark", "item_id"), 8)
+    return K.sources_and_sinks(kmers, K.kmer_edges(kmers, 8)).groupBy("parents", "children").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+# pileups
+
+@query(f"WITH {PILE} SELECT read_id, contig, locus, aln_type, \"ref\", alt, CAST(qual AS INTEGER) AS qual, read_pos FROM pile")
+def pileup_elements(spark, d):
+    return views.pile(spark, d).select("read_id", "contig", "locus", "aln_type", "ref", "alt", "qual", "read_pos")
+
+
+@query(f"WITH {PILE} SELECT sample_id, contig, locus, count(*) AS depth, count(*) FILTER (WHERE is_positive_strand) AS positive_depth, count(*) FILTER (WHERE \"ref\" = alt) AS reference_depth, array_to_string(list_sort(list(DISTINCT \"ref\" || '>' || alt)), ',') AS alleles FROM pile GROUP BY ALL")
+def pileup_depth(spark, d):
+    return PU.pileup_depths(views.pile(spark, d)).withColumn("alleles", F.array_join("alleles", ","))
+
+
+@query(f"WITH {PILE} SELECT sample_id, contig, locus, \"ref\", alt, count(*) AS n, count(*) FILTER (WHERE is_positive_strand) AS n_positive FROM pile GROUP BY ALL")
+def allele_counts(spark, d):
+    return PU.allele_counts(views.pile(spark, d))
+
+
+@query(f"""WITH {PILE}, m AS (SELECT sample_id, read_id, count(*) FILTER (WHERE aln_type = 'Mismatch') AS mismatches FROM pile GROUP BY ALL)
+SELECT sample_id, mismatches, count(*) AS n_reads FROM m GROUP BY ALL""")
+def read_mismatches(spark, d):
+    return PU.mismatches_per_read(views.pile(spark, d)).groupBy("sample_id", "mismatches").agg(F.count(F.lit(1)).alias("n_reads"))
+
+
+VAF = f"{PILE}, vafs AS (SELECT sample_id, contig, locus, CAST(CAST(count(*) - count(*) FILTER (WHERE \"ref\" = alt) AS FLOAT) / CAST(count(*) AS FLOAT) AS FLOAT) AS vaf, count(*) AS depth FROM pile GROUP BY sample_id, contig, locus HAVING count(*) FILTER (WHERE \"ref\" = alt) <> count(*))"
+
+
+@query(f"WITH {VAF} SELECT sample_id, contig, locus, vaf FROM vafs WHERE depth >= 5")
+def vaf_loci(spark, d):
+    return PU.vaf_loci(views.pile(spark, d), min_depth=5)
+
+
+@query(f"""WITH {VAF}, b AS (SELECT sample_id, CAST(trunc(vaf * CAST(100 AS FLOAT)) AS INTEGER) AS p FROM vafs)
+SELECT sample_id, p - p % 5 AS bin, least(p - p % 5 + 5, 100) AS bin_end, count(*) AS num_loci FROM b GROUP BY 1, 2, 3""")
+def vaf_histogram(spark, d):
+    return PU.vaf_histogram(PU.vaf_loci(views.pile(spark, d)), 20)
+
+
+@query()
+def vaf_mixture(spark, d):
+    from .vaf import gaussian_mixture
+
+    return gaussian_mixture(PU.vaf_loci(views.pile(spark, d)), 3)
+
+
+@query(f"""WITH {VAF}, s AS (SELECT sample_id, vaf, row_number() OVER (PARTITION BY sample_id ORDER BY vaf) AS i, count(*) OVER (PARTITION BY sample_id) AS n FROM vafs),
+q AS (SELECT sample_id, n, p, greatest(1, least(n, p * (n + 1))) AS pos FROM (SELECT DISTINCT sample_id, n FROM s), (VALUES (0.25), (0.5), (0.75)) v(p)),
+x AS (SELECT q.sample_id, p, round(a.vaf + (pos - floor(pos)) * (b.vaf - a.vaf), 6) AS v FROM q JOIN s a ON a.sample_id = q.sample_id AND a.i = floor(pos) JOIN s b ON b.sample_id = q.sample_id AND b.i = least(floor(pos) + 1, q.n))
+SELECT sample_id, max(CASE WHEN p = 0.25 THEN v END) AS p25, max(CASE WHEN p = 0.5 THEN v END) AS p50, max(CASE WHEN p = 0.75 THEN v END) AS p75 FROM x GROUP BY sample_id""")
+def vaf_statistics(spark, d):
+    from .vaf import statistics
+
+    s = statistics(PU.vaf_loci(views.pile(spark, d)))
+    return s.select("sample_id", *(F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")))
+
+
+GENO = f"""{PILE}, alleles AS (SELECT DISTINCT sample_id, contig, locus, "ref", alt FROM pile WHERE regexp_matches(alt, '^[ACGT]*$')),
+geno AS (SELECT a.sample_id, a.contig, a.locus, a."ref" AS r1, a.alt AS a1, b."ref" AS r2, b.alt AS a2, a."ref" || '>' || a.alt || '/' || b."ref" || '>' || b.alt AS genotype_id
+         FROM alleles a JOIN alleles b ON a.sample_id = b.sample_id AND a.contig = b.contig AND a.locus = b.locus AND (a."ref", a.alt) <= (b."ref", b.alt)),
+lik AS (SELECT sample_id, contig, locus, genotype_id, sum(ln(0.5 * CASE WHEN p."ref" = r1 AND p.alt = a1 THEN 1 - pow(10.0, -p.qual / 10.0) ELSE pow(10.0, -p.qual / 10.0) END
+            + 0.5 * CASE WHEN p."ref" = r2 AND p.alt = a2 THEN 1 - pow(10.0, -p.qual / 10.0) ELSE pow(10.0, -p.qual / 10.0) END)) AS ll FROM geno JOIN pile p USING (sample_id, contig, locus) GROUP BY ALL)"""
+
+
+@query(f"WITH {GENO} SELECT sample_id, contig, locus, genotype_id, round(ll, 6) AS ln_likelihood FROM lik")
+def genotype_likelihood(spark, d):
+    pile = views.pile(spark, d)
+    return PU.genotype_likelihoods(pile, PU.diploid_genotypes(pile)).withColumn("ln_likelihood", F.round("ln_likelihood", 6))
+
+
+@query(f"WITH {GENO}, b AS (SELECT *, row_number() OVER (PARTITION BY sample_id, contig, locus ORDER BY round(ll, 6) DESC, genotype_id) AS i FROM lik) SELECT sample_id, contig, locus, genotype_id FROM b WHERE i = 1")
+def best_genotype(spark, d):
+    pile = views.pile(spark, d)
+    lik = PU.genotype_likelihoods(pile, PU.diploid_genotypes(pile))
+    w = W.partitionBy(*PU.SITE).orderBy(F.desc(F.round("ln_likelihood", 6)), "genotype_id")
+    return lik.withColumn("i", F.row_number().over(w)).filter("i = 1").select(*PU.SITE, "genotype_id")
+
+
+@query(f"""WITH {PILE}, m AS (SELECT sample_id, read_id, count(*) FILTER (WHERE aln_type = 'Mismatch') AS mm FROM pile GROUP BY ALL),
+e AS (SELECT sample_id, contig, locus, "ref", alt, count(*) AS allele_depth, count(*) FILTER (WHERE is_positive_strand) AS allele_forward, round(avg(mapq), 6) AS mean_mapq, quantile_cont(mapq, 0.5) AS median_mapq,
+      round(avg(qual), 6) AS mean_base_quality, quantile_cont(CAST(mm AS DOUBLE), 0.5) AS median_mismatches FROM pile JOIN m USING (sample_id, read_id) GROUP BY ALL)
+SELECT *, CAST(sum(allele_depth) OVER (PARTITION BY sample_id, contig, locus) AS BIGINT) AS depth FROM e""".replace("quantile_cont(mapq, 0.5)", "quantile_cont(CAST(mapq AS DOUBLE), 0.5)"))
+def allele_evidence(spark, d):
+    e = PU.allele_evidence(views.pile(spark, d))
+    return e.select(*PU.SITE, "ref", "alt", "allele_depth", "allele_forward", F.round("mean_mapq", 6).alias("mean_mapq"), "median_mapq", F.round("mean_base_quality", 6).alias("mean_base_quality"), "median_mismatches", "depth")
+
+
+@query(f"""WITH {PILE}, c AS (SELECT sample_id, contig, locus, "ref", alt, count(*) AS n FROM pile GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample_id, contig, locus ORDER BY n DESC, "ref", alt) AS rank FROM c) SELECT * FROM r WHERE rank <= 2""")
+def topk_alleles(spark, d):
+    w = W.partitionBy(*PU.SITE).orderBy(F.desc("n"), "ref", "alt")
+    return PU.allele_counts(views.pile(spark, d)).select(*PU.SITE, "ref", "alt", "n", F.row_number().over(w).cast("long").alias("rank")).filter("rank <= 2")
+
+
+# tumor/normal calls: sample 0 is the tumor
+
+P0 = "CASE WHEN {w} THEN 1 - pow(10.0, -qual / 10.0) ELSE pow(10.0, -qual / 10.0) END"
+CALLS = f"""{PILE}, n AS (SELECT contig, locus, count(*) FILTER (WHERE sample_id = 0) AS td, count(*) FILTER (WHERE sample_id = 1) AS nd, count(*) FILTER (WHERE sample_id = 1 AND "ref" <> alt) AS na FROM pile GROUP BY ALL),
+tops AS (SELECT contig, locus, "ref" AS br, alt AS ba, count(*) AS bn FROM pile WHERE sample_id = 0 AND "ref" <> alt GROUP BY contig, locus, "ref", alt
+         QUALIFY row_number() OVER (PARTITION BY contig, locus ORDER BY count(*) DESC, "ref", alt) = 1),
+sites AS (SELECT *, greatest(0.03, bn / CAST(td AS DOUBLE)) AS f FROM tops JOIN n USING (contig, locus) WHERE td > 0 AND nd > 0 AND na <= 40 AND ba <> ''),
+calls AS (SELECT contig, locus, br, ba, td, nd, bn,
+    sum(CASE WHEN sample_id = 0 THEN ln((1 - f) * {P0.format(w='"ref" = alt')} + f * {P0.format(w='"ref" = br AND alt = ba')}) - ln({P0.format(w='"ref" = alt')}) END) AS tumor_lod,
+    sum(CASE WHEN sample_id = 1 THEN ln({P0.format(w='"ref" = alt')}) - ln(0.5 * {P0.format(w='"ref" = alt')} + 0.5 * {P0.format(w='"ref" = br AND alt = ba')}) END) AS normal_lod,
+    avg(CASE WHEN sample_id = 0 THEN mapq END) AS tm, avg(CASE WHEN sample_id = 1 THEN mapq END) AS nm
+    FROM sites JOIN pile USING (contig, locus) GROUP BY ALL HAVING tumor_lod > 2 AND normal_lod > 1)"""
+CALL_COLUMNS = 'contig, locus AS "start", locus + 1 AS "end", br AS "ref", ba AS alt, td AS tumor_depth, nd AS normal_depth, bn AS tumor_allele_depth, round(tumor_lod, 5) AS tumor_lod, round(normal_lod, 5) AS normal_lod'
+
+
+def _calls(spark, d) -> DataFrame:
+    pile = views.pile(spark, d)
+    return somatic_standard(pile.filter("sample_id = 0"), pile.filter("sample_id = 1"), tumor_odds=2, normal_odds=1, max_normal_alts=40)
+
+
+def _call_columns(calls: DataFrame) -> DataFrame:
+    return calls.select("contig", "start", "end", "ref", "alt", "tumor_depth", "normal_depth", "tumor_allele_depth", F.round("tumor_lod", 5).alias("tumor_lod"), F.round("normal_lod", 5).alias("normal_lod"))
+
+
+@query(f"WITH {CALLS} SELECT {CALL_COLUMNS} FROM calls")
+def somatic_standard_calls(spark, d):
+    return _call_columns(_calls(spark, d))
+
+
+@query(f"WITH {CALLS} SELECT {CALL_COLUMNS} FROM calls WHERE td >= 5 AND td < 2147483647 AND nd >= 5 AND bn / CAST(td AS DOUBLE) * 100 > 4 AND tm >= 20 AND nm >= 20")
+def somatic_filters(spark, d):
+    return _call_columns(SomaticFilter(min_vaf=4)(_calls(spark, d)))
+
+
+KNOWN = "known AS (SELECT contig, CAST(40 AS BIGINT) AS \"start\", substr(sequence, 41, 1) AS \"ref\", translate(substr(sequence, 41, 1), 'ACGT', 'CGTA') AS alt, id AS rs_id FROM (SELECT *, 'b' || id AS contig FROM seqs))"
+
+
+@query(f"WITH {CALLS}, {KNOWN} SELECT c.contig, c.locus AS \"start\", c.br AS \"ref\", c.ba AS alt, CAST(k.rs_id AS BIGINT) AS rs_id FROM calls c LEFT JOIN known k ON k.contig = c.contig AND k.\"start\" = c.locus AND k.\"ref\" = c.br AND k.alt = c.ba")
+def dbsnp_left_join(spark, d):
+    s = views.seqs(spark, d, "benchmark", "item_id")
+    base = F.substring("sequence", 41, 1)
+    known = s.select(F.format_string("b%d", "id").alias("contig"), F.lit(40).cast("long").alias("start"), base.alias("ref"), F.translate(base, "ACGT", "CGTA").alias("alt"), F.array(F.format_string("rs%d", "id")).alias("names"), F.lit(True).alias("db_snp"))
+    return annotate_known(_calls(spark, d), known).select("contig", "start", "ref", "alt", "rs_id")
+
+
+COMPARE = f"""WITH {CALLS}, {KNOWN}, e AS (SELECT DISTINCT contig, "start", "ref", alt FROM known), c AS (SELECT contig, locus AS "start", br AS "ref", ba AS alt FROM calls),
+j AS (SELECT CASE WHEN e."start" IS NULL THEN 'only_called' WHEN c."start" IS NULL THEN 'only_expected' WHEN e."ref" = c."ref" AND e.alt = c.alt THEN 'exact' ELSE 'partial' END AS outcome
+      FROM e FULL JOIN c ON e.contig = c.contig AND e."start" = c."start")"""
+
+
+@query(f"{COMPARE} SELECT outcome, count(*) AS n FROM j GROUP BY outcome")
+def variant_compare(spark, d):
+    from .concordance import compare, counts
+
+    return counts(compare(_expected(spark, d), _calls(spark, d)))
+
+
+@query(f"{COMPARE}, totals AS (SELECT count(*) FILTER (WHERE outcome = 'exact') AS tp, count(*) FILTER (WHERE outcome IN ('only_called', 'partial')) AS fp, count(*) FILTER (WHERE outcome IN ('only_expected', 'partial')) AS fn FROM j) SELECT round(tp / CAST(tp + fp AS DOUBLE), 6) AS \"precision\", round(tp / CAST(tp + fn AS DOUBLE), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM totals")
+def precision_recall(spark, d):
+    from .concordance import compare, scores
+
+    s = scores(compare(_expected(spark, d), _calls(spark, d)))
+    return s.select(*(F.round(c, 6).alias(c) for c in s.columns))
+
+
+def _expected(spark, d) -> DataFrame:
+    s = views.seqs(spark, d, "benchmark", "item_id")
+    base = F.substring("sequence", 41, 1)
+    return s.select(F.format_string("b%d", "id").alias("contig"), F.lit(40).cast("long").alias("start"), base.alias("ref"), F.translate(base, "ACGT", "CGTA").alias("alt")).distinct()
+
+
+# joint calls: sample 1 is normal DNA, sample 0 tumor DNA
+
+@query(f"""WITH {PILE}, s AS (SELECT contig, locus, count(*) FILTER (WHERE "ref" <> alt) AS a, count(*) FILTER (WHERE "ref" <> alt AND is_positive_strand) AS af, count(*) FILTER (WHERE "ref" = alt) AS r, count(*) FILTER (WHERE "ref" = alt AND is_positive_strand) AS rf FROM pile WHERE aln_type <> 'Clipped' GROUP BY ALL)
+SELECT contig, locus, round(10 * ((lgamma(a + 1) - lgamma(af + 1) - lgamma(a - af + 1)) + (lgamma(r + 1) - lgamma(rf + 1) - lgamma(r - rf + 1)) - (lgamma(a + r + 1) - lgamma(af + rf + 1) - lgamma(a + r - af - rf + 1))) / ln(10.0), 5) AS strand_bias FROM s WHERE a > 0""")
+def strand_bias(spark, d):
+    x = views.pile(spark, d).filter("aln_type <> 'Clipped'").groupBy("contig", "locus").agg(
+        F.count_if(F.expr("ref <> alt")).alias("a"), F.count_if(F.expr("ref <> alt and is_positive_strand")).alias("af"),
+        F.count_if(F.expr("ref = alt")).alias("r"), F.count_if(F.expr("ref = alt and is_positive_strand")).alias("rf"),
+    ).filter("a > 0")
+    return x.select("contig", "locus", F.round(S.strand_bias_phred(F.col("a"), F.col("af"), F.col("r"), F.col("rf")), 5).alias("strand_bias"))
+
+
+@query(f"WITH {PILE}, s AS (SELECT contig, locus, count(*) AS total, count(*) FILTER (WHERE \"ref\" = alt) AS same FROM pile WHERE sample_id = 1 AND aln_type <> 'Clipped' GROUP BY ALL) SELECT contig, locus, total < 30 OR (total - same) * 100.0 / total > 3 AS insufficient FROM s")
+def insufficient_normal_sites(spark, d):
+    s = views.pile(spark, d).filter("sample_id = 1 and aln_type <> 'Clipped'").groupBy("contig", "locus").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.expr("ref = alt")).alias("same"))
+    return s.select("contig", "locus", insufficient_normal(F.col("total"), F.col("same")).alias("insufficient"))
+
+
+@query(joint.candidates_sql(PILE))
+def candidate_alleles(spark, d):
+    return joint.candidate_alleles(views.pile(spark, d))
+
+
+@query(joint.calls_sql(PILE, germline=True))
+def joint_germline(spark, d):
+    return joint.calls_for_query(views.pile(spark, d), germline=True)
+
+
+@query(joint.calls_sql(PILE, germline=False))
+def joint_somatic(spark, d):
+    return joint.calls_for_query(views.pile(spark, d), germline=False)
+
+
+# kernels
+
+@query()
+def affine_alignment(spark, d):
+    from ..operators.assembly import align_table
+
+    s = views.seqs(spark, d, "benchmark", "item_id").filter("sequence <> ''")
+    bent = F.concat(F.substring("sequence", 5, 20), F.substring("sequence", 28, 25))
+    return align_table(s.select("id", bent.alias("sequence"), F.substring("sequence", 1, 80).alias("reference")))
+
+
+@query()
+def debruijn_paths(spark, d):
+    from ..operators.assembly import assemble_windows
+
+    ref = views.reference(spark, d).select("contig", F.lit(10).cast("long").alias("start"), F.substring("sequence", 11, 60).alias("reference"))
+    return assemble_windows(views.reads(spark, d), ref, k=11, min_occurrence=2, read_length=views.READ)
+
+
+@query()
+def germline_assembly(spark, d):
+    from .germline import germline_shortcut
+
+    return germline_shortcut(views.pile(spark, d))
