@@ -266,7 +266,7 @@ def vaf_mixture(spark, d):
     return gaussian_mixture(PU.vaf_loci(views.pile(spark, d)), 3)
 
 
-@query(f"""WITH {VAF}, s AS (SELECT sample_id, vaf, row_number() OVER (PARTITION BY sample_id ORDER BY vaf) AS i, count(*) OVER (PARTITION BY sample_id) AS n FROM vafs),
+@query(f"""WITH {VAF}, s AS (SELECT sample_id, CAST(vaf AS DOUBLE) AS vaf, row_number() OVER (PARTITION BY sample_id ORDER BY vaf) AS i, count(*) OVER (PARTITION BY sample_id) AS n FROM vafs),
 q AS (SELECT sample_id, n, p, greatest(1, least(n, p * (n + 1))) AS pos FROM (SELECT DISTINCT sample_id, n FROM s), (VALUES (0.25), (0.5), (0.75)) v(p)),
 x AS (SELECT q.sample_id, p, round(a.vaf + (pos - floor(pos)) * (b.vaf - a.vaf), 6) AS v FROM q JOIN s a ON a.sample_id = q.sample_id AND a.i = floor(pos) JOIN s b ON b.sample_id = q.sample_id AND b.i = least(floor(pos) + 1, q.n))
 SELECT sample_id, max(CASE WHEN p = 0.25 THEN v END) AS p25, max(CASE WHEN p = 0.5 THEN v END) AS p50, max(CASE WHEN p = 0.75 THEN v END) AS p75 FROM x GROUP BY sample_id""")
