@@ -27,8 +27,6 @@ def align(seq: str, ref: str, mismatch: float = MISMATCH, open_: float = OPEN, c
     # state of the cell that a step leads to: what the step into the next cell was
     cost = [0.0] * (m + 1)
     state = [""] * (m + 1)
-    path = [""] * (m + 1)
-    # path strings are rebuilt from back pointers
     back: list[list[str]] = [[""] * (m + 1)]
     for i in range(n - 1, -1, -1):
         new, new_state, row = [0.0] * (m + 1), [""] * (m + 1), [""] * (m + 1)
@@ -45,14 +43,14 @@ def align(seq: str, ref: str, mismatch: float = MISMATCH, open_: float = OPEN, c
                     value += c_more
                 else:
                     value += c_none
-                    if after in ("I", "D"):
-                        value += c_open  # the gap that follows begins here
                     if gap:
-                        value += c_close  # this gap ends before what follows
+                        value += c_open
+                    if after in ("I", "D"):
+                        value += c_close
                 if step == "X":
                     value += c_x
-                if i == 0 and gap and after != step:
-                    value += c_open
+                if i == 0 and gap:
+                    value += c_close
                 if best is None or value < best[0]:
                     best = (value, step)
             new[j], new_state[j] = best
