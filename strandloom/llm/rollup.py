@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ["source", "lang", "tokenizer"]
+#: Files of a batch's tables where the cluster has fewer cores than this.
+MIN_FILES = 8
 LEDGER = "batch long, id long, source string, lang string, tokenizer string, docs long, tokens long"
 DELTAS = "batch long, source string, lang string, tokenizer string, docs long, tokens long"
 
@@ -77,9 +79,10 @@ class TokenRollup:
             )).alias("d"),
         ).filter("d.on").select("batch", "id", "d.source", "d.lang", "tokenizer", "d.docs", "d.tokens")
         stage = f"{self.root}/staging/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{stage}/ledger")
+        # a ledger of few, larger files, on as many tasks as there are cores
+        rows.coalesce(max(MIN_FILES, self.spark.sparkContext.defaultParallelism)).write.parquet(f"{stage}/ledger")
         written = self.spark.read.schema(LEDGER).parquet(f"{stage}/ledger")
-        written.groupBy("batch", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{stage}/deltas")
+        written.groupBy("batch", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).coalesce(MIN_FILES).write.parquet(f"{stage}/deltas")
         self._fs.mkdirs(self._path(f"{self.root}/batches"))
         # a rename to a name that exists fails or nests, so the check above and this one name decide
         done = self._fs.rename(self._path(stage), self._path(f"{self.root}/batches/b{batch}"))
