@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import bound_batches, cut
+from .spark import bound_batches, cut, hold
 from .textops import U, Words, chunks, scalar_mix
 from .toxicity import held_out
 
@@ -133,7 +133,7 @@ class Corpus:
 
 def encode(docs: DataFrame) -> Corpus:
     """Encode (id, text, held_out) and count the words of all texts that are not held out."""
-    blocks = cut(docs.select("id", "text", "held_out").mapInArrow(_encode, "block long, ids array<long>, sizes binary, held binary, tokens binary, words binary, endings binary, seen binary"))
+    blocks = hold(docs.select("id", "text", "held_out").mapInArrow(_encode, "block long, ids array<long>, sizes binary, held binary, tokens binary, words binary, endings binary, seen binary"))
     entries = blocks.agg(F.sum(F.length("endings"))).first()[0] or 0
     buckets = max(1, -(-entries // BUCKET_WORDS))
     spread = blocks.select("block", "words", "endings", "seen").mapInArrow(_to_buckets(buckets), "bucket int, block long, words binary, endings binary, seen binary")
@@ -272,7 +272,7 @@ def log10_likelihood(model: Hmm, sym: np.ndarray, sizes: np.ndarray) -> np.ndarr
     total = np.zeros(len(sizes))
     state = np.tile(model.start, (len(sizes), 1))
     for t, n in enumerate(live.tolist()):
-        state = (state if t == 0 else state[:n] @ model.move) * emit[sym[begin[:n] + t]]
+        state = (state[:n] if t == 0 else state[:n] @ model.move) * emit[sym[begin[:n] + t]]
         c = state.sum(axis=1)
         state /= c[:, None]
         total[:n] += np.log10(c)

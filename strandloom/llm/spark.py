@@ -4,9 +4,34 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Files of a table that `cut` writes where there are fewer cores than this.
+MIN_FILES = 8
+
+_kept: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Persist on the executors' disks, with lineage: what a lost executor held is computed again.
+
+    For tables that come straight from the input by much work and that several steps read;
+    what is derived further cuts its lineage with `cut`, so that plans stay small.  `release` or
+    spark.catalog.clearCache() gives the space back.
+    """
+    df = df.persist(StorageLevel.DISK_ONLY)
+    _kept.append(df)
+    return df
+
+
+def release() -> None:
+    """Drop what operators have kept so far; results that were not written yet are computed again."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
 #: Rows of texts, shingle sets or encoded blocks in one Arrow batch: bounds what a Python worker holds.
 ARROW_ROWS = 1000
 
@@ -37,6 +62,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder, so that a lost executor loses nothing."""
+    """Cut lineage through the shared folder, so that a lost executor loses nothing.
+
+    Written as no more files than there are cores (MIN_FILES at least): each file costs the
+    file system calls of its own, whatever its size.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.coalesce(max(MIN_FILES, df.sparkSession.sparkContext.defaultParallelism)).checkpoint(eager=True)
