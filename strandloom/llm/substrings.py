@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from .bitmap import bitmap, split_by
-from .spark import bound_batches, cut
+from .spark import bound_batches, cut, hold
 from .textops import U, Words, chunks, sliding_min, window_hashes
 
 WINDOW, PREFIX = 50, 12
@@ -230,16 +230,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keep = [id_col] if keep is None else keep
     docs = bound_batches(docs)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    seen = cut(src.mapInArrow(_anchors, "id long, n long, ca long, cb long, hashes binary, places binary").filter(f"n >= {WINDOW}"))
+    seen = hold(src.mapInArrow(_anchors, "id long, n long, ca long, cb long, hashes binary, places binary").filter(f"n >= {WINDOW}"))
     # equal texts: the smallest id stands for all, the others are removed whole
     classes = seen.groupBy("ca", "cb").agg(F.min("id").alias("id"), F.min_by("hashes", "id").alias("hashes"), F.min_by("places", "id").alias("places"), F.count_distinct("id").alias("m"))
     classes = cut(classes)
     anchors = classes.select("id", "hashes", "places").mapInArrow(_anchor_rows, "id long, prefix long, place int")
     shared = anchors.groupBy("prefix").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("m")).filter("low < high").select("prefix", (F.col("m") > PARTITION_ROWS).alias("large"))
+    shared = cut(shared)  # a table of its own, so that both sides of the join are shuffled and a frequent prefix can be split
     hits = cut(anchors.join(shared, "prefix").groupBy("id").agg(F.collect_list(F.struct("prefix", "place", "large")).alias("found")))
     hits = hits.join(classes.select("id", "ca").dropDuplicates(["id"]), "id")
     maybe, _ = split_by(src, "id", bitmap(hits, "id"))
-    contexts = cut(maybe.join(hits.hint("shuffle_hash"), "id").select("id", "text", "found", "ca").mapInArrow(_contexts, "prefix long, other long, id long, place int, left int, right int, codes binary"))
+    contexts = hold(maybe.join(hits.hint("shuffle_hash"), "id").select("id", "text", "found", "ca").mapInArrow(_contexts, "prefix long, other long, id long, place int, left int, right int, codes binary"))
     small = contexts.filter("codes is not null").repartition("prefix").sortWithinPartitions("prefix")
     found = small.select("prefix", "id", "place", "left", "right", "codes").mapInArrow(_subtrees, "id long, place int, mask long")
     long = contexts.filter("codes is null").select("prefix", "other", "id", "place")
