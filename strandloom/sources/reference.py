@@ -20,7 +20,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     head = F.trim(F.regexp_extract("value", r"^([^\n]*)", 1))
     seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", ""))
     part = text.select(head.alias("head"), seq.alias("sequence"), F.regexp_extract(head, PARTIAL, 1).alias("c"))
-    number = lambda i: F.regexp_extract("head", PARTIAL, i).cast("long")
+    number = lambda i: F.regexp_extract("head", PARTIAL, i).try_cast("long")
     is_part = F.col("c") != ""
     bad = is_part & ((number(3) - number(2) != F.length("sequence")) | (number(3) > number(4)))
     checked = F.when(bad, F.raise_error(F.concat(F.lit("partial sequence does not fit its header: "), F.col("head"))).cast("string")).otherwise(F.col("sequence"))
@@ -81,7 +81,7 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.col("value") != ""))
     names = F.when(f[2] == ".", F.array().cast("array<string>")).otherwise(F.split(f[2], ";"))
     return rows.select(
-        f[0].alias("contig"), (f[1].cast("long") - 1).alias("start"), f[3].alias("ref"), F.explode(F.split(f[4], ",")).alias("alt"), names.alias("names"), f[7].alias("info"),
+        f[0].alias("contig"), (f[1].try_cast("long") - 1).alias("start"), f[3].alias("ref"), F.explode(F.split(f[4], ",")).alias("alt"), names.alias("names"), f[7].alias("info"),
     ).select("contig", "start", (F.col("start") + F.length("ref")).alias("end"), "ref", "alt", "names", (F.array_contains(F.split("info", ";"), "DB") | F.exists("names", lambda n: n.startswith("rs"))).alias("db_snp"), "info")
 
 
@@ -91,7 +91,7 @@ LINE = r"^([^:]+):(\d+)-(\d+)=(\d+)$"
 def read_partitioning(spark: SparkSession, path: str) -> DataFrame:
     """Lines contig:start-end=partition, several on a line between commas."""
     parts = spark.read.text(path).select(F.explode(F.split("value", ",")).alias("v")).filter("v <> ''")
-    return parts.select(F.regexp_extract("v", LINE, 1).alias("contig"), *(F.regexp_extract("v", LINE, i).cast(t).alias(n) for i, n, t in ((2, "start", "long"), (3, "end", "long"), (4, "partition", "int"))))
+    return parts.select(F.regexp_extract("v", LINE, 1).alias("contig"), *(F.regexp_extract("v", LINE, i).try_cast(t).alias(n) for i, n, t in ((2, "start", "long"), (3, "end", "long"), (4, "partition", "int"))))
 
 
 def write_partitioning(partitioning: DataFrame, path: str) -> None:

@@ -51,7 +51,7 @@ def read_sam(spark: SparkSession, path: str, sample_id: int = 0) -> DataFrame:
 def read_sam_contigs(spark: SparkSession, path: str) -> DataFrame:
     """(contig, length) of a SAM header."""
     lines = spark.read.text(path).filter(F.col("value").startswith("@SQ\t"))
-    return lines.select(F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("contig"), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("long").alias("length"))
+    return lines.select(F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("contig"), F.regexp_extract("value", r"\tLN:(\d+)", 1).try_cast("long").alias("length"))
 
 
 def merge_contigs(*tables: DataFrame) -> DataFrame:
