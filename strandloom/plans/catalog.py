@@ -442,3 +442,99 @@ def germline_assembly(spark, d):
     from .germline import germline_shortcut
 
     return germline_shortcut(views.pile(spark, d))
+
+
+# further rows of the inventory
+
+@query(f"WITH {R}, {coverage_sql()} SELECT contig, \"start\", \"end\" FROM (SELECT contig, greatest(\"start\" - 1, 0) AS \"start\", \"end\" - 1 AS \"end\" FROM regions) WHERE \"start\" < \"end\"")
+def shifted_loci(spark, d):
+    return I.shift_loci(views.regions(spark, d))
+
+
+@query(f'WITH {R} SELECT contig, max("end") AS length FROM regions GROUP BY contig')
+def contig_dictionary(spark, d):
+    from ..sources.sam import merge_contigs
+
+    lengths = I.contig_lengths(views.regions(spark, d))
+    return merge_contigs(lengths, lengths)
+
+
+@query(f"WITH {R} SELECT sample_id, contig, count(*) AS n FROM (SELECT contig, 0 AS sample_id FROM regions WHERE is_mapped UNION ALL SELECT contig, 1 FROM regions WHERE NOT is_mapped) GROUP BY ALL")
+def sample_union(spark, d):
+    r = views.regions(spark, d)
+    both = I.union_samples(r.filter("is_mapped").select("contig"), r.filter("not is_mapped").select("contig"))
+    return both.groupBy("sample_id", "contig").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SEQ_B}, {KMERS} SELECT * FROM kmers WHERE n >= 2")
+def kmer_prune(spark, d):
+    return K.prune(K.kmer_counts(views.seqs(spark, d, "benchmark", "item_id"), 8), 2)
+
+
+@query(f"""WITH {SEQ_B}, {views.READS}, w AS (SELECT contig, sequence, substr(sequence, CAST(s AS INTEGER), 10) AS kmer FROM reads, (VALUES (1), (6), (11)) v(s)) SELECT kmer, count(*) AS n FROM w GROUP BY kmer HAVING count(*) >= 3""")
+def consensus_kmers(spark, d):
+    pieces = views.reads(spark, d).select(F.explode(F.array(*(F.substring("sequence", s, 10) for s in (1, 6, 11)))).alias("sequence"))
+    return K.kmer_counts(pieces, 10, 3)
+
+
+EVIDENCE_SQL = f"""{PILE}, e AS (SELECT sample_id, contig, locus, "ref", alt, count(*) AS allele_depth, avg(mapq) AS mean_mapq, avg(qual) AS mean_base_quality FROM pile GROUP BY ALL),
+w AS (SELECT *, CAST(sum(allele_depth) OVER (PARTITION BY sample_id, contig, locus) AS BIGINT) AS depth FROM e)"""
+
+
+@query(f"WITH {EVIDENCE_SQL} SELECT sample_id, contig, locus, \"ref\", alt, allele_depth, depth FROM w WHERE \"ref\" <> alt AND depth >= 4 AND depth < 90 AND allele_depth >= 2 AND mean_mapq > 20 AND mean_base_quality > 15")
+def germline_filters(spark, d):
+    from ..operators.filters import GermlineFilter
+
+    e = PU.allele_evidence(views.pile(spark, d)).filter(F.col("ref") != F.col("alt")).withColumn("phred", F.lit(99))
+    keep = GermlineFilter(min_depth=4, max_depth=90, min_alt_depth=2, min_mean_mapq=20, min_mean_base_quality=15)
+    return keep(e).select(*PU.SITE, "ref", "alt", "allele_depth", "depth")
+
+
+@query(f"WITH {CALLS}, t AS (SELECT *, count(*) OVER (PARTITION BY contig) AS n FROM calls) SELECT contig, locus AS \"start\", n > 8 AS too_many FROM t")
+def too_many_calls_by_contig(spark, d):
+    from ..operators.filters import too_many_calls
+
+    calls = _calls(spark, d)
+    marked = too_many_calls(calls.withColumn("locus", F.lit(0)), 8)
+    return marked.select("contig", "start", "too_many")
+
+
+@query(f"WITH {CALLS} SELECT contig || chr(9) || (locus + 1) || chr(9) || '.' || chr(9) || br || chr(9) || ba || chr(9) || '.' || chr(9) || '.' || chr(9) || '.' || chr(9) || 'GT:AD:DP:GQ' || chr(9) || '0/1:' || (td - bn) || ',' || bn || ':' || td || ':99' AS line FROM calls")
+def vcf_lines(spark, d):
+    from ..sources.sinks import genotype_records, vcf_line
+
+    return genotype_records(_calls(spark, d)).select(vcf_line().alias("line"))
+
+
+@query(f"""WITH {PILE}, s AS (SELECT sample_id, contig, locus, sum(ln(CASE WHEN "ref" = alt THEN 1 - pow(10.0, -qual / 10.0) ELSE pow(10.0, -qual / 10.0) END)) AS hom, sum(ln(0.5)) AS het FROM pile GROUP BY ALL)
+SELECT sample_id, contig, locus, round(1 / (1 + exp(greatest(-60, least(60, het - hom)))), 6) AS p_reference FROM s""")
+def two_genotype_probability(spark, d):
+    p = S.phred_to_success(F.col("qual").cast("double"))
+    s = views.pile(spark, d).groupBy(*PU.SITE).agg(F.sum(F.ln(F.when(F.col("ref") == F.col("alt"), p).otherwise(1 - p))).alias("hom"), F.sum(F.ln(F.lit(0.5))).alias("het"))
+    return s.select(*PU.SITE, F.round(1 / (1 + F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col("het") - F.col("hom"))))), 6).alias("p_reference"))
+
+
+@query(f"""WITH {SEQ_B}, {views.READS}, q AS (SELECT read_id, sequence, mapq FROM reads)
+SELECT read_id, translate(sequence, 'ACGT', 'TGCA') AS complement, round(1 - pow(10.0, -mapq / 10.0), 8) AS alignment_likelihood, CAST(trunc(-10 * log10(1 - least(1 - pow(10.0, -mapq / 10.0), 1 - 1e-16)) + 0.5) AS INTEGER) AS phred FROM q""")
+def read_scalars(spark, d):
+    r = views.reads(spark, d)
+    p = S.phred_to_success(F.col("mapq").cast("double"))
+    return r.select("read_id", S.complement(F.col("sequence")).alias("complement"), F.round(p, 8).alias("alignment_likelihood"), (-10 * F.log10(1 - F.least(p, F.lit(1 - 1e-16))) + 0.5).cast("int").alias("phred"))
+
+
+@query(f"""WITH {PILE}, {joint.CANDIDATES} SELECT sample_id, contig, "start", "end", "ref", alt, count(*) AS n_reads FROM runs GROUP BY ALL""")
+def variant_runs(spark, d):
+    return joint.variant_runs(views.pile(spark, d)).groupBy("sample_id", "contig", "start", "end", "ref", "alt").agg(F.count(F.lit(1)).alias("n_reads"))
+
+
+@query(f"""WITH {PILE}, {joint.CANDIDATES}, {joint.EVIDENCE} SELECT contig, "start", "end", r AS "ref", a AS alt, sample_id, depth, alt_depth, round(vaf, 6) AS vaf, round(ll_ref, 4) + 0.0 AS ll_ref, round(ll_het, 4) + 0.0 AS ll_het, round(ll_hom, 4) + 0.0 AS ll_hom, round(ll_mix, 4) + 0.0 AS ll_mix FROM ev""")
+def sample_evidence(spark, d):
+    pile = views.pile(spark, d)
+    samples = spark.createDataFrame([(1, "normal", "dna"), (0, "tumor", "dna")], "sample_id int, tissue string, analyte string")
+    e = joint.sample_evidence(joint.read_support(pile, joint.candidate_alleles(pile)), samples).filter("sample_id >= 0")
+    return e.select(*joint.SITE, "sample_id", "depth", "alt_depth", F.round("vaf", 6).alias("vaf"), *(F.round(c, 4).alias(c) for c in ("ll_ref", "ll_het", "ll_hom", "ll_mix")))
+
+
+@query(f"""WITH {R}, p AS (SELECT contig, sum("end" - "start") AS bases, count(*) AS n, count(*) FILTER (WHERE is_positive_strand) AS forward FROM regions GROUP BY contig) SELECT contig, CAST(bases AS BIGINT) AS bases, n, forward, round(bases / CAST(n AS DOUBLE), 6) AS mean_length FROM p""")
+def region_totals(spark, d):
+    return views.regions(spark, d).groupBy("contig").agg(F.sum(F.col("end") - F.col("start")).alias("bases"), F.count(F.lit(1)).alias("n"), F.count_if("is_positive_strand").alias("forward"), F.round(F.avg(F.col("end") - F.col("start")), 6).alias("mean_length"))
