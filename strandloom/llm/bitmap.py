@@ -30,19 +30,25 @@ def bitmap(df: DataFrame, col: str) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def split_by(df: DataFrame, col: str, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(rows whose id may be in the bitmap, rows whose id is not)."""
+def inside(slots: pa.Array, words: np.ndarray) -> np.ndarray:
+    """Which slots the bitmap has; a null id has the slot of any other value."""
+    at = slots.to_numpy(zero_copy_only=False).astype(np.int64)
+    return (words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def only(df: DataFrame, col: str, bits: np.ndarray, there: bool = True) -> DataFrame:
+    """The rows whose id may be in the bitmap, or those whose id is not."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
 
-    def kernel(wanted: bool):
-        def filtered(batches):
-            words = shared.value
-            for batch in batches:
-                at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
-                there = (words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-                rest = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
-                yield rest.filter(pa.array(there == wanted))
+    def kernel(batches):
+        for batch in batches:
+            last = batch.num_columns - 1
+            rest = pa.RecordBatch.from_arrays(batch.columns[:last], names=batch.schema.names[:last])
+            yield rest.filter(pa.array(inside(batch.column(last), shared.value) == there))
 
-        return df.withColumn("__slot", slot(col)).mapInArrow(filtered, df.schema)
+    return df.withColumn("__slot", slot(col)).mapInArrow(kernel, df.schema)
 
-    return kernel(True), kernel(False)
+
+def split_by(df: DataFrame, col: str, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be in the bitmap, rows whose id is not)."""
+    return only(df, col, bits), only(df, col, bits, False)

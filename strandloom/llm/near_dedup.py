@@ -16,12 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .spark import cut
+from .spark import bound_batches, cut, hold
 from .textops import U, binary_column, chunks, list_column, mix32, mix64, scalar_mix, shingle_sets
 
 ROWS = 4
 SIGMA = U(scalar_mix(0x516D61))
-BLOCK = 1 << 15
 
 
 def bands_for(threshold: float, miss: float = 1e-7) -> int:
@@ -106,6 +105,13 @@ def _confirmed(num: int, den: int):
     return kernel
 
 
+def _spread(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x = np.frombuffer(batch.column(1)[i].as_buffer(), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), batch.column(0)[i].as_py(), dtype=np.int64)), pa.array(x)], names=["rep", "shingle"])
+
+
 def near_duplicate_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-7
 ) -> DataFrame:
@@ -119,7 +125,8 @@ def near_duplicate_components(
     Texts with equal sets are one class from the start, so copies are never paired.  Buckets
     link each class to the bucket's smallest (a star, not all pairs); confirmed links are
     contracted, and only members outside a bucket's main component are then compared with the
-    bucket's other components, behind exact size bounds and a sketch bound (6.5 deviations).
+    bucket's other components, behind exact bounds from sizes and from shingles that only one of
+    them has, and a sketch bound (6.5 deviations).
     So within buckets no link between different components is left out.
 
     Null or empty texts have no shingles, n_shingles 0, and stand alone; a null id gives a null
@@ -127,8 +134,8 @@ def near_duplicate_components(
     columns of docs are ignored, whatever their names.
     """
     bands = bands_for(percent / 100, miss)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = cut(docs.mapInArrow(_signatures(bands, shingle), "id long, n long, ca long, cb long, s1 long, s2 long, bands array<long>"))
+    docs = bound_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sig = hold(docs.mapInArrow(_signatures(bands, shingle), "id long, n long, ca long, cb long, s1 long, s2 long, bands array<long>"))
     reps = cut(
         sig.filter("n > 0 and id is not null").groupBy("ca", "cb")
         .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("bands").alias("bands"))
@@ -137,7 +144,7 @@ def near_duplicate_components(
     shared = spread.groupBy("key").agg(F.min("rep").alias("star"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "star")
     members = cut(spread.join(shared, "key"))
     wanted = members.select(F.col("rep").alias("id")).distinct()
-    sets = cut(docs.join(wanted, "id").mapInArrow(_sets(shingle), "id long, shingles binary").filter("length(shingles) > 0"))
+    sets = hold(docs.join(wanted.hint("shuffle_hash"), "id").mapInArrow(_sets(shingle), "id long, shingles binary").filter("length(shingles) > 0"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
@@ -151,8 +158,12 @@ def near_duplicate_components(
     placed = members.select("key", "rep").join(comp.withColumnsRenamed({"u": "rep", "v": "comp"}), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("m", F.negative("comp"))).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "main")
-    facts = reps.select("rep", "n", "s1", "s2")
+    facts = reps.select("rep", "n", "s1", "s2", "bands")
     apart = cut(placed.join(mixed, "key").join(facts, "rep"))
+    # shingles that no other of these classes has bound what a class can share: J(x, y) <= shared(x) / n(x)
+    own = apart.select(F.col("rep").alias("id")).distinct().join(sets.dropDuplicates(["id"]), "id").mapInArrow(_spread, "rep long, shingle long")
+    lone = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("rep")).filter("m = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
+    apart = cut(apart.join(lone, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone").filter(f"100 * shared >= {percent} * n"))
     bits = min(bands * ROWS, 128)
     p = (1 - percent / 100) / 2
     far = math.ceil(bits * p + 6.5 * math.sqrt(bits * p * (1 - p)))
@@ -161,7 +172,10 @@ def near_duplicate_components(
         x.join(y, F.expr(
             "x.key = y.key and x.comp <> y.comp and (y.comp = y.main or y.rep > x.rep)"
             f" and 100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
+            f" and 100 * least(x.shared, y.shared) >= {percent} * (x.n + y.n - least(x.shared, y.shared))"
             f" and bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2) <= {far}"
+            # of the buckets that two classes share, one pairs them
+            " and x.key = array_min(array_intersect(x.bands, y.bands))"
         ))
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     )

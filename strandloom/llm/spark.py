@@ -64,8 +64,11 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder, so that a lost executor loses nothing.
 
-    Written as no more files than there are cores (MIN_FILES at least): each file costs the
-    file system calls of its own, whatever its size.
+    Written as an eighth of the session's shuffle partitions, or as many files as there are cores
+    (MIN_FILES at least): these tables are far smaller than the input, and each file costs file
+    system calls of its own.
     """
-    shared_folder(df.sparkSession)
-    return df.coalesce(max(MIN_FILES, df.sparkSession.sparkContext.defaultParallelism)).checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    files = max(MIN_FILES, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return df.coalesce(files).checkpoint(eager=True)

@@ -17,7 +17,7 @@ MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once by the kernels (a longer text is handled alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
