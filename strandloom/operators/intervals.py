@@ -149,3 +149,13 @@ def window_regions(regions: DataFrame, loci: DataFrame, half_window: int) -> Dat
 def union_samples(*tables: DataFrame) -> DataFrame:
     """Bag union of samples, numbered in turn."""
     return reduce(DataFrame.unionByName, [t.withColumn("sample_id", F.lit(i)) for i, t in enumerate(tables)])
+
+
+def depth_report(cov: DataFrame, cutoff: int, most: int = 1000) -> str:
+    """Text summary of depth runs: totals, and the first `most` runs of each contig order."""
+    totals = {r["valid"]: r["loci"] for r in valid_loci_counts(cov, cutoff).collect()}
+    good, bad = totals.get(True, 0), totals.get(False, 0)
+    lines = [f"{good} positions of depth {cutoff} or less, {bad} deeper ({100 * bad / max(1, good + bad):.2f} %)"]
+    runs = depth_runs(cov, cutoff).orderBy("contig", "start").limit(most).collect()
+    lines += [f"{r['contig']}:{r['start']}-{r['end']} {'kept' if r['valid'] else 'dropped'} {r['loci']}" for r in runs]
+    return "\n".join(lines)

@@ -94,6 +94,38 @@ def elements(reads: DataFrame, reference: DataFrame, loci: DataFrame | None = No
     return e.select("read_id", "sample_id", "contig", "locus", "aln_type", ref.alias("ref"), alt.alias("alt"), qual.alias("qual"), "mapq", "is_positive_strand", "read_pos")
 
 
+def slice_reads(reads: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Mapped reads cut to the reference range [start, end): start, end, sequence, base_qualities and cigar fit the range.
+
+    Insertions stay with the base before them; clips at ends that are cut go; reads outside vanish.
+    """
+    r = reads.withColumn("ops", cigar_elements(F.col("cigar"))).withColumn("lo", start.cast("long")).withColumn("hi", end.cast("long"))
+    step = lambda acc, e: F.struct(  # noqa: E731  reference and read positions so far, kept elements, first read base kept, read bases kept
+        (acc["ref"] + F.when(e["op"].isin(*REFERENCE_OPS), e["len"]).otherwise(0)).alias("ref"),
+        (acc["read"] + F.when(e["op"].isin(*READ_OPS), e["len"]).otherwise(0)).alias("read"),
+        F.concat(acc["kept"], F.array(F.struct(_overlap(acc, e).cast("int").alias("len"), e["op"].alias("op")))).alias("kept"),
+        F.when((acc["first"] < 0) & (_overlap(acc, e) > 0) & e["op"].isin(*READ_OPS), acc["read"] + F.when(e["op"].isin(*REFERENCE_OPS), F.greatest(F.col("lo") - acc["ref"], F.lit(0))).otherwise(0)).otherwise(acc["first"]).cast("long").alias("first"),
+        (acc["n"] + F.when(e["op"].isin(*READ_OPS), _overlap(acc, e)).otherwise(0)).cast("long").alias("n"),
+    )
+    zero = F.struct(F.col("start").cast("long").alias("ref"), F.lit(0).cast("long").alias("read"), F.array().cast("array<struct<len:int,op:string>>").alias("kept"), F.lit(-1).cast("long").alias("first"), F.lit(0).cast("long").alias("n"))
+    r = r.withColumn("s", F.aggregate("ops", zero, step)).filter("s.n > 0")
+    kept = F.filter("s.kept", lambda e: e["len"] > 0)
+    begin = F.greatest(F.col("start"), F.col("lo"))
+    out = {
+        "sequence": F.substring("sequence", (F.col("s.first") + 1).cast("int"), F.col("s.n").cast("int")), "base_qualities": F.slice("base_qualities", (F.col("s.first") + 1).cast("int"), F.col("s.n").cast("int")),
+        "cigar": F.array_join(F.transform(kept, lambda e: F.concat(e["len"].cast("string"), e["op"])), ""), "start": begin, "end": F.least(F.col("s.ref"), F.col("hi")),
+    }
+    return r.withColumns(out).select([c for c in reads.columns if c != "end"] + ["end"])
+
+
+def _overlap(acc: Column, e: Column) -> Column:
+    """Bases of a CIGAR element that lie in [lo, hi): all of an insertion or inner clip whose place does."""
+    at, size = acc["ref"], e["len"]
+    spans = F.greatest(F.least(at + size, F.col("hi")) - F.greatest(at, F.col("lo")), F.lit(0))
+    edge = F.when((at > F.col("lo")) & (at <= F.col("hi")) & (e["op"] == "I") | ((at >= F.col("lo")) & (at <= F.col("hi")) & e["op"].isin("S", "H")), size).otherwise(0)
+    return F.when(e["op"].isin(*REFERENCE_OPS), spans).otherwise(edge)
+
+
 SITE = ["sample_id", "contig", "locus"]
 
 

@@ -61,7 +61,10 @@ def somatic_joint_command(spark, args):
     pile = _pile(spark, args, _reads(spark, args, args.paths))
     evidence = joint.sample_evidence(joint.read_support(pile, joint.candidate_alleles(pile)), samples)
     forced = REF.loci(spark, args.force_call_loci).select("contig", F.explode(F.sequence("start", F.col("end") - 1)).alias("start")) if args.force_call_loci else None
-    calls = joint.choose_alleles(joint.joint_calls(evidence), keep_uncalled=forced)
+    calls = joint.annotate(joint.choose_alleles(joint.joint_calls(evidence), keep_uncalled=forced), evidence)
+    if not args.include_filtered:
+        passing = F.size("failing") == 0
+        calls = calls.filter(passing if forced is None else passing | ~(F.col("is_germline") | F.col("is_somatic")))
     if args.only_somatic:
         calls = calls.filter("is_somatic")
     labels = dict(enumerate(names)) | {-1: "pooled_normal", -2: "pooled_tumor"}
@@ -94,6 +97,15 @@ def variant_support_command(spark, args):
 
 
 def _partitioning(spark, args, reads: DataFrame) -> DataFrame:
+    """A given partitioning is read where it exists, else computed and, if a path was given, saved there."""
+    if not args.loci_partitioning:
+        return _compute_partitioning(spark, args, reads)
+    if not REF.exists(spark, args.loci_partitioning):
+        REF.write_partitioning(_compute_partitioning(spark, args, reads), args.loci_partitioning)
+    return REF.read_partitioning(spark, args.loci_partitioning)
+
+
+def _compute_partitioning(spark, args, reads: DataFrame) -> DataFrame:
     loci = _loci(spark, args, reads)
     n = args.parallelism or spark.sparkContext.defaultParallelism
     if args.loci_partitioner == "uniform":
@@ -109,7 +121,11 @@ def partition_loci_command(spark, args):
 
 def partition_reads_command(spark, args):
     reads = _reads(spark, args, args.paths)
-    laid = P.partition_regions(reads.drop("base_qualities", "mate"), _partitioning(spark, args, reads), args.half_window, args.parallelism or spark.sparkContext.defaultParallelism)
+    partitioning = _partitioning(spark, args, reads)
+    if args.partitioning_stats:
+        for table in P.partition_stats(P.partition_copies(reads.select("rid", "contig", "start", "end"), partitioning, args.half_window)):
+            table.orderBy(table.columns[0]).show(100, truncate=False)
+    laid = P.partition_regions(reads.drop("base_qualities", "mate"), partitioning, args.half_window, args.parallelism or spark.sparkContext.defaultParallelism)
     laid.write.partitionBy("partition").parquet(args.out)
 
 
@@ -131,6 +147,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--loci")
         c.add_argument("--loci-file")
         c.add_argument("--out")
+        c.add_argument("--split-size", type=int, help="most bytes of a file that one task reads")
         return c
 
     c = command("somatic-standard", somatic_standard_command)
@@ -146,6 +163,7 @@ def parser() -> argparse.ArgumentParser:
     c = command("somatic-joint", somatic_joint_command, many=True)
     c.add_argument("--out-dir", required=True)
     c.add_argument("--only-somatic", action="store_true")
+    c.add_argument("--include-filtered", action="store_true")
     c.add_argument("--tissue-types", nargs="*")
     c.add_argument("--analytes", nargs="*")
     c.add_argument("--force-call-loci")
@@ -164,6 +182,8 @@ def parser() -> argparse.ArgumentParser:
         c = command(name, run, many=True, reference=False)
         c.add_argument("--loci-partitioner", choices=("capped", "micro-regions", "uniform"), default="capped")
         c.add_argument("--trim-ranges", action="store_true")
+        c.add_argument("--loci-partitioning")
+        c.add_argument("--partitioning-stats", action="store_true")
         for option, default in (("max-reads-per-partition", 100_000), ("partition-accuracy", 250), ("parallelism", 0), ("half-window", 0)):
             c.add_argument(f"--{option}", type=int, default=default)
     return top
@@ -171,7 +191,10 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    args.run(SparkSession.builder.appName(f"strandloom {args.command}").getOrCreate(), args)
+    spark = SparkSession.builder.appName(f"strandloom {args.command}").getOrCreate()
+    if args.split_size:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(args.split_size))
+    args.run(spark, args)
 
 
 if __name__ == "__main__":

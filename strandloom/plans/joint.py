@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import phred_to_success
+from ..functions.scalar import phred_to_success, strand_bias_phred
+from ..operators.filters import failing_names, insufficient_normal
 
 SITE = ["contig", "start", "end", "ref", "alt"]
 
@@ -142,6 +143,22 @@ def choose_alleles(calls: DataFrame, params: Parameters = Parameters(), keep_unc
     return forced.filter((called | F.col("forced")) & (F.col("rank") <= params.max_calls_per_site)).drop("rank")
 
 
+def annotate(calls: DataFrame, evidence: DataFrame, params: Parameters = Parameters(), fixed_strand_bias: bool = False) -> DataFrame:
+    """Calls with the names of the filters they fail: of triggering samples only where each of them fails one, and of the site.
+
+    STRAND_BIAS by sample (as computed elsewhere it is never positive, so nothing fails unless it is fixed);
+    INSUFFICIENT_NORMAL by site, for somatic calls only.
+    """
+    bias = strand_bias_phred(F.col("alt_depth"), F.col("alt_forward"), F.col("ref_depth"), F.col("ref_forward"), fixed_strand_bias)
+    by = evidence.filter("tissue = 'tumor' and analyte = 'dna'").select(*SITE, "sample_id", F.when(bias > params.strand_bias_phred, F.array(F.lit("STRAND_BIAS"))).otherwise(F.array().cast("array<string>")).alias("f"))
+    sides = by.groupBy(*SITE).agg(F.sort_array(F.collect_list(F.struct("sample_id", "f"))).alias("sides"))
+    thin = F.col("is_somatic") & F.coalesce(insufficient_normal(F.col("normal_depth"), F.col("normal_ref_depth"), params.normal_min_depth, params.normal_max_percent), F.lit(True))
+    site = F.when(thin, F.array(F.lit("INSUFFICIENT_NORMAL"))).otherwise(F.array().cast("array<string>"))
+    names = failing_names(F.transform(F.col("sides"), lambda x: x["f"]), F.transform(F.col("sides"), lambda x: F.array_contains(F.col("triggered"), x["sample_id"])), site)
+    joined = calls.join(sides, SITE, "left")
+    return joined.withColumn("failing", F.when(F.col("sides").isNull(), site).otherwise(names)).drop("sides")
+
+
 def calls_for_query(pile: DataFrame, germline: bool) -> DataFrame:
     samples = pile.sparkSession.createDataFrame([(1, "normal", "dna"), (0, "tumor", "dna")], "sample_id int, tissue string, analyte string")
     calls = joint_calls(sample_evidence(read_support(pile, candidate_alleles(pile)), samples))

@@ -94,6 +94,12 @@ def read_partitioning(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.regexp_extract("v", LINE, 1).alias("contig"), *(F.regexp_extract("v", LINE, i).try_cast(t).alias(n) for i, n, t in ((2, "start", "long"), (3, "end", "long"), (4, "partition", "int"))))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def write_partitioning(partitioning: DataFrame, path: str) -> None:
     line = F.format_string("%s:%d-%d=%d", "contig", "start", "end", "partition")
     partitioning.orderBy("contig", "start").select(line.alias("value")).write.mode("errorifexists").text(path)

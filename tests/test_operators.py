@@ -217,3 +217,29 @@ def test_site_predicates(spark):
     t = spark.createDataFrame([(29, 29, [["a"], []], [True, False], ["s"]), (100, 96, [["a"], []], [True, True], []), (100, 98, [[], []], [False, False], [])], "n int, r int, f array<array<string>>, t array<boolean>, s array<string>")
     got = t.select(insufficient_normal(F.col("n"), F.col("r")).alias("i"), failing_names(F.col("f"), F.col("t"), F.col("s")).alias("x")).collect()
     assert [(r.i, r.x) for r in got] == [(True, ["a", "s"]), (True, []), (False, [])]
+
+
+def test_slice_reads(spark):
+    from pyspark.sql import functions as F
+
+    r = spark.createDataFrame([(0, "c", 10, "AACCGGTT", list(range(8)), "2S2M1I1D3M"), (1, "c", 40, "ACGT", [1, 2, 3, 4], "4M")], "read_id long, contig string, start long, sequence string, base_qualities array<int>, cigar string")
+    got = {x.read_id: (x.start, x.end, x.sequence, x.base_qualities, x.cigar) for x in PU.slice_reads(r, F.lit(11), F.lit(15)).collect()}
+    assert got == {0: (11, 15, "CGGT", [3, 4, 5, 6], "1M1I1D2M")}
+    whole = PU.slice_reads(r, F.lit(0), F.lit(99)).filter("read_id = 0").first()
+    assert (whole.start, whole.end, whole.sequence, whole.cigar) == (10, 16, "AACCGGTT", "2S2M1I1D3M")
+
+
+def test_joint_annotations(spark):
+    reads = [(1, 0, "ACGTA", "5M", 30)] * 10 + [(0, 0, "ACGTA", "5M", 30)] * 20 + [(0, 0, "ACTTA", "5M", 30)] * 20
+    p = pile(spark, reads, "ACGTA")
+    samples = spark.createDataFrame([(1, "normal", "dna"), (0, "tumor", "dna")], "sample_id int, tissue string, analyte string")
+    evidence = joint.sample_evidence(joint.read_support(p, joint.candidate_alleles(p)), samples)
+    calls = joint.annotate(joint.joint_calls(evidence), evidence).collect()
+    assert [c.failing for c in calls] == [["INSUFFICIENT_NORMAL"]]
+    with pytest.raises(Exception, match="normal RNA"):
+        joint.sample_evidence(joint.read_support(p, joint.candidate_alleles(p)), spark.createDataFrame([(1, "normal", "rna")], samples.schema)).collect()
+
+
+def test_depth_report(spark):
+    text = I.depth_report(I.coverage(regions(spark, REGIONS)), 5)
+    assert text.splitlines()[0] == "10 positions of depth 5 or less, 4 deeper (28.57 %)" and "chr5:90-91 dropped 1" in text
