@@ -70,7 +70,8 @@ def _unit_hashes() -> np.ndarray:
 UNIT_HASHES = _unit_hashes()
 
 
-def templates(data: np.ndarray, offs: np.ndarray) -> Templates:
+def templates(data: np.ndarray, offs: np.ndarray) -> tuple[Templates, Templates]:
+    """The texts' templates with names as slots, and with names as words (for texts whose capitals are lost)."""
     words = Words(data, offs)
     # without outer punctuation; words of punctuation alone go
     solid = np.flatnonzero(ALNUM[data])
@@ -82,7 +83,8 @@ def templates(data: np.ndarray, offs: np.ndarray) -> Templates:
     # A-Z and the capitals of Latin-1 folded
     low = LOWER[data].copy()
     if n == 0:
-        return Templates(np.zeros(0, U), np.zeros(0, np.int8), np.zeros(0, U), doc)
+        none = Templates(np.zeros(0, U), np.zeros(0, np.int8), np.zeros(0, U), doc)
+        return none, none
     latin = np.zeros(len(data), dtype=bool)
     latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
     low[latin] += 0x20
@@ -103,6 +105,7 @@ def templates(data: np.ndarray, offs: np.ndarray) -> Templates:
     begins = np.ones(n, dtype=bool)
     begins[1:] = gap[start[1:]] > gap[end[:-1]]
     begins[doc[:-1][doc[:-1] < n]] = True
+    plain = Templates(np.where(kind == 0, h, SLOT_CODES[kind]), kind.copy(), h, doc)
     kind[title & ~begins & (kind == 0)] = NAME
     # names of several words are one slot
     keep = np.ones(n, dtype=bool)
@@ -111,19 +114,16 @@ def templates(data: np.ndarray, offs: np.ndarray) -> Templates:
     value = np.add.reduceat(h, heads)
     kind = kind[heads]
     code = np.where(kind == 0, h[heads], SLOT_CODES[kind])
-    return Templates(code, kind, value, np.concatenate([[0], np.cumsum(keep)])[doc])
+    return Templates(code, kind, value, np.concatenate([[0], np.cumsum(keep)])[doc]), plain
 
 
-class Benchmark:
-    """Template windows of some items: sorted window hashes with item and position."""
+class Windows:
+    """Windows of one kind of templates of some items: sorted window hashes with item and position."""
 
-    def __init__(self, ids: list, texts: list[str]):
-        raw = [(t or "").encode() for t in texts]
-        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        self.ids = ids
-        self.t = templates(data, np.cumsum([0, *map(len, raw)]))
+    def __init__(self, t: Templates):
+        self.t = t
         hashes, item, pos, width = [], [], [], []
-        for i in range(len(ids)):
+        for i in range(len(t.doc) - 1):
             a, b = int(self.t.doc[i]), int(self.t.doc[i + 1])
             w = min(WINDOW, b - a)
             if w == 0:
@@ -143,9 +143,8 @@ class Benchmark:
         self.near[(h & U((1 << 22) - 1)).astype(np.int64)] = True
         self.widths = sorted(set(self.width.tolist()))
 
-    def matches(self, data: np.ndarray, offs: np.ndarray) -> list[tuple]:
-        """(text, item, windows, longest run, covered tokens, item tokens, same slot values) of each contaminated pair."""
-        t = templates(data, offs)
+    def matches(self, t: Templates) -> dict[tuple, tuple]:
+        """(text, item) -> (longest run, covered tokens, windows, same slot values, item tokens) of each contaminated pair."""
         hits: dict[tuple, list] = defaultdict(list)
         for w in self.widths:
             x = window_hashes(t.code, w)
@@ -178,10 +177,27 @@ class Benchmark:
             longest = int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
             total = int(covered.sum())
             if longest >= min(RUN, b - a) or total >= SHARE * (b - a) and longest >= min(WINDOW, b - a):
-                row = (longest, total, len(found), same and not clash)
-                if row > best.get((d, i), (0, 0, 0, False)):
-                    best[d, i] = row
-        return [(d, i, n, longest, total, int(self.t.doc[i + 1] - self.t.doc[i]), same) for (d, i), (longest, total, n, same) in sorted(best.items())]
+                row = (longest, total, len(found), same and not clash, b - a)
+                best[d, i] = max(row, best.get((d, i), row))
+        return best
+
+
+class Benchmark:
+    """Template windows of some items, with names as slots and as words."""
+
+    def __init__(self, ids: list, texts: list[str]):
+        raw = [(t or "").encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.ids = ids
+        self.kinds = [Windows(t) for t in templates(data, np.cumsum([0, *map(len, raw)]))]
+
+    def matches(self, data: np.ndarray, offs: np.ndarray) -> list[tuple]:
+        """(text, item, windows, longest run, covered tokens, item tokens, same slot values) of each contaminated pair, by the template that covers more."""
+        best: dict[tuple, tuple] = {}
+        for windows, t in zip(self.kinds, templates(data, offs)):
+            for pair, row in windows.matches(t).items():
+                best[pair] = max(row, best.get(pair, row))
+        return [(d, i, n, longest, total, size, same) for (d, i), (longest, total, n, same, size) in sorted(best.items())]
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
