@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .bitmap import bitmap, split_by
+from .bitmap import bitmap, inside, only, slot
 from .spark import bound_batches, cut, hold
 from .textops import U, Words, chunks, sliding_min, window_hashes
 
@@ -177,10 +177,15 @@ def _subtrees(batches):
         yield work(pa.Table.from_batches(held))
 
 
-def _removal(keep_cols: int, known: bool):
-    """Words, removed words and kept text of each row; `known` rows carry whether they are a copy and their repeats."""
+def _removal(keep_cols: int, known: bool, bits=None):
+    """Words, removed words and kept text of each row; `known` rows carry whether they are a copy and their repeats.
+
+    Rows that are not `known` carry their slot last; those that the bitmap has are left out.
+    """
     def kernel(batches):
         for batch in batches:
+            if bits is not None:
+                batch = batch.filter(pa.array(~inside(batch.column(batch.num_columns - 1), bits.value)))
             copies = batch.column(1).to_pylist() if known else None
             hits = batch.column(2).to_pylist() if known else None
             base = 3 if known else 1
@@ -239,7 +244,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = cut(shared)  # a table of its own, so that both sides of the join are shuffled and a frequent prefix can be split
     hits = cut(anchors.join(shared, "prefix").groupBy("id").agg(F.collect_list(F.struct("prefix", "place", "large")).alias("found")))
     hits = hits.join(classes.select("id", "ca").dropDuplicates(["id"]), "id")
-    maybe, _ = split_by(src, "id", bitmap(hits, "id"))
+    maybe = only(src, "id", bitmap(hits, "id"))
     contexts = hold(maybe.join(hits.hint("shuffle_hash"), "id").select("id", "text", "found", "ca").mapInArrow(_contexts, "prefix long, other long, id long, place int, left int, right int, codes binary"))
     small = contexts.filter("codes is not null").repartition("prefix").sortWithinPartitions("prefix")
     found = small.select("prefix", "id", "place", "left", "right", "codes").mapInArrow(_subtrees, "id long, place int, mask long")
@@ -255,11 +260,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .groupBy("id").agg(F.max("copy").alias("copy"), F.first("hits", ignorenulls=True).alias("hits"))
     )
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *(F.col(c) for c in keep))
-    hit, clear = split_by(rows, "__id", bitmap(marks, "id"))
+    bits = bitmap(marks, "id")
+    hit, shared_bits = only(rows, "__id", bits), docs.sparkSession.sparkContext.broadcast(bits)
     out = StructType([rows.schema[c] for c in keep]).add("n_words", LongType()).add("n_removed", LongType()).add("kept_text", StringType())
     changed = hit.join(marks.withColumnRenamed("id", "__mark").hint("shuffle_hash"), F.col("__id") == F.col("__mark"), "left")
     one = changed.select("__text", F.coalesce("copy", F.lit(False)).alias("__copy"), F.col("hits").alias("__hits"), *keep).mapInArrow(_removal(len(keep), True), out)
-    two = clear.select("__text", *keep).mapInArrow(_removal(len(keep), False), out)
+    two = rows.select("__text", *keep, slot("__id").alias("__slot")).mapInArrow(_removal(len(keep), False, shared_bits), out)
     return one.unionByName(two)
 
 
