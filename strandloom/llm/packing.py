@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -31,6 +32,7 @@ _encoders: dict[tuple, object] = {}
 
 #: A run of letters and then ASCII punctuation without an apostrophe.
 SIMPLE = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+ASCII = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 class WordEncoder(dict):
@@ -48,6 +50,7 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.pieces: dict[str, bytes] = {}
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         # byte b as the model sees it: printable Latin-1 characters stay, the others follow U+0100 in turn
@@ -74,10 +77,21 @@ class WordEncoder(dict):
         if ids is None:
             if len(self.pieces) >= KNOWN_PIECES:
                 self.pieces.clear()
-            ids = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], dtype="<u4").tobytes()
+            found = [t.id for t in self.model.tokenize(piece)]
+            ids = self.pieces[piece] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
     def __missing__(self, raw: bytes) -> bytes:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        plain = ASCII(raw) if self.simple else None
+        if plain:
+            letters, marks = plain.groups()
+            ids = self._piece(letters.lower().decode())
+            if marks:
+                ids += self._piece(marks.decode())
+            self[raw] = ids
+            return ids
         word = raw.decode("utf-8", "replace")
         parts = self._split_simple(word) if self.simple else None
         if parts is not None:
@@ -86,8 +100,6 @@ class WordEncoder(dict):
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         else:
             ids = b"".join(map(self._piece, self._split(word)))
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
         self[raw] = ids
         return ids
 
