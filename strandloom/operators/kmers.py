@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Windows that are cut from one piece of a sequence.
+PIECE = 128
+
+
 def kmer_counts(seqs: DataFrame, k: int, min_count: int = 1, min_mean_quality: float | None = None) -> DataFrame:
     """(kmer, n) of all k-mers that occur min_count times or more; a shorter sequence is one k-mer of its own length.
 
@@ -15,7 +19,11 @@ def kmer_counts(seqs: DataFrame, k: int, min_count: int = 1, min_mean_quality: f
         mean = F.aggregate("base_qualities", F.lit(0.0), lambda a, q: a + q) / F.size("base_qualities")
         seqs = seqs.filter(mean > min_mean_quality)
     n = F.greatest(F.length("sequence") - k + 1, F.lit(1))
-    cut = seqs.filter("sequence <> ''").select(F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("sequence"), i, F.lit(k)))).alias("kmer"))
+    # pieces of PIECE windows first: rows that hold a whole sequence for each of its windows would be quadratic in bytes
+    piece = F.explode(F.transform(F.sequence(F.lit(1), n, F.lit(PIECE)), lambda i: F.substring(F.col("sequence"), i, F.lit(PIECE + k - 1)))).alias("piece")
+    pieces = seqs.filter("sequence <> ''").select(piece)
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("piece") - k + 1, F.lit(1)))).alias("i")
+    cut = pieces.select("piece", at).select(F.substring(F.col("piece"), F.col("i"), F.lit(k)).alias("kmer"))
     return cut.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
 
 

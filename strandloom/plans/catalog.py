@@ -151,7 +151,7 @@ def micro_region_partition(spark, d):
 
 @query()
 def capped_partition(spark, d):
-    return P.capped(views.regions(spark, d), None, 2000)
+    return P.capped(views.regions(spark, d), None, 2000, ranges=8)
 
 
 @query(f"WITH {R}, {SPANS}, {UNIFORM.format(p=16)} SELECT DISTINCT rid, \"partition\" FROM parts p JOIN regions r ON r.contig = p.contig AND r.\"start\" < p.\"end\" + 4 AND r.\"end\" > greatest(p.\"start\" - 4, 0)")
