@@ -48,7 +48,6 @@ def _signatures(bands: int, shingle: int):
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero(n)
                 keys = np.zeros((len(sets), bands), dtype=U)
-                sketch = np.zeros((len(sets), 2), dtype=U)
                 own = np.zeros((len(sets), 2), dtype=U)
                 if len(full):
                     flat = np.concatenate(sets)
@@ -59,14 +58,11 @@ def _signatures(bands: int, shingle: int):
                         for r in range(ROWS):
                             x = mix64(x ^ sig[b * ROWS + r].astype(U))
                         keys[full, b] = x
-                    bits = (mix32(sig[: min(k, 128)]) & np.uint32(1)).astype(U)
-                    for j, row in enumerate(bits):
-                        sketch[full, j // 64] |= row << U(j % 64)
                     own[full, 0] = np.add.reduceat(mix64(flat + U(0x2545F491)), first)
                     own[full, 1] = np.bitwise_xor.reduceat(mix64(flat + U(0x6C078965)), first)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(n), *(pa.array(x.view(np.int64)) for x in (own[:, 0].copy(), own[:, 1].copy(), sketch[:, 0].copy(), sketch[:, 1].copy())), list_column(keys.ravel().view(np.int64), bands, pa.int64())],
-                    names=["id", "n", "ca", "cb", "s1", "s2", "bands"],
+                    [ids.slice(lo, hi - lo), pa.array(n), *(pa.array(own[:, j].copy().view(np.int64)) for j in (0, 1)), list_column(keys.ravel().view(np.int64), bands, pa.int64())],
+                    names=["id", "n", "ca", "cb", "bands"],
                 )
 
     return kernel
@@ -112,6 +108,22 @@ def _spread(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), batch.column(0)[i].as_py(), dtype=np.int64)), pa.array(x)], names=["rep", "shingle"])
 
 
+#: 64-bit words of a parity bitmap.
+PARITY = 32
+
+
+def _parity(batches):
+    """Parity bitmaps: every shingle flips one bit, so two bitmaps differ in no more bits than their sets in shingles."""
+    names = ["rep", *(f"p{i}" for i in range(PARITY))]
+    for batch in batches:
+        rows = np.zeros((batch.num_rows, PARITY), dtype=U)
+        for i in range(batch.num_rows):
+            x = np.frombuffer(batch.column(1)[i].as_buffer(), dtype=U)
+            at = (mix64(x + U(0x7F4A7C15)) & U(64 * PARITY - 1)).astype(np.int64)
+            rows[i] = np.packbits((np.bincount(at, minlength=64 * PARITY) & 1).astype(np.uint8)).view(U)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, i].copy().view(np.int64)) for i in range(PARITY))], names=names)
+
+
 def near_duplicate_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-7
 ) -> DataFrame:
@@ -125,8 +137,8 @@ def near_duplicate_components(
     Texts with equal sets are one class from the start, so copies are never paired.  Buckets
     link each class to the bucket's smallest (a star, not all pairs); confirmed links are
     contracted, and only members outside a bucket's main component are then compared with the
-    bucket's other components, behind exact bounds from sizes and from shingles that only one of
-    them has, and a sketch bound (6.5 deviations).
+    bucket's other components, behind exact bounds: sizes, shingles that only one of them has,
+    and parity bitmaps.
     So within buckets no link between different components is left out.
 
     Null or empty texts have no shingles, n_shingles 0, and stand alone; a null id gives a null
@@ -135,10 +147,10 @@ def near_duplicate_components(
     """
     bands = bands_for(percent / 100, miss)
     docs = bound_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = hold(docs.mapInArrow(_signatures(bands, shingle), "id long, n long, ca long, cb long, s1 long, s2 long, bands array<long>"))
+    sig = hold(docs.mapInArrow(_signatures(bands, shingle), "id long, n long, ca long, cb long, bands array<long>"))
     reps = cut(
         sig.filter("n > 0 and id is not null").groupBy("ca", "cb")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("bands").alias("bands"))
+        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     )
     spread = reps.select("rep", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("rep").alias("star"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "star")
@@ -158,22 +170,22 @@ def near_duplicate_components(
     placed = members.select("key", "rep").join(comp.withColumnsRenamed({"u": "rep", "v": "comp"}), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("m", F.negative("comp"))).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "main")
-    facts = reps.select("rep", "n", "s1", "s2", "bands")
+    facts = reps.select("rep", "n", "bands")
     apart = cut(placed.join(mixed, "key").join(facts, "rep"))
     # shingles that no other of these classes has bound what a class can share: J(x, y) <= shared(x) / n(x)
-    own = apart.select(F.col("rep").alias("id")).distinct().join(sets.dropDuplicates(["id"]), "id").mapInArrow(_spread, "rep long, shingle long")
-    lone = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("rep")).filter("m = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
-    apart = cut(apart.join(lone, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone").filter(f"100 * shared >= {percent} * n"))
-    bits = min(bands * ROWS, 128)
-    p = (1 - percent / 100) / 2
-    far = math.ceil(bits * p + 6.5 * math.sqrt(bits * p * (1 - p)))
+    own = cut(apart.select(F.col("rep").alias("id")).distinct().join(sets.dropDuplicates(["id"]), "id"))
+    lone = own.mapInArrow(_spread, "rep long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("rep")).filter("m = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
+    bitmaps = own.mapInArrow(_parity, ", ".join(["rep long", *(f"p{i} long" for i in range(PARITY))]))
+    apart = cut(apart.join(bitmaps, "rep").join(lone, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone").filter(f"100 * shared >= {percent} * n"))
+    differ = " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(PARITY))
     x, y = apart.filter("comp <> main").alias("x"), apart.alias("y")
     pairs = (
         x.join(y, F.expr(
             "x.key = y.key and x.comp <> y.comp and (y.comp = y.main or y.rep > x.rep)"
             f" and 100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
             f" and 100 * least(x.shared, y.shared) >= {percent} * (x.n + y.n - least(x.shared, y.shared))"
-            f" and bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2) <= {far}"
+            # sets that differ in d shingles or more share (x.n + y.n - d) / 2 at most
+            f" and 100 * (x.n + y.n - ({differ})) >= {percent} * (x.n + y.n + ({differ}))"
             # of the buckets that two classes share, one pairs them
             " and x.key = array_min(array_intersect(x.bands, y.bands))"
         ))
