@@ -3,6 +3,7 @@
 For each language a suffix automaton of bounded labelled text is built.  A text is parsed into
 phrases, each the longest match that occurs in the language's text; a language's score is its
 number of phrases over the number of symbols, and the language that needs fewest wins.
+Symbols are letters, with one space for every run of other characters.
 """
 
 from __future__ import annotations
@@ -40,6 +41,17 @@ def is_letter(chars: np.ndarray) -> np.ndarray:
     return out
 
 
+def letters_only(chars: np.ndarray, spaces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters with one space for every run of other characters; where the texts' first spaces are then."""
+    letter = is_letter(chars)
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[spaces] = True  # a text begins with its own space
+    keep[:-1] &= letter[:-1] | ~np.isin(np.arange(1, len(chars)), spaces) | np.isin(np.arange(len(chars) - 1), spaces)
+    at = np.concatenate([[0], np.cumsum(keep)])
+    return np.where(letter, chars, np.uint32(0x20))[keep], at[spaces]
+
+
 def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
     """Transitions (states x alphabet, 0: none; state 0 is unused, state 1 the root) of all substrings of the sequence."""
     link, length, nxt = [0, 0], [0, 0], [{}, {}]
@@ -88,24 +100,27 @@ class Model:
 def fit(docs: DataFrame) -> Model:
     """Fit on (text, lang, key): per language SAMPLE_ROWS rows by a hash of the key, ROW_SYMBOLS characters of each.
 
-    Rows without text or language are left out.  Only the fit is bounded; parsing takes whole texts.
+    Rows without text, language or key are left out.  Only the fit is bounded; parsing takes whole texts.
     """
-    rows = docs.filter("text is not null and lang is not null").withColumn("order", F.xxhash64("key"))
-    names = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    rows = docs.filter("text is not null and lang is not null and key is not null")
+    keys = rows.select("lang", "key", F.xxhash64("key").alias("order"))
+    names = sorted(r["lang"] for r in keys.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages, samples = [], []
     if names:
         chosen = None
-        for name in names:  # top rows per language without a window, so no task holds a language
-            part = rows.filter(F.col("lang") == name).orderBy("order", "key").limit(SAMPLE_ROWS).select("lang", "order", F.substring("text", 1, ROW_SYMBOLS).alias("text"))
+        for name in names:  # the first keys of each language without a window, so no task holds a language
+            part = keys.filter(F.col("lang") == name).orderBy("order", "key").limit(SAMPLE_ROWS)
             chosen = part if chosen is None else chosen.unionByName(part)
-        drawn = sorted((r["lang"], r["order"], r["text"]) for r in chosen.collect())
+        # SAMPLE_ROWS keys a language at most, hence the broadcast; texts are read for these rows alone
+        drawn = rows.join(F.broadcast(chosen.distinct()), ["lang", "key"]).select("lang", "order", F.substring("text", 1, ROW_SYMBOLS).alias("text")).distinct()
+        drawn = sorted((r["lang"], r["order"], r["text"]) for r in drawn.collect())
         for name in names:
             raw = [t.encode() for lang, _, t in drawn if lang == name]
             if raw:
                 offs = np.cumsum([0, *map(len, raw)])
-                chars, _ = folded_chars(np.frombuffer(b"".join(raw), dtype=np.uint8), offs)
+                chars, _ = letters_only(*folded_chars(np.frombuffer(b"".join(raw), dtype=np.uint8), offs))
                 languages.append(name)
                 samples.append(chars[:SAMPLE_SYMBOLS])
     known, n = np.unique(np.concatenate(samples), return_counts=True) if samples else (np.zeros(1, np.uint32), np.zeros(1))
@@ -158,7 +173,7 @@ def identify(docs: DataFrame, model: Model, id_col: str, extra: list[str]) -> Da
     def kernel(batches):
         for batch in batches:
             for lo, hi, data, offs in chunks(batch.column(0)):
-                chars, spaces = folded_chars(data, offs)
+                chars, spaces = letters_only(*folded_chars(data, offs))
                 count = phrase_counts(model.symbols(chars), spaces, model.tables)
                 letters = np.concatenate([[0], np.cumsum(is_letter(chars))])
                 rate = count / np.maximum(np.diff(spaces), 1)[:, None]
