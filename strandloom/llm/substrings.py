@@ -177,7 +177,7 @@ def _subtrees(batches):
         yield work(pa.Table.from_batches(held))
 
 
-def _removal(keep_cols: int, known: bool, bits=None):
+def _removal(keep_cols: int, known: bool, added: tuple, bits=None):
     """Words, removed words and kept text of each row; `known` rows carry whether they are a copy and their repeats.
 
     Rows that are not `known` carry their slot last; those that the bitmap has are left out.
@@ -215,14 +215,14 @@ def _removal(keep_cols: int, known: bool, bits=None):
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[base : base + keep_cols], pa.array(n, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(kept, type=pa.string())],
-                    names=[*batch.schema.names[base : base + keep_cols], "n_words", "n_removed", "kept_text"],
+                    names=[*batch.schema.names[base : base + keep_cols], *added],
                 )
 
     return kernel
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per input row: the columns `keep` (default: the id), n_words, n_removed and kept_text.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, added: tuple[str, str, str] = ("n_words", "n_removed", "kept_text")) -> DataFrame:
+    """One row per input row: the columns `keep` (default: the id), n_words, n_removed and kept_text, or as `added` names them.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged.  A word goes if a window of WINDOW words covers it
     whose words also start in a row with a smaller id; windows are judged on the input.
@@ -262,10 +262,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *(F.col(c) for c in keep))
     bits = bitmap(marks, "id")
     hit, shared_bits = only(rows, "__id", bits), docs.sparkSession.sparkContext.broadcast(bits)
-    out = StructType([rows.schema[c] for c in keep]).add("n_words", LongType()).add("n_removed", LongType()).add("kept_text", StringType())
-    changed = hit.join(marks.withColumnRenamed("id", "__mark").hint("shuffle_hash"), F.col("__id") == F.col("__mark"), "left")
-    one = changed.select("__text", F.coalesce("copy", F.lit(False)).alias("__copy"), F.col("hits").alias("__hits"), *keep).mapInArrow(_removal(len(keep), True), out)
-    two = rows.select("__text", *keep, slot("__id").alias("__slot")).mapInArrow(_removal(len(keep), False, shared_bits), out)
+    out = StructType([rows.schema[c] for c in keep]).add(added[0], LongType()).add(added[1], LongType()).add(added[2], StringType())
+    changed = hit.join(marks.withColumnsRenamed({"id": "__mark", "copy": "__gone", "hits": "__hits"}).hint("shuffle_hash"), F.col("__id") == F.col("__mark"), "left")
+    one = changed.select("__text", F.coalesce("__gone", F.lit(False)).alias("__copy"), "__hits", *keep).mapInArrow(_removal(len(keep), True, added), out)
+    two = rows.select("__text", *keep, slot("__id").alias("__slot")).mapInArrow(_removal(len(keep), False, added, shared_bits), out)
     return one.unionByName(two)
 
 

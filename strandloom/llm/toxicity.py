@@ -20,7 +20,8 @@ from .textops import BASE, BASE_INV, CHUNK_BYTES, U, chunks, mix64, powers, scal
 
 SIZES = (4, 5, 6)
 #: Bounds of the fit: labelled rows per class, features, and the least z of a feature.
-TOXIC_ROWS, CLEAN_ROWS, MAX_FEATURES, MIN_DOCS, MIN_Z = 2000, 4000, 10_000, 3, 4.0
+TOXIC_ROWS, CLEAN_ROWS, MAX_FEATURES, MIN_DOCS, MIN_Z = 2000, 4000, 10_000, 3, 3.0
+SAMPLE_TASKS = 8
 STEPS, RATE, L2 = 300, 0.05, 2e-4
 THRESHOLD = 0.7
 
@@ -73,20 +74,20 @@ class Model:
 
 
 def _train_counts(batches):
-    """(gram, toxic documents, clean documents) of each batch."""
+    """(gram, toxic documents, clean documents), summed over a few hundred kilobytes of text at a time."""
     for batch in batches:
         toxic = np.array(batch.column(1).to_pylist(), dtype=np.int64)
-        parts = ([], [])
-        for lo, _, data, offs in chunks(batch.column(0), 4 * CHUNK_BYTES):
+        for lo, _, data, offs in chunks(batch.column(0), CHUNK_BYTES):
+            parts = ([], [])
             chars, spaces = folded_chars(data, offs)
             hashed = [ngram_hashes(chars, s) for s in SIZES]
             for i, spans in enumerate(zip(*(_spans(spaces, s) for s in SIZES))):
                 parts[toxic[lo + i]].append(np.unique(np.concatenate([h[a:b] for h, (a, b) in zip(hashed, spans)])))
-        for y in (0, 1):
-            if parts[y]:
-                grams, n = np.unique(np.concatenate(parts[y]), return_counts=True)
-                zero = np.zeros(len(n), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n if y else zero), pa.array(zero if y else n)], names=["gram", "a", "b"])
+            for y in (0, 1):
+                if parts[y]:
+                    grams, n = np.unique(np.concatenate(parts[y]), return_counts=True)
+                    zero = np.zeros(len(n), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n if y else zero), pa.array(zero if y else n)], names=["gram", "a", "b"])
 
 
 class _Lookup:
@@ -126,8 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Model:
         return labels.filter(F.col("toxic") == y).select("id", "toxic").distinct().orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
 
     chosen = cut(some(1, TOXIC_ROWS).unionByName(some(0, CLEAN_ROWS)))
-    # at most TOXIC_ROWS + CLEAN_ROWS rows, hence the broadcast
-    sample = cut(docs.filter("text is not null").join(F.broadcast(chosen), "id").select("text", F.col("toxic").cast("int").alias("toxic")))
+    # at most TOXIC_ROWS + CLEAN_ROWS rows, hence the broadcast; dealt anew, so that the scan keeps its own tasks
+    sample = cut(docs.filter("text is not null").join(F.broadcast(chosen), "id").select("text", F.col("toxic").cast("int").alias("toxic")).repartition(SAMPLE_TASKS))
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
@@ -175,8 +176,8 @@ def _logistic(row: np.ndarray, col: np.ndarray, ratio: np.ndarray, y: np.ndarray
     return w, float(bias)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and (score, predicted); column `text` is scored whole (null: empty)."""
+def score(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns `keep` of docs and the score and prediction as `names`, which `keep` must not hold; column `text` is scored whole (null: empty)."""
     def kernel(batches):
         look = _Lookup(model.grams)
         for batch in batches:
@@ -184,10 +185,10 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 s = np.array([model.bias + model.weights[f].sum() for f in look.rows(data, offs)])
                 p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*keep, *names])
 
     src = bound_batches(docs).select(F.col("text").alias("__text"), *(F.col(c) for c in keep))
-    out = StructType(src.schema.fields[1:]).add("score", DoubleType()).add("predicted", IntegerType())
+    out = StructType(src.schema.fields[1:]).add(names[0], DoubleType()).add(names[1], IntegerType())
     return src.mapInArrow(kernel, out)
 
 

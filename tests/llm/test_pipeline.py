@@ -41,6 +41,26 @@ def test_stages(spark, folder):
     assert {p.doc_id for p in C.run(spark, d).collect()} == set(clean)
 
 
+def test_extra_columns_nulls_and_repeats(spark, folder):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as C
+
+    from .helpers import clashing
+
+    d, rows = folder
+    docs = clashing(spark.read.parquet(f"{d}/documents.parquet")).withColumns({c: F.lit(c) for c in ("kept", "n_removed", "kept_text", "text2", "toxic", "found", "ca", "bands")})
+    docs = docs.unionByName(docs.filter("doc_id = 7000")).unionByName(docs.filter("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(None).cast("string")))
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, d).persist()
+        assert out.columns == docs.columns and out.filter("toxic <> 'toxic' or kept <> 'kept'").count() == 0
+        assert out.filter("doc_id is null").count() == 1
+        docs = out
+        if name == "minhash_near_dedup":
+            assert docs.filter("doc_id = 7000").count() == 1
+    assert C.STAGES[-1][1](spark, docs, d).filter("doc_id is null").count() == 1
+
+
 def test_empty_documents(spark, folder, tmp_path):
     import corpus_pipeline as C
 
