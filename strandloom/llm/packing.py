@@ -25,7 +25,10 @@ from .textops import chunks
 #: Words, and pieces of words, whose ids are kept in a worker; a full table is emptied.
 KNOWN_WORDS, KNOWN_PIECES = 500_000, 500_000
 #: Examples among which a bin chooses, and the most token bytes they hold together.
-POOL, POOL_BYTES = 256, 16 << 20
+POOL, POOL_BYTES = 256, 8 << 20
+
+#: Pieces of one output batch.
+OUT_ROWS = 1024
 
 _encoders: dict[tuple, object] = {}
 
@@ -257,7 +260,7 @@ def pack_documents(
                     count += 1
                     while packer.full() and packer.total() >= max_tokens:
                         give(packer.fill())
-                if len(rows) >= 4096:
+                if len(rows) >= OUT_ROWS:
                     yield out()
         while packer.keys:
             b = packer.bin
