@@ -165,15 +165,18 @@ def vaf_histogram(loci: DataFrame, bins: int = 20) -> DataFrame:
 def genotype_likelihoods(pile: DataFrame, genotypes: DataFrame, use_mapq: bool = False, normalize: bool = False) -> DataFrame:
     """(site, genotype_id, ln_likelihood): sum over elements of ln sum over alleles of p(element, allele) * fraction.
 
-    genotypes: (site, genotype_id, ref, alt, fraction); p is the element's chance to be right where
+    genotypes: (site, genotype_id, ref, alt, fraction), an allele once in each; p is the element's chance to be right where
     it shows the allele, else to be wrong.  Equal elements are counted before they are joined.
     """
     right = phred_to_success(F.col("qual").cast("double"))
     if use_mapq:
         right = right * phred_to_success(F.col("mapq").cast("double"))
-    counted = pile.select(*SITE, "ref", "alt", right.alias("p")).groupBy(*SITE, "ref", "alt", "p").agg(F.count(F.lit(1)).alias("m"))
-    g = genotypes.groupBy(*SITE, "genotype_id").agg(F.collect_list(F.struct("ref", "alt", "fraction")).alias("mix"))
-    share = F.aggregate("mix", F.lit(0.0), lambda acc, a: acc + a["fraction"] * F.when((a["ref"] == F.col("ref")) & (a["alt"] == F.col("alt")), F.col("p")).otherwise(1 - F.col("p")))
+    allele = F.concat_ws(">", "ref", "alt")
+    counted = pile.select(*SITE, allele.alias("allele"), right.alias("p")).groupBy(*SITE, "allele", "p").agg(F.count(F.lit(1)).alias("m"))
+    g = genotypes.groupBy(*SITE, "genotype_id").agg(F.map_from_entries(F.collect_list(F.struct(allele.alias("allele"), "fraction"))).alias("mix"), F.sum("fraction").alias("whole"))
+    # sum of fraction * (p where the allele is shown, else 1 - p)
+    shown = F.coalesce(F.try_element_at("mix", F.col("allele")), F.lit(0.0))
+    share = shown * F.col("p") + (F.col("whole") - shown) * (1 - F.col("p"))
     out = counted.join(g, SITE).groupBy(*SITE, "genotype_id").agg(F.sum(F.col("m") * F.ln(share)).alias("ln_likelihood"))
     if normalize:
         w = W.partitionBy(*SITE)
