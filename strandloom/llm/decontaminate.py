@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .spark import bound_batches
 from .textops import BASE, BASE_INV, CODES, LOWER, U, Words, chunks, mix64, powers, scalar_mix, window_hashes
 
-#: Words of a window, and of them the least that are literal.
+#: Words of a window, and of them the least that are literal; where slots are dense, windows grow until they hold so many.
 WINDOW, LITERALS = 8, 5
 #: A match counts if it covers so many tokens in a row, or this share of the item's tokens.
 RUN, SHARE = 13, 0.5
@@ -70,8 +70,8 @@ def _unit_hashes() -> np.ndarray:
 UNIT_HASHES = _unit_hashes()
 
 
-def templates(data: np.ndarray, offs: np.ndarray) -> tuple[Templates, Templates]:
-    """The texts' templates with names as slots, and with names as words (for texts whose capitals are lost)."""
+def templates(data: np.ndarray, offs: np.ndarray) -> tuple[Templates, Templates, Templates]:
+    """The texts' templates with names as slots, with names as words (for texts whose capitals are lost), and of words alone."""
     words = Words(data, offs)
     # without outer punctuation; words of punctuation alone go
     solid = np.flatnonzero(ALNUM[data])
@@ -84,7 +84,7 @@ def templates(data: np.ndarray, offs: np.ndarray) -> tuple[Templates, Templates]
     low = LOWER[data].copy()
     if n == 0:
         none = Templates(np.zeros(0, U), np.zeros(0, np.int8), np.zeros(0, U), doc)
-        return none, none
+        return none, none, none
     latin = np.zeros(len(data), dtype=bool)
     latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
     low[latin] += 0x20
@@ -106,6 +106,7 @@ def templates(data: np.ndarray, offs: np.ndarray) -> tuple[Templates, Templates]
     begins[1:] = gap[start[1:]] > gap[end[:-1]]
     begins[doc[:-1][doc[:-1] < n]] = True
     plain = Templates(np.where(kind == 0, h, SLOT_CODES[kind]), kind.copy(), h, doc)
+    raw = Templates(h, np.zeros(n, dtype=np.int8), h, doc)
     kind[title & ~begins & (kind == 0)] = NAME
     # names of several words are one slot
     keep = np.ones(n, dtype=bool)
@@ -114,42 +115,98 @@ def templates(data: np.ndarray, offs: np.ndarray) -> tuple[Templates, Templates]
     value = np.add.reduceat(h, heads)
     kind = kind[heads]
     code = np.where(kind == 0, h[heads], SLOT_CODES[kind])
-    return Templates(code, kind, value, np.concatenate([[0], np.cumsum(keep)])[doc]), plain
+    return Templates(code, kind, value, np.concatenate([[0], np.cumsum(keep)])[doc]), plain, raw
+
+
+def spans(kind: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the windows of an item with such tokens.
+
+    From every token forwards, and up to every token backwards, the shortest window of WINDOW tokens at least of which
+    LITERALS are literal.  An item without so many is one window; one of slots alone has none.
+    """
+    n = len(kind)
+    literal = np.concatenate([[0], np.cumsum(kind == 0)])
+    if literal[-1] == 0:
+        return []
+    if n <= WINDOW or literal[-1] < LITERALS:
+        return [(0, n)]
+    at = np.arange(n + 1)
+    ends = np.maximum(at + WINDOW, np.searchsorted(literal, literal + LITERALS))
+    starts = np.minimum(at - WINDOW, np.searchsorted(literal, literal - LITERALS, side="right") - 1)
+    fore, back = ends <= n, starts >= 0
+    return sorted({*zip(at[fore].tolist(), ends[fore].tolist()), *zip(starts[back].tolist(), at[back].tolist())})
+
+
+def starved(kind: np.ndarray) -> bool:
+    """Whether a window of WINDOW tokens (or the whole of a shorter item) has too few literal ones."""
+    w = min(WINDOW, len(kind))
+    literal = np.concatenate([[0], np.cumsum(kind == 0)])
+    return bool((literal[w:] - literal[: len(literal) - w] < min(LITERALS, w)).any())
+
+
+NEAR = (1 << 22) - 1
 
 
 class Windows:
-    """Windows of one kind of templates of some items: sorted window hashes with item and position."""
+    """Windows of one kind of templates of some items (or of those marked): sorted window hashes with item, position and width.
+
+    Windows of more than WINDOW tokens are looked for where their first WINDOW tokens occur.
+    """
 
-    def __init__(self, t: Templates):
+    def __init__(self, t: Templates, only: list[bool] | None = None):
         self.t = t
-        hashes, item, pos, width = [], [], [], []
+        hashes, item, pos, width, seeds = [], [], [], [], []
         for i in range(len(t.doc) - 1):
             a, b = int(self.t.doc[i]), int(self.t.doc[i + 1])
-            w = min(WINDOW, b - a)
-            if w == 0:
+            if a == b or only is not None and not only[i]:
                 continue
-            literal = np.concatenate([[0], np.cumsum(self.t.kind[a:b] == 0)])
-            fits = np.flatnonzero(literal[w:] - literal[:-w] >= min(LITERALS, w))
-            x = window_hashes(self.t.code[a:b], w)[fits]
-            hashes.append(x)
-            item.append(np.full(len(x), i))
-            pos.append(fits)
-            width.append(np.full(len(x), w))
+            found = np.array(spans(self.t.kind[a:b]), dtype=np.int64).reshape(-1, 2)
+            start, size = found[:, 0], found[:, 1] - found[:, 0]
+            code = self.t.code[a:b]
+            for w in sorted(set(size.tolist())):
+                of = start[size == w]
+                hashes.append(window_hashes(code, w)[of])
+                item.append(np.full(len(of), i))
+                pos.append(of)
+                width.append(np.full(len(of), w))
+                if w > WINDOW:
+                    seeds.append(window_hashes(code, WINDOW)[of])
         cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         h = cat(hashes, U)
         order = np.argsort(h, kind="stable")
         self.hash, self.item, self.pos, self.width = h[order], cat(item, np.int64)[order], cat(pos, np.int64)[order], cat(width, np.int64)[order]
-        self.near = np.zeros(1 << 22, dtype=bool)
-        self.near[(h & U((1 << 22) - 1)).astype(np.int64)] = True
+        self.near, self.seed = self._marks(h), self._marks(cat(seeds, U))
         self.widths = sorted(set(self.width.tolist()))
 
+    @staticmethod
+    def _marks(h: np.ndarray) -> np.ndarray | None:
+        if not len(h):
+            return None
+        marks = np.zeros(NEAR + 1, dtype=bool)
+        marks[(h & U(NEAR)).astype(np.int64)] = True
+        return marks
+
+    def _places(self, code: np.ndarray):
+        """(width, positions, window hashes) of what may be windows of items."""
+        near = lambda x, marks: np.flatnonzero(marks[(x & U(NEAR)).astype(np.int64)])
+        for w in self.widths:
+            if w <= WINDOW:
+                x = window_hashes(code, w)
+                at = near(x, self.near)
+                yield w, at, x[at]
+        if self.seed is not None:
+            seeds = near(window_hashes(code, WINDOW), self.seed)
+            prefix = np.concatenate([np.zeros(1, U), np.cumsum(code * powers(BASE, len(code)))])
+            for w in self.widths:
+                if w > WINDOW:
+                    at = seeds[seeds + w <= len(code)]
+                    yield w, at, mix64((prefix[at + w] - prefix[at]) * powers(BASE_INV, len(code) + 1)[at] + U(scalar_mix(w * 0x51ED27)))
+
     def matches(self, t: Templates) -> dict[tuple, tuple]:
         """(text, item) -> (longest run, covered tokens, windows, same slot values, item tokens) of each contaminated pair."""
         hits: dict[tuple, list] = defaultdict(list)
-        for w in self.widths:
-            x = window_hashes(t.code, w)
-            at = np.flatnonzero(self.near[(x & U((1 << 22) - 1)).astype(np.int64)])
-            lo, hi = np.searchsorted(self.hash, x[at], "left"), np.searchsorted(self.hash, x[at], "right")
+        for w, at, x in self._places(t.code):
+            lo, hi = np.searchsorted(self.hash, x, "left"), np.searchsorted(self.hash, x, "right")
             at, lo, hi = at[lo < hi], lo[lo < hi], hi[lo < hi]
             text = np.searchsorted(t.doc, at, side="right") - 1
             for p, d, a, b in zip(at.tolist(), text.tolist(), lo.tolist(), hi.tolist()):
@@ -183,13 +240,16 @@ class Windows:
 
 
 class Benchmark:
-    """Template windows of some items, with names as slots and as words."""
+    """Template windows of some items, with names as slots and as words, and word windows of items with stretches of dense slots."""
 
     def __init__(self, ids: list, texts: list[str]):
         raw = [(t or "").encode() for t in texts]
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
         self.ids = ids
-        self.kinds = [Windows(t) for t in templates(data, np.cumsum([0, *map(len, raw)]))]
+        *kinds, words = templates(data, np.cumsum([0, *map(len, raw)]))
+        # verbatim copies of what has no window of WINDOW template tokens
+        dense = [any(starved(t.kind[t.doc[i] : t.doc[i + 1]]) for t in kinds) for i in range(len(ids))]
+        self.kinds = [*map(Windows, kinds), Windows(words, dense)]
 
     def matches(self, data: np.ndarray, offs: np.ndarray) -> list[tuple]:
         """(text, item, windows, longest run, covered tokens, item tokens, same slot values) of each contaminated pair, by the template that covers more."""
@@ -218,7 +278,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Whole texts are searched; null or empty texts and items match nothing; repeated rows give repeated
     pairs; null ids stay null; other columns are ignored.  Of several places in a document
-    the longest counts.  Items with fewer tokens than a window are one window.
+    the longest counts.  Items with fewer tokens than a window are one window, as are items with
+    fewer than LITERALS literal ones; of items of slots alone only verbatim copies are found.
     """
     src = bound_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = f"`{id_col}` long, item_id long, n_windows long, longest_run long, n_covered long, n_item_tokens long, coverage double, same_values boolean"

@@ -32,6 +32,23 @@ def test_inconsistent_slots_do_not_count():
     assert not got or got[0][4] < matches(item, item)[0][4]
 
 
+def test_items_of_dense_slots():
+    for item, other in (
+        ("What is 12 times 7?", "What is 9 times 31?"),
+        ("Solve 3 x + 5 = 20 for x", "Solve 8 x + 2 = 90 for x"),
+        ("Add 12 km, 15 km, 18 km, 20 km, 31 km and 44 km, then halve it.", "Add 2 mi, 5 mi, 8 mi, 10 mi, 21 mi and 34 mi, then halve it."),
+    ):
+        assert [m[-1] for m in matches(item, f"so {item} and on")] == [True]
+        assert [m[-1] for m in matches(item, f"so {other} and on")] == [False]
+    # one value for two, and slots alone, which are found verbatim
+    assert matches("What is 12 times 7?", "What is 9 times 9?") == []
+    assert matches("12 7 19 3", "so 12 7 19 3 and on") and matches("12 7 19 3", "so 12 7 19 4 and on") == []
+    # the slots at both ends of a long item are covered too
+    item = "1 2 3 4 5 6 7 8 9 of them were sold by noon and 11 12 13 14 15 16 17 18 19"
+    text = "21 22 23 24 25 26 27 28 29 of them were sold by noon and 31 32 33 34 35 36 37 38 39"
+    assert matches(item, f"so {text} then")[0][4] == 25 and matches(item, item)[0][4] == 25
+
+
 def test_planted_items(spark, monkeypatch):
     rng = random.Random(4)
     items = [(i, " ".join(f"{rng.choice('bcdfg')}{rng.choice(['ar', 'on', 'il'])}{rng.randrange(90)}q" for _ in range(rng.randrange(6, 40)))) for i in range(30)] + [(99, None), (98, "")]
