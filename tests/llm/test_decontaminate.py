@@ -49,6 +49,18 @@ def test_items_of_dense_slots():
     assert matches(item, f"so {text} then")[0][4] == 25 and matches(item, item)[0][4] == 25
 
 
+def test_names_that_begin_sentences():
+    item = "Tom has 3 apples. Tom gives 2 apples to Ann. Tom buys 4 more. How many apples does Tom have?"
+    other = "Sam has 7 apples. Sam gives 5 apples to Eve. Sam buys 9 more. How many apples does Sam have?"
+    (found,) = matches(item, f"An exercise:\n{other}\nThe end.")
+    assert found[4] == found[5] == 20 and found[-1] is False
+    assert matches(item, f"An exercise:\n{item}\nThe end.")[0][-1] is True
+    # one name for two breaks the one to one map
+    mixed = other.replace("Eve", "Sam")
+    assert matches(item, mixed)[0][4] < 20
+    assert matches("Who is Tom?", "Rome is Paris. Anna is Eve.") == [] and matches("Who is Tom?", "well, Who is Tom?")
+
+
 def test_planted_items(spark, monkeypatch):
     rng = random.Random(4)
     items = [(i, " ".join(f"{rng.choice('bcdfg')}{rng.choice(['ar', 'on', 'il'])}{rng.randrange(90)}q" for _ in range(rng.randrange(6, 40)))) for i in range(30)] + [(99, None), (98, "")]
