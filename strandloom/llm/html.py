@@ -171,6 +171,10 @@ def walk(root: Node):
         todo.extend(node.children)
 
 
+def own_text(node: Node) -> str:
+    return "".join(p for p in node.parts if isinstance(p, str)).strip()
+
+
 def _tree_rows(batches):
     """(host, path, kind, feature, pages) of each batch: kind 0 a presentation, 1 a text block."""
     for batch in batches:
@@ -181,7 +185,7 @@ def _tree_rows(batches):
                 seen = set()
                 for node in walk(parse(raw[a:b].decode("utf-8", "replace"))):
                     seen.add((node.path, 0, _key(" ".join(f"{c.tag}.{'.'.join(c.names)}" for c in node.children))))
-                    own = "".join(p for p in node.parts if isinstance(p, str)).strip()
+                    own = own_text(node)
                     if own:
                         seen.add((node.path, 1, _key(_space.sub(" ", own))))
                 for x in seen:
@@ -210,10 +214,10 @@ def site_style_tree(pages: DataFrame) -> DataFrame:
 
 
 def importance(node: Node, tree: dict[int, tuple[int, float, float]]) -> dict[int, float]:
-    """Composite importance of all nodes below (by identity), children first."""
+    """Composite importance of all nodes below (by identity), children first; a path that the tree lacks was seen once."""
     out: dict[int, float] = {}
     for n in reversed(list(walk(node))):
-        pages, shown, said = tree.get(n.path, (1, 1.0, math.nan))
+        pages, shown, said = tree.get(n.path) or (1, 1.0, 1.0 if own_text(n) else math.nan)
         below = [out[id(c)] for c in n.children]
         if not math.isnan(said):
             below.append(said)
@@ -259,8 +263,10 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit("")))
     src = bound_batches(pages, 500).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    tree = site_style_tree(src).filter(F.col("pages") >= MIN_PAGES)
-    sites = cut(tree.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "presentation", F.coalesce("content", F.lit(float("nan"))).alias("content"))).alias("tree")))
+    # paths seen once have the values that importance() gives paths without a row
+    tree = site_style_tree(src).filter(F.col("pages") > 1)
+    trees = tree.groupBy("host").agg(F.max("pages").alias("most"), F.collect_list(F.struct("path", "pages", "presentation", F.coalesce("content", F.lit(float("nan"))).alias("content"))).alias("tree"))
+    sites = cut(trees.filter(F.col("most") >= MIN_PAGES).select("host", "tree"))
     size = sites.agg(F.sum(F.size("tree"))).first()[0] or 0
 
     def kernel(batches):

@@ -26,6 +26,20 @@ def test_style_tree_finds_boilerplate_without_names(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_rare_paths_count_in_the_tree(spark):
+    kinds = ["gardening", "cooking", "travel", "music", "chess", "boats", "birds", "maps"]
+    pages = []
+    for i in range(24):  # three pages of a kind
+        kind = kinds[i % 8]
+        text = f"story {i} of {kind}"
+        story = f"<p>{text}</p>" if i % 8 > 3 else text
+        pages.append((f"http://h.example/{i}", f"<div class='story'><section class='topic-{kind}'>{story}</section></div><div class='box'><section class='topic-{kind}'>all about {kind}</section></div>"))
+    # a path seen once on a host with pages enough
+    pages.append(("http://h.example/x", "<div class='story'><section class='topic-odd'>story of its own</section></div>"))
+    got = {r.page_id: r.text for r in H.extract_main_text(rows(spark, pages)).collect()}
+    assert got == {**{i: f"story {i} of {kinds[i % 8]}" for i in range(24)}, 24: "story of its own"}
+
+
 def test_copies_of_one_article_stay(spark):
     page = "<html><body><nav>m</nav><article><h1>Title</h1><p>the same story</p></article></body></html>"
     got = H.extract_main_text(rows(spark, [("http://h.example/", page)] * 40)).collect()
