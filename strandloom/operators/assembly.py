@@ -175,7 +175,8 @@ def haplotypes(reads: list[tuple[str, float]], reference: str, k: int, min_occur
         return []
     if len(found) <= expected:
         return found
-    cost = {h: sum(int(align(s, h)[0]) for s, _ in reads) for h in found}
+    times = Counter(s for s, _ in reads)
+    cost = {h: sum(n * int(align(s, h)[0]) for s, n in times.items()) for h in found}
     return sorted(found, key=lambda h: (cost[h], h))[:expected]
 
 

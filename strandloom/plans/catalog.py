@@ -425,16 +425,21 @@ def affine_alignment(spark, d):
     from ..operators.assembly import align_table
 
     s = views.seqs(spark, d, "benchmark", "item_id").filter("sequence <> ''")
-    bent = F.concat(F.substring("sequence", 5, 20), F.substring("sequence", 28, 25))
-    return align_table(s.select("id", bent.alias("sequence"), F.substring("sequence", 1, 80).alias("reference")))
+    bent = F.concat(F.substring("sequence", 5, 20), F.expr("substring(sequence, 28)"))
+    # a few long sequences in one file are work for many tasks
+    return align_table(s.select("id", bent.alias("sequence"), F.col("sequence").alias("reference")).repartition(64, "id"))
 
 
 @query()
 def debruijn_paths(spark, d):
     from ..operators.assembly import assemble_windows
+    from .germline import tiles
 
-    ref = views.reference(spark, d).select("contig", F.lit(10).cast("long").alias("start"), F.substring("sequence", 11, 60).alias("reference"))
-    return assemble_windows(views.reads(spark, d), ref, k=11, min_occurrence=2, read_length=views.READ)
+    ref = views.reference(spark, d)
+    loci = ref.select("contig", F.lit(0).cast("long").alias("start"), F.col("contig_length").alias("end"))
+    # a window is assembled where reads hold its first and last k-mers, so each base is in several; a variant comes once
+    found = assemble_windows(views.reads(spark, d), tiles(ref, loci, 11, 60, step=10), k=11, min_occurrence=2, read_length=views.READ)
+    return found.groupBy("contig", "start", "ref", "alt").agg(F.max("n_haplotypes").alias("n_haplotypes"))
 
 
 @query()

@@ -32,16 +32,19 @@ def germline_shortcut(pile: DataFrame, min_likelihood: int = 0, min_variant_read
     return called.filter(F.col("phred") >= min_likelihood)
 
 
-def germline_assembly(reads: DataFrame, reference: DataFrame, loci: DataFrame, k: int = 47, half_window: int = 120, min_occurrence: int = 3) -> DataFrame:
+def germline_assembly(reads: DataFrame, reference: DataFrame, loci: DataFrame, k: int = 47, half_window: int = 120, min_occurrence: int = 3, step: int | None = None) -> DataFrame:
     """Variants of assemblies in windows that tile the loci; windows overlap by k so that none is lost at an edge, and each variant comes once.
 
     One state per interval of the loci: results do not depend on how tasks are laid out.
     """
     check_assembly(k, half_window)
-    size = 2 * half_window
-    step = size - k
-    starts = loci.select("contig", F.explode(F.sequence("start", F.greatest(F.col("end") - 1, F.col("start")), F.lit(step))).alias("start"))
+    windows = tiles(reference, loci, k, 2 * half_window, step)
+    return assemble_windows(reads, windows, k, min_occurrence).groupBy("contig", "start", "ref", "alt").agg(F.max("n_haplotypes").alias("n_haplotypes"))
+
+
+def tiles(reference: DataFrame, loci: DataFrame, k: int, size: int, step: int | None = None) -> DataFrame:
+    """Windows (contig, start, reference) of size bases that cover the loci, at every step bases, or overlapping by k."""
+    starts = loci.select("contig", F.explode(F.sequence("start", F.greatest(F.col("end") - 1, F.col("start")), F.lit(step or size - k))).alias("start"))
     r = reference.select("contig", "offset", "sequence")
     held = starts.join(r, "contig").filter((F.col("start") >= F.col("offset")) & (F.col("start") < F.col("offset") + F.length("sequence")))
-    windows = held.select("contig", "start", F.substring("sequence", (F.col("start") - F.col("offset") + 1).cast("int"), F.lit(size)).alias("reference")).filter(F.length("reference") >= k)
-    return assemble_windows(reads, windows, k, min_occurrence).groupBy("contig", "start", "ref", "alt").agg(F.max("n_haplotypes").alias("n_haplotypes"))
+    return held.select("contig", "start", F.substring("sequence", (F.col("start") - F.col("offset") + 1).cast("int"), F.lit(size)).alias("reference")).filter(F.length("reference") >= k)

@@ -1,10 +1,12 @@
 """Every query with SQL gives the rows of DuckDB on the same tables."""
 
 import os
+import re
 
 import duckdb
 import pytest
 
+from strandloom.operators import assembly as A
 from strandloom.plans import catalog
 
 
@@ -36,6 +38,21 @@ def test_kernels_run(spark, data_dir, name):
     assert catalog.QUERIES[name](spark, deeper if os.path.isdir(deeper) else data_dir).count() > 0
 
 
+def test_kernels_take_whole_sequences(spark, data_dir, monkeypatch):
+    deeper = data_dir.replace("sf0.001", "sf0.01")
+    d = deeper if os.path.isdir(deeper) else data_dir
+    size = {r.id: len(r.sequence) for r in catalog.views.seqs(spark, d, "benchmark", "item_id").collect()}
+    ends = {r.id: sum(int(n) for n, op in re.findall(r"(\d+)([=XID])", r.cigar) if op != "D") for r in catalog.QUERIES["affine_alignment"](spark, d).collect()}
+    assert ends == {i: n - 7 for i, n in size.items() if n >= 28}
+    seen, assemble = [], A.assemble_windows
+    monkeypatch.setattr(A, "assemble_windows", lambda reads, windows, *a, **k: seen.append(windows) or assemble(reads, windows, *a, **k))
+    catalog.QUERIES["debruijn_paths"](spark, d)
+    covered = {}
+    for w in seen[0].collect():
+        covered.setdefault(w.contig, set()).update(range(w.start, w.start + len(w.reference)))
+    assert covered == {f"b{i}": set(range(n)) for i, n in size.items() if n >= 60}
+
+
 def test_entry_contract():
     import __spark_entry__ as e
 
