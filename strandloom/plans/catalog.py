@@ -444,6 +444,16 @@ def debruijn_paths(spark, d):
 
 @query()
 def germline_assembly(spark, d):
+    from . import germline
+
+    ref = views.reference(spark, d)
+    loci = ref.select("contig", F.lit(0).cast("long").alias("start"), F.col("contig_length").alias("end"))
+    # reads of READ bases hold no k-mers of the command's default
+    return germline.germline_assembly(views.reads(spark, d), ref, loci, k=11, half_window=30, min_occurrence=2, step=10)
+
+
+@query()
+def germline_shortcut(spark, d):
     from .germline import germline_shortcut
 
     return germline_shortcut(views.pile(spark, d))

@@ -53,6 +53,11 @@ def test_kernels_take_whole_sequences(spark, data_dir, monkeypatch):
     assert covered == {f"b{i}": set(range(n)) for i, n in size.items() if n >= 60}
 
 
+def test_germline_queries_are_what_they_say(spark, data_dir):
+    assert "n_haplotypes" in catalog.QUERIES["germline_assembly"](spark, data_dir).columns
+    assert "genotype_id" in catalog.QUERIES["germline_shortcut"](spark, data_dir).columns
+
+
 def test_entry_contract():
     import __spark_entry__ as e
 
