@@ -36,24 +36,69 @@ def test_languages(spark):
     assert L.language_predictions(bare).first().lang_pred == "und"
 
 
+def longest_match_phrases(text, joined):
+    """Phrases of the text by the definition: each the longest match in `joined`, or one symbol that it lacks."""
+    n = at = 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[at : end + 1] in joined:
+            end += 1
+        n, at = n + 1, max(end, at + 1)
+    return n
+
+
 def test_phrase_counts_against_longest_matches():
     rng = random.Random(3)
-    train = [rng.randrange(1, 5) for _ in range(300)]
-    joined = "".join(map(str, train))
-    texts = [[rng.randrange(0, 5) for _ in range(n)] for n in (0, 1, 30, L.BLOCK, 2 * L.BLOCK + 7)]
-    spans = np.cumsum([0, *map(len, texts)])
-    got = L.phrase_counts(np.array([s for t in texts for s in t]), spans, [L.suffix_automaton(train, 6)])
-
-    def count(t):
-        n = at = 0
-        while at < len(t):
-            end = at
-            while end < len(t) and "".join(map(str, t[at : end + 1])) in joined:
-                end += 1
-            n, at = n + 1, max(end, at + 1)
-        return n
-
-    assert got[:, 0].tolist() == [sum(count(t[i : i + L.BLOCK]) for i in range(0, len(t), L.BLOCK)) for t in texts]
+    for alphabet, block in ((4, 512), (4, 7), (2, 3), (40, 16), (90, 16)):
+        train = [rng.randrange(1, alphabet + 1) for _ in range(300)]
+        joined = "".join(map(chr, train))
+        texts = [[rng.randrange(0, alphabet + 2) for _ in range(n)] for n in (0, 1, 30, block, 2 * block + 7, 40 * block + 1)]
+        texts += [train[20:] + train[:200], [0] * (3 * block), train[:block] * 5]
+        spans = np.cumsum([0, *map(len, texts)])
+        L_block, L.BLOCK = L.BLOCK, block
+        got = L.phrase_counts(np.array([s for t in texts for s in t]), spans, [L.Automaton(np.array(train), alphabet + 2), L.Automaton(np.array(train[:50]), alphabet + 2)])
+        L.BLOCK = L_block
+        assert got[:, 0].tolist() == [longest_match_phrases("".join(map(chr, t)), joined) for t in texts]
+        assert got[:, 1].tolist() == [longest_match_phrases("".join(map(chr, t)), joined[:50]) for t in texts]
+
+
+def test_language_predictions_against_phrases(spark):
+    """Predictions and scores from the learned letters by plain string search; a text of over a million characters, other scripts."""
+    rng = random.Random(7)
+    letters = {"el": "αβγδεζηθ", "ru": "абвгдежз", "zh": "".join(chr(0x4E00 + i) for i in range(0, 3000, 7)), "en": "abcdefgh"}
+    # two languages of one script, and many letters in all
+    say = lambda lang, n: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randrange(1, 6))) for _ in range(n))
+    rows = [(i, say(lang := rng.choice(list(letters)), rng.randrange(3, 60)), lang, None, None) for i in range(120)]
+    rows += [(500, say("ru", 200_000), None, None, None), (501, "жж 12 αα!", None, None, None)]
+    df = table(spark, rows)
+    got = {r.doc_id: r for r in L.language_predictions(df).collect()}
+    model = L.fit(df.filter("crc32(cast(doc_id as string)) % 4 <> 2").selectExpr("text", "lang", "doc_id as key"))
+    assert model.languages == sorted(letters) and len(model.chars) > 400
+    learned = {}
+    for i, text, lang, *_ in rows:
+        if lang and rest(i, 4) != 2:
+            learned.setdefault(lang, []).append(text)
+    folded = {i: " " + " ".join("".join(c if c.isalpha() else " " for c in t).split()) for i, t, *_ in rows}
+    for i, text, lang, *_ in rows[:30] + rows[-1:]:
+        raw = text.encode()
+        chars, spaces = L.letters_only(*T.folded_chars(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+        chars = chars[: spaces[1]]
+        assert "".join(map(chr, chars)).strip() == folded[i].strip().lower()
+        counts = L.phrase_counts(model.symbols(chars), np.array([0, len(chars)]), model.automata)[0]
+        best = int(np.argmin(counts))
+        assert got[i].lang_pred == model.languages[best]
+        assert math.isclose(got[i].score, 1 - counts[best] / np.delete(counts, best).min(), abs_tol=1e-9)
+    assert all(got[i].lang_pred == lang for i, _, lang, *_ in rows[:120]) and got[500].lang_pred == "ru"
+
+
+def test_language_samples_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_ROWS", 10)
+    monkeypatch.setattr(L, "SAMPLE_SYMBOLS", 1000)
+    rng = random.Random(8)
+    rows = [(i, speech(rng, "xx" if i % 3 else "yy", 100), "xx" if i % 3 else "yy", None, None) for i in range(300)] + [(1, "extra", "xx", None, None)]
+    model = L.fit(table(spark, rows).selectExpr("text", "lang", "doc_id as key"))
+    states = [len(a.flat) // a.width for a in model.automata]
+    assert model.languages == ["xx", "yy"] and all(500 < s < 3000 for s in states)
 
 
 def test_toxicity(spark):
