@@ -4,8 +4,8 @@ Texts are encoded once as blocks of word numbers.  Word counts are aggregated ov
 by hash buckets.  The model's symbols are the most frequent training words, one each, and for
 all other words a class by word ending; within a class a word keeps its share of the class's
 unigram probability, so every word counts and the model's tables have a fixed size.
-Baum-Welch: each task sums expected counts over its blocks, the sums are aggregated across
-tasks, and the driver normalises tables of STATES x symbols.  Scores come from the scaled
+Baum-Welch: each task sums expected counts over its blocks' whole texts, the sums are aggregated
+across tasks, and the driver normalises tables of STATES x symbols.  Scores come from the scaled
 forward recursion over whole texts.
 """
 
@@ -20,12 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark import bound_batches, cut, hold
-from .textops import U, Words, chunks, scalar_mix
+from .textops import U, Words, buffers, chunks, scalar_mix
 from .toxicity import held_out
 
-STATES, SYMBOLS, ENDINGS, ROUNDS = 8, 4096, 256, 6
-#: In training a text's tokens after the first SEGMENT ones start again from the mean state shares.
-SEGMENT = 128
+STATES, SYMBOLS, ENDINGS = 8, 4096, 256
+#: Baum-Welch ends where a round gains less than GAIN (log10 a token), or after so many rounds.
+ROUNDS, GAIN = 8, 1e-3
+#: Tokens of a text that are stepped through together; a longer text's segments are joined by their transfer matrices.
+SEGMENT = 512
+#: Text bytes of one encoded block (a longer text is a block of its own).
+BLOCK_BYTES = 4 << 20
 #: Prior weight of the unigram shares in a state's emissions.
 PRIOR = 20.0
 #: Distinct (block, word) entries that one counting bucket takes on average.
@@ -45,32 +49,42 @@ def _encode(batches):
     """Blocks of texts: word numbers within the block, the block's words, their endings and training counts."""
     part, count = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        flags = np.array(batch.column(2).to_pylist(), dtype=bool)
-        hashes, endings, sizes = [], [], []
-        for lo, hi, data, offs in chunks(batch.column(1)):
-            w = Words(data, offs, lower=True)
-            h = w.hashes()
-            last = w.data[w.end - 1].astype(np.int64)
-            before = np.where(w.end - w.start > 1, w.data[np.maximum(w.end - 2, 0)], 0).astype(np.int64)
-            e = ((last * 31 + before * 7) % ENDINGS).astype(np.uint8)
-            # an end token after each text
-            at = w.doc[1:]
-            hashes.append(np.insert(h, at, END))
-            endings.append(np.insert(e, at, 0))
-            sizes.append(np.diff(w.doc) + 1)
-        h, e, n = np.concatenate(hashes), np.concatenate(endings), np.concatenate(sizes).astype(np.int32)
-        words, first, number = np.unique(h, return_index=True, return_inverse=True)
-        seen = np.bincount(number[np.repeat(~flags, n)], minlength=len(words)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([(part << 32) + count]), pa.array([batch.column(0).to_pylist()], type=pa.list_(pa.int64())), pa.array([n.tobytes()]), pa.array([flags.astype(np.uint8).tobytes()]),
-                pa.array([_pack(number.astype(np.int32))]), pa.array([words.tobytes()]), pa.array([e[first].tobytes()]), pa.array([seen.tobytes()]),
-            ],
-            names=["block", "ids", "sizes", "held", "tokens", "words", "endings", "seen"],
-        )
-        count += 1
+        held = np.array(batch.column(2).to_pylist(), dtype=bool)
+        for first_row, last_row in _runs(batch.column(1)):
+            flags = held[first_row:last_row]
+            hashes, endings, sizes = [], [], []
+            for _, _, data, offs in chunks(batch.column(1).slice(first_row, last_row - first_row)):
+                w = Words(data, offs, lower=True)
+                h = w.hashes()
+                last = w.data[w.end - 1].astype(np.int64)
+                before = np.where(w.end - w.start > 1, w.data[np.maximum(w.end - 2, 0)], 0).astype(np.int64)
+                e = ((last * 31 + before * 7) % ENDINGS).astype(np.uint8)
+                # an end token after each text
+                at = w.doc[1:]
+                hashes.append(np.insert(h, at, END))
+                endings.append(np.insert(e, at, 0))
+                sizes.append(np.diff(w.doc) + 1)
+            h, e, n = np.concatenate(hashes), np.concatenate(endings), np.concatenate(sizes).astype(np.int32)
+            words, first, number = np.unique(h, return_index=True, return_inverse=True)
+            seen = np.bincount(number[np.repeat(~flags, n)], minlength=len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([(part << 32) + count]), pa.array([batch.column(0)[first_row:last_row].to_pylist()], type=pa.list_(pa.int64())), pa.array([n.tobytes()]), pa.array([flags.astype(np.uint8).tobytes()]),
+                    pa.array([_pack(number.astype(np.int32))]), pa.array([words.tobytes()]), pa.array([e[first].tobytes()]), pa.array([seen.tobytes()]),
+                ],
+                names=["block", "ids", "sizes", "held", "tokens", "words", "endings", "seen"],
+            )
+            count += 1
+
+
+def _runs(texts: pa.Array):
+    """(first, last + 1) of runs of rows within BLOCK_BYTES (one row at least)."""
+    size = buffers(texts)[1]
+    lo, n = 0, len(size) - 1
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(size, size[lo] + BLOCK_BYTES, side="right")) - 1))
+        yield lo, hi
+        lo = hi
 
 
 def _to_buckets(buckets: int):
@@ -159,7 +173,6 @@ class Hmm:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray  # states x symbols
-    mean: np.ndarray  # shares of states over all tokens
 
 
 def first_model(share: np.ndarray, seed: int = 7) -> Hmm:
@@ -169,74 +182,125 @@ def first_model(share: np.ndarray, seed: int = 7) -> Hmm:
     move = np.full((STATES, STATES), 0.05 / (STATES - 1))
     np.fill_diagonal(move, 0.95)
     flat = np.full(STATES, 1 / STATES)
-    return Hmm(flat, move, emit, flat)
+    return Hmm(flat, move, emit)
+
 
+def expected_counts(model: Hmm, sym: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(starts, moves, emissions as states x symbols, log10 likelihood) expected over whole texts.
 
-def expected_counts(model: Hmm, sym: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, moves, emissions as states x symbols) expected over some texts; all segments step together."""
+    All segments of all texts step together.  The product of a segment's steps (a matrix of states x
+    states) carries the forward state to the next segment and the backward state to the one
+    before, so the counts are those of texts that were never cut.
+    """
     k, s = model.emit.shape
+    sizes = sizes[sizes > 0]
     per = -(-sizes // SEGMENT)
     owner = np.repeat(np.arange(len(sizes)), per)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
     begin = (np.cumsum(sizes) - sizes)[owner] + nth * SEGMENT
     size = np.minimum(SEGMENT, sizes[owner] - nth * SEGMENT)
+    emit = np.ascontiguousarray(model.emit.T).astype(np.float32)
+    move = model.move.astype(np.float32)
+    # before its first token each segment is in state `enter`, of a text's first one the token's own state; after its last, `leave`
+    enter, leave = np.tile(model.start, (len(owner), 1)), np.ones((len(owner), k))
+    if (per > 1).any():
+        _join_segments(model, sym, per, nth, begin, size, enter, leave)
     by = np.argsort(-size, kind="stable")
     begin, size, nth = begin[by], size[by], nth[by]
+    enter, leave = enter[by].astype(np.float32), leave[by].astype(np.float32)
     steps = int(size[0]) if len(size) else 0
     live = np.searchsorted(-size, -np.arange(steps), side="left")
-    emit = np.ascontiguousarray(model.emit.T).astype(np.float32)
-    move = model.move.astype(np.float32)
-    alpha, scale, seen = [], [], []
-    state = np.where((nth == 0)[:, None], model.start, model.mean).astype(np.float32)
+    head = (nth == 0)[:, None]
+    alpha, seen, total = [], [], 0.0
+    state = enter
     for t in range(steps):
         n = live[t]
         x = sym[begin[:n] + t]
-        state = (state if t == 0 else state[:n] @ move) * emit[x]
+        state = (np.where(head, state, state @ move) if t == 0 else state[:n] @ move) * emit[x]
         c = state.sum(axis=1, keepdims=True)
-        state /= c
+        state = state / c
+        total += float(np.log10(c).sum())
         alpha.append(state)
-        scale.append(c)
         seen.append(x)
     moves = np.zeros((k, k))
     weights = [None] * steps
     beta = np.zeros((0, k), dtype=np.float32)
+
+    def step_back(before, x, after):
+        """Adds the expected moves into the tokens x; the backward states before them."""
+        nonlocal moves
+        onward = emit[x] * after
+        onward = onward / ((before @ move) * onward).sum(axis=1, keepdims=True)
+        moves += before.T.astype(np.float64) @ onward
+        return onward @ move.T
+
     for t in range(steps - 1, -1, -1):
-        n = live[t]
-        m = len(beta)
+        n, m = live[t], len(beta)
+        back = leave[:n].copy()
         if m:
-            onward = beta * emit[seen[t + 1]] / scale[t + 1]
-            moves += alpha[t][:m].T.astype(np.float64) @ onward
-            back = np.ones((n, k), dtype=np.float32)
-            back[:m] = onward @ move.T
-        else:
-            back = np.ones((n, k), dtype=np.float32)
+            back[:m] = step_back(alpha[t][:m], seen[t + 1][:m], beta)
         beta = back
-        weights[t] = alpha[t] * beta
+        w = alpha[t] * beta
+        weights[t] = w / w.sum(axis=1, keepdims=True)
+    if steps:
+        inner = np.flatnonzero(nth > 0)
+        step_back(enter[inner], seen[0][inner], beta[inner])
     moves *= model.move
-    gamma, at = np.concatenate(weights), np.concatenate(seen)
+    gamma, at = (np.concatenate(weights), np.concatenate(seen)) if steps else (np.zeros((0, k)), np.zeros(0, np.int64))
     emissions = np.stack([np.bincount(at, weights=gamma[:, j], minlength=s) for j in range(k)])
-    starts = weights[0][nth == 0].sum(axis=0).astype(float)
-    return starts, moves, emissions
+    starts = weights[0][nth == 0].sum(axis=0).astype(float) if steps else np.zeros(k)
+    return starts, moves, emissions, total
+
+
+def _join_segments(model: Hmm, sym, per, nth, begin, size, enter, leave) -> None:
+    """Forward states before, and backward states after, the segments of texts of several ones, in place."""
+    k = len(model.move)
+    emit = np.ascontiguousarray(model.emit.T)
+    first = np.cumsum(per) - per
+    several = np.flatnonzero(np.repeat(per > 1, per))
+    order = several[np.argsort(-size[several], kind="stable")]
+    product = np.tile(np.eye(k), (len(order), 1, 1))
+    head = (nth[order] == 0)[:, None, None]
+    live = np.searchsorted(-size[order], -np.arange(int(size[order[0]])), side="left")
+    for t, n in enumerate(live.tolist()):
+        now = product[:n]
+        # the first token of a text moves from nowhere: it starts in the state itself
+        now = np.where(head, now, now @ model.move) if t == 0 else now @ model.move
+        now = now * emit[sym[begin[order[:n]] + t]][:, None, :]
+        product[:n] = now / now.sum(axis=(1, 2), keepdims=True)
+    place = np.zeros(len(nth), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    for j in range(1, int(per.max())):
+        at = (first + j)[per > j]
+        x = np.einsum("ni,nij->nj", enter[at - 1], product[place[at - 1]])
+        enter[at] = x / x.sum(axis=1, keepdims=True)
+        at = (first + per - 1 - j)[per > j]
+        x = np.einsum("nij,nj->ni", product[place[at + 1]], leave[at + 1])
+        leave[at] = x / x.max(axis=1, keepdims=True)
 
 
 def _expect(corpus_symbol, model: Hmm):
     s = model.emit.shape[1]
 
     def kernel(batches):
-        starts, moves, emissions = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, s))
+        starts, moves, emissions, total = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, s)), 0.0
         for batch in batches:
             for sizes, held, tokens, words, endings in zip(*(c.to_pylist() for c in batch.columns)):
                 sizes, held = np.frombuffer(sizes, np.int32).astype(np.int64), np.frombuffer(held, np.uint8).astype(bool)
                 number = _unpack(tokens, int(sizes.sum()), np.int32)
                 sym = corpus_symbol(np.frombuffer(words, U), np.frombuffer(endings, np.uint8))[number[np.repeat(~held, sizes)]]
                 if len(sym):
-                    a, b, c = expected_counts(model, sym, sizes[~held])
+                    a, b, c, d = expected_counts(model, sym, sizes[~held])
+                    total += d
                     starts += a
                     moves += b
                     emissions += c
         both = np.concatenate([starts[:, None], moves, emissions], axis=1)
         i, j = np.nonzero(both)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(both[i, j])], names=["state", "cell", "n"])
+        # the log10 likelihood is a cell of its own
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(i, 0).astype(np.int32)), pa.array(np.append(j, both.shape[1]).astype(np.int32)), pa.array(np.append(both[i, j], total))], names=["state", "cell", "n"]
+        )
 
     return kernel
 
@@ -247,18 +311,21 @@ def baum_welch(corpus: Corpus, rounds: int = ROUNDS) -> Hmm:
         return model
     data = corpus.blocks.select("sizes", "held", "tokens", "words", "endings")
     symbol = Corpus(None, None, 0, 0, corpus.top, None).symbol
+    last = -np.inf
     for _ in range(rounds):
         # STATES x (1 + STATES + SYMBOLS + ENDINGS) cells at most come to the driver
         sums = data.mapInArrow(_expect(symbol, model), "state int, cell int, n double").groupBy("state", "cell").agg(F.sum("n").alias("n")).toPandas()
-        both = np.zeros((STATES, 1 + STATES + len(corpus.share)))
+        both = np.zeros((STATES, 2 + STATES + len(corpus.share)))
         both[sums["state"], sums["cell"]] = sums["n"]
-        starts, moves, emit = both[:, 0], both[:, 1 : 1 + STATES], both[:, 1 + STATES :]
-        mean = emit.sum(axis=1) + 1e-6
+        starts, moves, emit, likelihood = both[:, 0], both[:, 1 : 1 + STATES], both[:, 1 + STATES : -1], both[0, -1] / corpus.tokens
         emit = emit + PRIOR * corpus.share / corpus.share.sum()
         model = Hmm(
             (starts + 0.1) / (starts + 0.1).sum(), (moves + 0.1) / (moves + 0.1).sum(axis=1, keepdims=True),
-            emit / emit.sum(axis=1, keepdims=True), mean / mean.sum(),
+            emit / emit.sum(axis=1, keepdims=True),
         )
+        if likelihood < last + GAIN:
+            break
+        last = likelihood
     return model
 
 

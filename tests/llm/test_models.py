@@ -1,5 +1,6 @@
 """Classifier, language identification and hidden Markov model: exact parts by brute force, the rest on held-out rows."""
 
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
@@ -146,18 +147,66 @@ def test_hidden_markov_scores(spark, monkeypatch):
     assert H.language_model_scores(empty(spark)).count() == 0
 
 
-def test_forward_against_all_paths():
+def all_paths(model, text):
+    """(likelihood, expected starts, moves, emissions) of one text, path by path."""
+    k = len(model.start)
+    total, starts, moves, emissions = 0.0, np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape)
+    for path in itertools.product(range(k), repeat=len(text)):
+        p = model.start[path[0]] if len(text) else 1.0
+        for i, (z, x) in enumerate(zip(path, text)):
+            p *= model.emit[z, x] * (model.move[path[i - 1], z] if i else 1.0)
+        total += p
+        if len(text):
+            starts[path[0]] += p
+        for i, (z, x) in enumerate(zip(path, text)):
+            emissions[z, x] += p
+            if i:
+                moves[path[i - 1], z] += p
+    return total, starts / total, moves / total, emissions / total
+
+
+def small_model(states=3, symbols=4, seed=0):
+    rng = np.random.default_rng(seed)
+    share = lambda *shape: (lambda x: x / x.sum(axis=-1, keepdims=True))(rng.random(shape) + 0.05)
+    return H.Hmm(share(states), share(states, states), share(states, symbols))
+
+
+def test_forward_and_expected_counts_against_all_paths(monkeypatch):
     rng = np.random.default_rng(0)
-    model = H.first_model(np.array([0.4, 0.3, 0.2, 0.1]))
-    sym, sizes = rng.integers(0, 4, 7), np.array([3, 0, 4])
-    got = H.log10_likelihood(model, sym, sizes)
-    at = 0
-    for k, size in enumerate(sizes):
-        a = None
-        for x in sym[at : at + size]:
-            a = model.start * model.emit[:, x] if a is None else (a @ model.move) * model.emit[:, x]
-        at += size
-        assert math.isclose(got[k], math.log10(a.sum()) if a is not None else 0.0, abs_tol=1e-9)
+    for segment in (512, 1, 2, 3):
+        monkeypatch.setattr(H, "SEGMENT", segment)
+        model = small_model(seed=segment)
+        sizes = np.array([3, 0, 7, 1, 6])
+        sym = rng.integers(0, 4, sizes.sum())
+        texts = np.split(sym, np.cumsum(sizes)[:-1])
+        want = [all_paths(model, t) for t in texts]
+        got = H.log10_likelihood(model, sym, sizes)
+        assert np.allclose(got, [math.log10(w[0]) for w in want], atol=1e-9)
+        starts, moves, emissions, total = H.expected_counts(model, sym, sizes)
+        assert np.allclose(starts, sum(w[1] for w in want), atol=1e-5) and np.allclose(moves, sum(w[2] for w in want), atol=1e-4)
+        assert np.allclose(emissions, sum(w[3] for w in want), atol=1e-4) and math.isclose(total, got.sum(), rel_tol=1e-5)
+
+
+def test_segments_change_no_expected_counts(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = small_model(8, 50)
+    sizes = np.array([5, 1300, 1, 64, 20_000, 65])
+    sym = rng.integers(0, 50, sizes.sum())
+    whole = None
+    for segment in (30_000, 512, 64):
+        monkeypatch.setattr(H, "SEGMENT", segment)
+        found = H.expected_counts(model, sym, sizes)
+        assert math.isclose(found[2].sum(), len(sym), rel_tol=1e-4) and math.isclose(found[1].sum(), len(sym) - len(sizes), rel_tol=1e-4)
+        whole = whole or found
+        assert all(np.allclose(a, b, rtol=1e-3) for a, b in zip(whole, found))
+
+
+def test_scores_of_a_very_long_text_and_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(H, "BLOCK_BYTES", 1000)
+    rows = corpus(5)
+    got = {r.doc_id: r for r in H.language_model_scores(table(spark, rows)).collect()}
+    assert len(got) == len({r[0] for r in rows}) and all(r.score < 0 and r.n_tokens == len(words(t, fold=True)) + 1 for i, t, *_ in rows for r in [got[i]])
+    assert max(r.n_tokens for r in got.values()) > 60_000
 
 
 def test_baum_welch_raises_likelihood():
@@ -169,6 +218,6 @@ def test_baum_welch_raises_likelihood():
         now = H.log10_likelihood(model, sym, sizes).sum()
         assert now > last - 1e-3
         last = now
-        s, m, e = H.expected_counts(model, sym, sizes)
-        assert math.isclose(e.sum(), len(sym), rel_tol=1e-4) and math.isclose(m.sum(), len(sym) - len(sizes), rel_tol=1e-4)
-        model = H.Hmm((s + 1e-9) / (s + 1e-9).sum(), (m + 1e-9) / (m + 1e-9).sum(axis=1, keepdims=True), (e + 1e-9) / (e + 1e-9).sum(axis=1, keepdims=True), e.sum(axis=1) / e.sum())
+        s, m, e, total = H.expected_counts(model, sym, sizes)
+        assert math.isclose(e.sum(), len(sym), rel_tol=1e-4) and math.isclose(m.sum(), len(sym) - len(sizes), rel_tol=1e-4) and math.isclose(total, now, rel_tol=1e-4)
+        model = H.Hmm((s + 1e-9) / (s + 1e-9).sum(), (m + 1e-9) / (m + 1e-9).sum(axis=1, keepdims=True), (e + 1e-9) / (e + 1e-9).sum(axis=1, keepdims=True))
