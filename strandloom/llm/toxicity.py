@@ -1,12 +1,14 @@
 """Toxicity by a linear classifier on character n-grams scaled with naive Bayes log-count ratios.
 
 Feature j of a text is r_j if the n-gram occurs in it and 0 otherwise, where r_j is the log
-ratio of smoothed document frequencies in toxic and clean training texts.  A logistic
-regression is fitted on these features.
+ratio of smoothed document frequencies in toxic and clean training texts; a text's features are
+brought to one length.  A logistic regression is fitted on them, and its scores are calibrated
+on scores that models of other folds give the training texts.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +21,14 @@ from .spark import bound_batches, cut
 from .textops import BASE, BASE_INV, CHUNK_BYTES, U, chunks, mix64, powers, scalar_mix
 
 SIZES = (4, 5, 6)
-#: Bounds of the fit: labelled rows per class, features, and the least z of a feature.
-TOXIC_ROWS, CLEAN_ROWS, MAX_FEATURES, MIN_DOCS, MIN_Z = 2000, 4000, 10_000, 3, 3.0
+#: Bounds of the fit: labelled rows per class.
+TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
+#: An n-gram is a feature if it is in so many of these texts and its shares in the classes differ by z standard errors:
+#: of hundreds of thousands of n-grams nearly all differ by chance, and with them all fewer toxic texts are found (README).
+MIN_DOCS, MIN_Z = 3, 3.0
 SAMPLE_TASKS = 8
-STEPS, RATE, L2 = 300, 0.05, 2e-4
+#: Length that a text's features are brought to, weight of the squared coefficients, rounds of the fit, and folds of the calibration.
+LENGTH, L2, STEPS, FOLDS = 10.0, 1e-2, 60, 4
 THRESHOLD = 0.7
 
 _fold = np.arange(0x600, dtype=np.uint32)
@@ -69,8 +75,22 @@ def _spans(spaces: np.ndarray, size: int):
 @dataclass
 class Model:
     grams: np.ndarray  # sorted hashes
-    weights: np.ndarray  # of the present n-gram: ratio times coefficient
+    ratio: np.ndarray  # log-count ratios
+    coef: np.ndarray
     bias: float
+    slope: float = 1.0  # of the calibration
+    shift: float = 0.0
+
+    def score(self, found: np.ndarray) -> float:
+        """Probability of a text with these n-grams."""
+        r = self.ratio[found]
+        size = float(np.sqrt(r @ r))
+        s = self.bias + (LENGTH * float(r @ self.coef[found]) / size if size else 0.0)
+        return float(_sigmoid(np.array(self.slope * s + self.shift)))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
 def _train_counts(batches):
@@ -132,18 +152,13 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Model:
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
-        return Model(np.zeros(0, dtype=U), np.zeros(0), -3.0 if not pos else 3.0)
+        return Model(np.zeros(0, dtype=U), np.zeros(0), np.zeros(0), -3.0 if not pos else 3.0)
     counts = sample.mapInArrow(_train_counts, "gram long, a long, b long").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     pooled = (F.col("a") + F.col("b")) / F.lit(pos + neg)
     z = (F.col("a") / F.lit(pos) - F.col("b") / F.lit(neg)) / F.sqrt(pooled * (1 - pooled) * F.lit(1 / pos + 1 / neg))
-    rows = (
-        counts.filter(f"a + b >= {MIN_DOCS} and a + b < {pos + neg}").select("gram", "a", "b", F.abs(z).alias("z")).filter(F.col("z") >= MIN_Z)
-        .orderBy(F.desc("z"), "gram").limit(MAX_FEATURES).toPandas()
-    )
-    grams = rows["gram"].to_numpy().view(U) if len(rows) else np.zeros(0, dtype=U)
-    order = np.argsort(grams)
-    grams, a, b = grams[order], rows["a"].to_numpy(dtype=float)[order], rows["b"].to_numpy(dtype=float)[order]
-    ratio = np.log((a + 1) / (pos + 2)) - np.log((b + 1) / (neg + 2))
+    # bounded by the sampled rows, of which a feature needs MIN_DOCS at least
+    rows = counts.filter(f"a + b >= {MIN_DOCS} and a + b < {pos + neg}").filter(F.abs(z) >= MIN_Z).select("gram").toPandas()
+    grams = np.sort(rows["gram"].to_numpy(dtype=np.int64).view(U))
 
     def presence(batches):
         look = _Lookup(grams)
@@ -153,37 +168,108 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(y[lo:hi], type=pa.int32()), pa.array([f.astype(np.int32).tobytes() for f in look.rows(data, offs)], type=pa.binary())], names=["toxic", "found"])
 
     seen = sample.mapInArrow(presence, "toxic int, found binary").collect()
-    y = np.array([r["toxic"] for r in seen], dtype=float)
-    cols = np.frombuffer(b"".join(r["found"] for r in seen), dtype=np.int32)
-    rows_of = np.repeat(np.arange(len(y), dtype=np.int32), [len(r["found"]) // 4 for r in seen])
-    coef, bias = _logistic(rows_of, cols, ratio, y)
-    return Model(grams, coef * ratio, bias)
-
-
-def _logistic(row: np.ndarray, col: np.ndarray, ratio: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the mean log loss with an L2 penalty; starts from naive Bayes weights of a small share."""
-    n, d = len(y), len(ratio)
-    w, bias = np.full(d, 0.02), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
-    m, v = np.zeros(d + 1), np.zeros(d + 1)
+    return _train(grams, [np.frombuffer(r["found"], dtype=np.int32) for r in seen], np.array([r["toxic"] for r in seen], dtype=float))
+
+
+def _train(grams: np.ndarray, found: list[np.ndarray], y: np.ndarray) -> Model:
+    """The model of texts with these n-grams and labels; the order of texts does not matter, and equal texts share a fold."""
+    order = sorted(range(len(y)), key=lambda i: (y[i], found[i].tobytes()))
+    found, y = [found[i] for i in order], y[order]
+    row, col = np.repeat(np.arange(len(y)), [len(f) for f in found]), np.concatenate(found).astype(np.int64)
+    fold = np.array([zlib.crc32(f.tobytes()) % FOLDS for f in found])
+    everything = np.ones(len(y), dtype=bool)
+    ratio, coef, bias = _fit_rows(row, col, y, everything, len(grams))
+    held = np.zeros(len(y))
+    for k in range(FOLDS):
+        r, c, b = _fit_rows(row, col, y, fold != k, len(grams))
+        held[fold == k] = _linear(row, col, r, c, b, len(y))[0][fold == k]
+    slope, shift = _calibrate(held, y)
+    used = np.flatnonzero(ratio)
+    return Model(grams[used], ratio[used], coef[used], bias, slope, shift)
+
+
+def _linear(row, col, ratio, coef, bias, n):
+    """(scores before calibration, the features' values) of all texts."""
     x = ratio[col]
-    for t in range(1, STEPS + 1):
-        s = np.bincount(row, weights=w[col] * x, minlength=n) + bias
-        err = 1 / (1 + np.exp(-np.clip(s, -40, 40))) - y
-        g = np.append(np.bincount(col, weights=err[row] * x, minlength=d) / n + L2 * w, err.mean())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, bias = w - step[:-1], bias - step[-1]
-    return w, float(bias)
+    size = np.sqrt(np.bincount(row, weights=x * x, minlength=n))
+    x = LENGTH * x / np.maximum(size, 1e-12)[row]
+    return np.bincount(row, weights=coef[col] * x, minlength=n) + bias, x
+
+
+def _fit_rows(row, col, y, use, d: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(ratios, coefficients, bias) from the texts that `use` marks; n-grams that tell nothing among these have ratio 0."""
+    on = use[row]
+    pos, neg = max(1.0, float(y[use].sum())), max(1.0, float((1 - y[use]).sum()))
+    a, b = (np.bincount(col[on], weights=w[row[on]], minlength=d) for w in (y, 1 - y))
+    pooled = (a + b) / (pos + neg)
+    z = np.abs(a / pos - b / neg) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / pos + 1 / neg))
+    ratio = np.where((a + b >= MIN_DOCS) & (z >= MIN_Z), np.log((a + 1) / (pos + 2)) - np.log((b + 1) / (neg + 2)), 0.0)
+    on &= ratio[col] != 0
+    row, col, n, m = row[on], col[on], len(y), float(use.sum())
+    x = _linear(row, col, ratio, np.zeros(d), 0.0, n)[1]
+    sign = np.where(y == 1, 1.0, -1.0)
+
+    def loss(w):
+        s = np.bincount(row, weights=w[:-1][col] * x, minlength=n) + w[-1]
+        err = (_sigmoid(s) - y) * use / m
+        value = float((np.logaddexp(0, -sign * s) * use).sum()) / m + L2 / 2 * float(w[:-1] @ w[:-1])
+        return value, np.append(np.bincount(col, weights=err[row] * x, minlength=d) + L2 * w[:-1], err.sum())
+
+    w = _minimise(loss, np.append(np.zeros(d), np.log(pos / neg)))
+    return ratio, w[:-1], float(w[-1])
+
+
+def _minimise(loss, w: np.ndarray, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS with a halving line search."""
+    steps: list[tuple] = []  # (move, change of the gradient, their product)
+    value, grad = loss(w)
+    for _ in range(STEPS):
+        way, parts = grad.copy(), []
+        for s, g, sg in reversed(steps):
+            parts.append(s @ way / sg)
+            way -= parts[-1] * g
+        if steps:
+            way *= steps[-1][2] / (steps[-1][1] @ steps[-1][1])
+        for (s, g, sg), c in zip(steps, reversed(parts)):
+            way += s * (c - g @ way / sg)
+        size, slope = 1.0 if steps else 1 / max(1.0, float(np.abs(grad).sum())), float(grad @ way)
+        new, found = loss(w - size * way)
+        while new > value - 1e-4 * size * slope and size > 1e-9:
+            size /= 2
+            new, found = loss(w - size * way)
+        if value - new <= 1e-7 * abs(value):
+            break
+        s, g = -size * way, found - grad
+        if s @ g > 1e-12:
+            steps = [*steps, (s, g, float(s @ g))][-memory:]
+        w, value, grad = w + s, new, found
+    return w
+
+
+def _calibrate(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve of y over scores s by Newton steps; the slope stays positive, so that scores keep their order."""
+    a, b = 1.0, 0.0
+    for _ in range(100):
+        p = _sigmoid(a * s + b)
+        h = p * (1 - p) + 1e-6
+        hess = np.array([[(h * s * s).mean(), (h * s).mean()], [(h * s).mean(), h.mean()]]) + 1e-6 * np.eye(2)
+        step = np.linalg.solve(hess, [((p - y) * s).mean(), (p - y).mean()])
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(a), float(b)) if np.isfinite([a, b]).all() and a > 0 else (1.0, 0.0)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """The columns `keep` of docs and the score and prediction as `names`, which `keep` must not hold; column `text` is scored whole (null: empty)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def kernel(batches):
+        model = shared.value
         look = _Lookup(model.grams)
         for batch in batches:
             for lo, hi, data, offs in chunks(batch.column(0)):
-                s = np.array([model.bias + model.weights[f].sum() for f in look.rows(data, offs)])
-                p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
+                p = np.array([model.score(f) for f in look.rows(data, offs)])
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*keep, *names])
 

@@ -123,6 +123,52 @@ def test_toxicity(spark):
     assert T.toxicity_scores(table(spark, rows), lab.limit(0)).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_against_the_definition(spark):
+    """Ratios, coefficients and scores by plain sets of n-grams and plain gradient descent; long, repeated and null rows."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(160):
+        w = [rng.choice(["karo", "tomi", "mika", "sela"]) for _ in range(rng.randrange(5, 30))]
+        if i % 3 == 0:
+            w.insert(rng.randrange(len(w)), "grumpf")
+        rows.append((i, " ".join(w), None, None, None))
+        labels.append((i, int(i % 3 == 0)))
+    rows += [rows[0], (500, "grumpf " + "karo tomi " * 60_000, None, None, None), (501, None, None, None, None)]
+    df = table(spark, rows)
+    lab = spark.createDataFrame([*labels, (None, 1), (3, None)], "id long, toxic int")
+    model = T.fit(df.selectExpr("doc_id as id", "text"), lab)
+    got = {r.doc_id: r.score for r in T.score(df, model, ["doc_id"]).collect()}
+
+    def grams(t):
+        t = " " + (t or "").lower() + " "
+        return {t[a : a + n] for n in T.SIZES for a in range(len(t) - n + 1)} if len(t) > 2 else set()
+
+    train = [(grams(t), y) for (i, t, *_), (_, y) in zip(rows, labels)] + [(grams(rows[0][1]), 1)]
+    pos, neg = sum(y for _, y in train), sum(1 - y for _, y in train)
+    ratio = {}
+    for g in set().union(*(s for s, _ in train)):
+        a, b = sum(g in s for s, y in train if y), sum(g in s for s, y in train if not y)
+        pooled = (a + b) / len(train)
+        if a + b >= T.MIN_DOCS and a + b < len(train) and abs(a / pos - b / neg) >= T.MIN_Z * math.sqrt(pooled * (1 - pooled) * (1 / pos + 1 / neg)):
+            ratio[g] = math.log((a + 1) / (pos + 2)) - math.log((b + 1) / (neg + 2))
+    assert len(model.grams) == len(ratio) and np.allclose(np.sort(model.ratio), sorted(ratio.values()))
+    names = sorted(ratio)
+
+    def vector(s):
+        x = np.array([ratio[g] if g in s else 0.0 for g in names])
+        return T.LENGTH * x / np.linalg.norm(x) if x.any() else x
+
+    x, y = np.array([vector(s) for s, _ in train]), np.array([y for _, y in train], dtype=float)
+    w, b = np.zeros(len(names)), 0.0
+    for _ in range(6000):
+        err = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - 0.02 * (x.T @ err / len(y) + T.L2 * w), b - 0.02 * err.mean()
+    for i, text, *_ in rows:
+        s = vector(grams(text)) @ w + b
+        assert math.isclose(got[i], 1 / (1 + math.exp(-(model.slope * s + model.shift))), abs_tol=0.02), i
+    assert got[500] > 0.7 > got[501]
+
+
 def test_folded_characters():
     data = "ÀB\tc d".encode()
     chars, spaces = T.folded_chars(np.frombuffer(data + b"x", dtype=np.uint8), np.array([0, len(data), len(data) + 1]))
