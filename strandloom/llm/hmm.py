@@ -27,7 +27,7 @@ STATES, SYMBOLS, ENDINGS = 8, 4096, 256
 #: Baum-Welch ends where a round gains less than GAIN (log10 a token), or after so many rounds.
 ROUNDS, GAIN = 8, 1e-3
 #: Tokens of a text that are stepped through together; a longer text's segments are joined by their transfer matrices.
-SEGMENT = 512
+SEGMENT = 1024
 #: Text bytes of one encoded block (a longer text is a block of its own).
 BLOCK_BYTES = 4 << 20
 #: Prior weight of the unigram shares in a state's emissions.
@@ -247,7 +247,8 @@ def expected_counts(model: Hmm, sym: np.ndarray, sizes: np.ndarray) -> tuple[np.
         step_back(enter[inner], seen[0][inner], beta[inner])
     moves *= model.move
     gamma, at = (np.concatenate(weights), np.concatenate(seen)) if steps else (np.zeros((0, k)), np.zeros(0, np.int64))
-    emissions = np.stack([np.bincount(at, weights=gamma[:, j], minlength=s) for j in range(k)])
+    cells = (at.astype(np.int64)[:, None] * k + np.arange(k)).ravel()
+    emissions = np.bincount(cells, weights=gamma.ravel(), minlength=s * k).reshape(s, k).T
     starts = weights[0][nth == 0].sum(axis=0).astype(float) if steps else np.zeros(k)
     return starts, moves, emissions, total
 
@@ -255,19 +256,25 @@ def expected_counts(model: Hmm, sym: np.ndarray, sizes: np.ndarray) -> tuple[np.
 def _join_segments(model: Hmm, sym, per, nth, begin, size, enter, leave) -> None:
     """Forward states before, and backward states after, the segments of texts of several ones, in place."""
     k = len(model.move)
-    emit = np.ascontiguousarray(model.emit.T)
+    # products count up to a factor, so each token's largest emission is 1 and a few steps go without scaling
+    emit, move = model.emit.T / model.emit.max(axis=0)[:, None], model.move.astype(np.float32)
+    emit = emit.astype(np.float32)
     first = np.cumsum(per) - per
     several = np.flatnonzero(np.repeat(per > 1, per))
     order = several[np.argsort(-size[several], kind="stable")]
-    product = np.tile(np.eye(k), (len(order), 1, 1))
+    product = np.tile(np.eye(k, dtype=np.float32), (len(order), 1, 1))
     head = (nth[order] == 0)[:, None, None]
     live = np.searchsorted(-size[order], -np.arange(int(size[order[0]])), side="left")
+    at = begin[order]
     for t, n in enumerate(live.tolist()):
-        now = product[:n]
-        # the first token of a text moves from nowhere: it starts in the state itself
-        now = np.where(head, now, now @ model.move) if t == 0 else now @ model.move
-        now = now * emit[sym[begin[order[:n]] + t]][:, None, :]
-        product[:n] = now / now.sum(axis=(1, 2), keepdims=True)
+        now = (product[:n].reshape(-1, k) @ move).reshape(n, k, k)
+        if t == 0:  # the first token of a text moves from nowhere: it starts in the state itself
+            now = np.where(head, product, now)
+        now *= emit[sym[at[:n] + t]][:, None, :]
+        if t % 4 == 3:
+            now /= now.max(axis=(1, 2), keepdims=True)
+        product[:n] = now
+    product = product.astype(np.float64)
     place = np.zeros(len(nth), dtype=np.int64)
     place[order] = np.arange(len(order))
     for j in range(1, int(per.max())):
