@@ -220,8 +220,3 @@ def assemble_windows(reads: DataFrame, windows: DataFrame, k: int, min_occurrenc
         return pd.DataFrame([(pdf["contig"].iloc[0], int(pdf["window"].iloc[0]) + o, r, a, len(found)) for o, r, a in rows], columns=["contig", "start", "ref", "alt", "n_haplotypes"])
 
     return pairs.groupBy("contig", "window").applyInPandas(kernel, "contig string, start long, ref string, alt string, n_haplotypes int")
-
-
-def is_active(n_reads: int, n_noisy: int, min_percent: float = 5) -> bool:
-    """Whether more than so many percent of a window's reads have two mismatches or an indel."""
-    return n_reads > 0 and n_noisy * 100 / n_reads > min_percent

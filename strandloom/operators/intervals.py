@@ -41,8 +41,7 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", width: i
         r = F.broadcast(r)
     if how == "semi":
         if broadcast:
-            plain = F.broadcast(right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)))
-            return left.join(plain, (F.col("contig") == F.col("r_contig")) & (F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start")), "left_semi")
+            return _broadcast_semi(left, right, width)
         keyed = left.withColumn("__row", F.monotonically_increasing_id())
         pairs = overlap_join(keyed, right, "inner", width)
         return pairs.select(*left.columns, "__row").dropDuplicates(["__row"]).drop("__row")
@@ -54,6 +53,34 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", width: i
     ).drop("__bin")
 
 
+#: Widths of the levels of bins that a broadcast semi join looks up, in bins: reads, long regions, contigs.
+LEVELS = (1, 1 << 8, 1 << 24)
+
+
+def _broadcast_semi(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
+    """The rows of `left` that overlap a row of the small table `right`, in one pass without a shuffle.
+
+    A left row is looked up once, by the bin of its start on the first level whose bins are as wide as
+    it is long; so a right row stands in its own bins and the one before, on each level.
+    """
+    spots = right.select(F.col("contig").alias("r_contig"), F.col("start").alias("r_start"), F.col("end").alias("r_end")).filter("r_start < r_end")
+    def places(level: int) -> Column:
+        wide = LEVELS[level] * width
+        return F.transform(F.sequence(F.floor(F.col("r_start") / wide) - 1, F.floor((F.col("r_end") - 1) / wide)), lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin")))
+
+    each = F.explode(F.concat(*map(places, range(len(LEVELS))))).alias("r_at")
+    at = spots.select("*", each)
+    overlap = (F.col("contig") == F.col("r_contig")) & (F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start"))
+    if not small(at, 4 * BROADCAST_ROWS):  # few loci of great length: whole contigs
+        return left.join(F.broadcast(spots), overlap, "left_semi")
+    span, first = F.col("end") - F.col("start"), F.col("start")
+    level, bin_ = F.lit(len(LEVELS) - 1), F.floor(first / (LEVELS[-1] * width))
+    for i in reversed(range(len(LEVELS) - 1)):
+        fits = span <= LEVELS[i] * width
+        level, bin_ = F.when(fits, i).otherwise(level), F.when(fits, F.floor(first / (LEVELS[i] * width))).otherwise(bin_)
+    return left.join(F.broadcast(at), overlap & (F.col("r_at.level") == level) & (F.col("r_at.bin") == bin_), "left_semi")
+
+
 def overlapping(regions: DataFrame, loci: DataFrame) -> DataFrame:
     """Regions that overlap any locus (a semi join)."""
     return overlap_join(regions, loci.select("contig", "start", "end"), "semi", broadcast=small(loci))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -57,7 +58,7 @@ def assign_micro(pieces: list[tuple], counts: dict[int, int], partitions: int) -
     groups: dict[int, list] = {}
     for contig, start, end, m in pieces:
         groups.setdefault(m, []).append([contig, start, end])
-    per = sum(counts.get(m, 0) for m in groups) / partitions
+    per = max(1.0, sum(counts.get(m, 0) for m in groups) / partitions)
     out, part, assigned = [], 0, 0.0
 
     def take(spans: list, n: int) -> None:
@@ -137,37 +138,67 @@ def take_loci(depths: Iterable[tuple[str, int, int, int]], cap: int, trim: bool
         yield ranges
 
 
-def capped(regions: DataFrame, loci: DataFrame | None, cap: int, half_window: int = 0, trim: bool = False, ranges: int = 64) -> DataFrame:
-    """Loci in partitions of at most `cap` regions each; positions deeper than the cap are dropped.
-
-    Each range partition of the sorted coverage is walked on its own, as a stream; partition
-    numbers are then made dense in order.
-    """
-    cov = coverage(regions, half_window, loci).repartitionByRange(ranges, "contig", "locus").sortWithinPartitions("contig", "locus")
+#: Positions that are walked together by `capped`; sets end at their borders, wherever tasks begin.
+SPAN = 1 << 20
 
-    def walk(frames):
-        from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId()
-
-        def rows():
-            for pdf in frames:
-                yield from zip(pdf["contig"], pdf["locus"], pdf["depth"], pdf["starts"])
-
-        for i, found in enumerate(take_loci(rows(), cap, trim)):
-            yield pd.DataFrame([(*r, task, i) for r in found], columns=["contig", "start", "end", "task", "nth"])
+def capped(regions: DataFrame, loci: DataFrame | None, cap: int, half_window: int = 0, trim: bool = False, span: int = SPAN) -> DataFrame:
+    """Loci in partitions of at most `cap` regions each; positions deeper than the cap are dropped.
 
-    found = cov.mapInPandas(walk, "contig string, start long, end long, task int, nth int")
-    sizes = found.groupBy("task").agg((F.max("nth") + 1).alias("m"))
-    before = sizes.select("task", (F.sum("m").over(W.orderBy("task")) - F.col("m")).alias("before"))
-    return found.join(F.broadcast(before), "task").select("contig", "start", "end", (F.col("before") + F.col("nth")).cast("int").alias("partition"))
+    Every `span` positions of a contig are walked on their own, so results do not depend on the layout of
+    the data and no task holds more; partition numbers are then made dense in order.
+    """
+    cov = coverage(regions, half_window, loci).withColumn("part", F.floor(F.col("locus") / span))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("locus")
+        contig, part = pdf["contig"].iloc[0], pdf["part"].iloc[0]
+        found = take_runs(*(pdf[c].to_numpy() for c in ("locus", "depth", "starts")), cap, trim)
+        return pd.DataFrame([(contig, a, b, part, i) for i, runs in enumerate(found) for a, b in runs], columns=["contig", "start", "end", "part", "nth"])
+
+    found = cov.groupBy("contig", "part").applyInPandas(walk, "contig string, start long, end long, part long, nth int")
+    # a row for each span of positions
+    sizes = found.groupBy("contig", "part").agg((F.max("nth") + 1).alias("m"))
+    within = sizes.withColumn("before", F.sum("m").over(W.partitionBy("contig").orderBy("part")) - F.col("m"))
+    contigs = sizes.groupBy("contig").agg(F.sum("m").alias("all")).withColumn("base", F.sum("all").over(W.orderBy("contig")) - F.col("all")).select("contig", "base")
+    return found.join(within, ["contig", "part"]).join(contigs, "contig").select("contig", "start", "end", (F.col("base") + F.col("before") + F.col("nth")).cast("int").alias("partition"))
+
+
+def take_runs(locus: np.ndarray, depth: np.ndarray, starts: np.ndarray, cap: int, trim: bool = False) -> list[list[tuple[int, int]]]:
+    """The sets of take_loci on one contig as ranges: jumps from one position that does not fit to the next."""
+    before = np.concatenate([[0], np.cumsum(starts)])
+    sets: list[list[tuple[int, int]]] = []
+    ranges: list[tuple[int, int]] = []
+    gaps = np.flatnonzero(np.diff(locus) != 1) + 1
+    used = at = 0
+    fresh, n = True, len(locus)
+    while at < n:
+        first = int(depth[at] if fresh else starts[at])
+        if used + first > cap:
+            if depth[at] > cap:
+                at += 1
+                continue
+            if ranges:
+                sets.append(ranges)
+            ranges, used, first = [], 0, int(depth[at])
+        fresh = False
+        # the positions after it that fit cost their starts
+        end = max(at + 1, int(np.searchsorted(before, cap - used - first + before[at + 1], side="right")) - 1)
+        edges = [at, *(gaps[(gaps > at) & (gaps < end)].tolist() if trim else []), end]
+        ranges += [(int(locus[a]), int(locus[b - 1]) + 1) for a, b in zip(edges[:-1], edges[1:])]
+        used += first + int(before[end] - before[at + 1])
+        at = end
+    if ranges:
+        sets.append(ranges)
+    return sets
 
 
 def partition_copies(regions: DataFrame, partitioning: DataFrame, half_window: int = 0) -> DataFrame:
     """Each region once for every partition that it comes within half_window of."""
     near = partitioning.select("contig", F.greatest(F.col("start") - half_window, F.lit(0)).alias("start"), (F.col("end") + half_window).alias("end"), "partition")
     pairs = overlap_join(regions, near, broadcast=small(near)).withColumnRenamed("r_partition", "partition").drop("r_contig", "r_start", "r_end")
-    return pairs.dropDuplicates([*regions.columns, "partition"])
+    # where regions have an id, it alone decides: other columns need not be comparable
+    return pairs.dropDuplicates(["rid", "partition"] if "rid" in regions.columns else [*regions.columns, "partition"])
 
 
 def partition_regions(regions: DataFrame, partitioning: DataFrame, half_window: int, tasks: int) -> DataFrame:

@@ -6,6 +6,7 @@ chunk of the reference, joined by contig and chunk, so neither reads nor referen
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,13 +19,31 @@ CHUNK, OVERLAP = BIN, BIN
 
 
 def reference_chunks(reference: DataFrame) -> DataFrame:
-    """(contig, chunk, chunk_start, bases) from segments (contig, offset, sequence), which may be partial and overlap nothing."""
-    first, last = F.col("offset"), F.col("offset") + F.length("sequence")
-    low = F.floor((first - OVERLAP) / CHUNK)
-    cut = reference.withColumn("chunk", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.floor((last - 1) / CHUNK))))
-    start = F.greatest(first, F.col("chunk") * CHUNK)
-    end = F.least(last, F.col("chunk") * CHUNK + CHUNK + OVERLAP)
-    return cut.filter(start < end).select("contig", "chunk", start.alias("chunk_start"), F.upper(F.substring("sequence", (start - first + 1).cast("int"), (end - start).cast("int"))).alias("bases"))
+    """(contig, chunk, chunk_start, bases) from segments (contig, offset, sequence), which may be partial and overlap nothing.
+
+    A segment is cut in one pass: rows that hold a whole sequence for each of its chunks would be quadratic in bytes.
+    """
+    return reference.select("contig", F.col("offset").cast("long"), "sequence").filter("sequence <> ''").mapInArrow(_cut_chunks, "contig string, chunk long, chunk_start long, bases string")
+
+
+def _cut_chunks(batches):
+    for batch in batches:
+        rows = []
+        for contig, first, sequence in zip(*(c.to_pylist() for c in batch.columns)):
+            last = first + len(sequence)
+            for chunk in range(max(0, (first - OVERLAP) // CHUNK), (last - 1) // CHUNK + 1):
+                start, end = max(first, chunk * CHUNK), min(last, (chunk + 1) * CHUNK + OVERLAP)
+                if start < end:
+                    rows.append((contig, chunk, start, sequence[start - first : end - first].upper()))
+                if len(rows) == 1000:
+                    yield _chunk_batch(rows)
+                    rows = []
+        yield _chunk_batch(rows)
+
+
+def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["contig", "chunk", "chunk_start", "bases"])
 
 
 def with_reference(reads: DataFrame, reference: DataFrame) -> DataFrame:
@@ -201,6 +220,37 @@ def diploid_genotypes(pile: DataFrame) -> DataFrame:
     return pairs.select(*SITE, key.alias("genotype_id"), F.explode(mix).alias("m")).select(*SITE, "genotype_id", "m.*")
 
 
+def diploid_likelihoods(pile: DataFrame, use_mapq: bool = False, normalize: bool = False, min_variants: int = 0) -> DataFrame:
+    """(site, genotype_id, ln_likelihood) of every pair of a site's alleles, as genotype_likelihoods over diploid_genotypes gives them.
+
+    Elements are counted by allele and chance to be right, then a site's counts are one array from which its
+    alleles, their pairs and all likelihoods follow: the pileup is computed once and nothing is joined.
+    Only sites with so many elements whose allele is not the reference's.
+    """
+    right = phred_to_success(F.col("qual").cast("double"))
+    if use_mapq:
+        right = right * phred_to_success(F.col("mapq").cast("double"))
+    counted = pile.select(*SITE, F.struct("ref", "alt").alias("allele"), right.alias("p")).groupBy(*SITE, "allele", "p").agg(F.count(F.lit(1)).alias("m"))
+    varied = F.sum(F.when(F.col("allele.ref") != F.col("allele.alt"), F.col("m")).otherwise(0))
+    sites = counted.groupBy(*SITE).agg(F.array_sort(F.collect_list(F.struct("allele", "p", "m"))).alias("seen"), varied.alias("varied")).filter(F.col("varied") >= min_variants)
+    standard = F.filter(F.array_distinct(F.transform("seen", lambda s: s["allele"])), lambda a: a["alt"].rlike("^[ACGT]*$"))
+    sites = sites.select(*SITE, "seen", F.array_sort(standard).alias("alleles"))
+    name = lambda a: F.concat_ws(">", a["ref"], a["alt"])
+
+    def likelihood(x: Column, y: Column) -> Column:
+        share = lambda s: (F.when(s["allele"] == x, 0.5).otherwise(0.0) + F.when(s["allele"] == y, 0.5).otherwise(0.0))
+        return F.aggregate("seen", F.lit(0.0), lambda acc, s: acc + s["m"] * F.ln(share(s) * s["p"] + (1 - share(s)) * (1 - s["p"])))
+
+    pairs = F.flatten(F.transform("alleles", lambda x, i: F.transform(F.slice("alleles", i + 1, F.size("alleles")), lambda y: F.struct(F.concat_ws("/", name(x), name(y)).alias("genotype_id"), likelihood(x, y).alias("ln_likelihood")))))
+    sites = sites.select(*SITE, pairs.alias("g"))
+    value = F.col("e.ln_likelihood")
+    if normalize:
+        top = F.array_max(F.transform("g", lambda e: e["ln_likelihood"]))
+        sites = sites.withColumn("whole", top + F.ln(F.aggregate("g", F.lit(0.0), lambda acc, e: acc + F.exp(e["ln_likelihood"] - top))))
+        value = value - F.col("whole")
+    return sites.select(*[c for c in sites.columns if c != "g"], F.explode("g").alias("e")).select(*SITE, "e.genotype_id", value.alias("ln_likelihood"))
+
+
 def allele_evidence(pile: DataFrame) -> DataFrame:
     """Per site and allele: depths by strand, mean and median mapping quality, base quality and mismatches of the allele's reads."""
     noisy = pile.join(mismatches_per_read(pile), ["sample_id", "read_id"])

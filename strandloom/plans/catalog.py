@@ -151,7 +151,7 @@ def micro_region_partition(spark, d):
 
 @query()
 def capped_partition(spark, d):
-    return P.capped(views.regions(spark, d), None, 2000, ranges=8)
+    return P.capped(views.regions(spark, d), None, 2000, span=512)
 
 
 @query(f"WITH {R}, {SPANS}, {UNIFORM.format(p=16)} SELECT DISTINCT rid, \"partition\" FROM parts p JOIN regions r ON r.contig = p.contig AND r.\"start\" < p.\"end\" + 4 AND r.\"end\" > greatest(p.\"start\" - 4, 0)")
@@ -286,14 +286,12 @@ lik AS (SELECT sample_id, contig, locus, genotype_id, sum(ln(0.5 * CASE WHEN p."
 
 @query(f"WITH {GENO} SELECT sample_id, contig, locus, genotype_id, round(ll, 6) AS ln_likelihood FROM lik")
 def genotype_likelihood(spark, d):
-    pile = views.pile(spark, d)
-    return PU.genotype_likelihoods(pile, PU.diploid_genotypes(pile)).withColumn("ln_likelihood", F.round("ln_likelihood", 6))
+    return PU.diploid_likelihoods(views.pile(spark, d)).withColumn("ln_likelihood", F.round("ln_likelihood", 6))
 
 
 @query(f"WITH {GENO}, b AS (SELECT *, row_number() OVER (PARTITION BY sample_id, contig, locus ORDER BY round(ll, 6) DESC, genotype_id) AS i FROM lik) SELECT sample_id, contig, locus, genotype_id FROM b WHERE i = 1")
 def best_genotype(spark, d):
-    pile = views.pile(spark, d)
-    lik = PU.genotype_likelihoods(pile, PU.diploid_genotypes(pile))
+    lik = PU.diploid_likelihoods(views.pile(spark, d))
     w = W.partitionBy(*PU.SITE).orderBy(F.desc(F.round("ln_likelihood", 6)), "genotype_id")
     return lik.withColumn("i", F.row_number().over(w)).filter("i = 1").select(*PU.SITE, "genotype_id")
 
@@ -446,10 +444,9 @@ def debruijn_paths(spark, d):
 def germline_assembly(spark, d):
     from . import germline
 
-    ref = views.reference(spark, d)
-    loci = ref.select("contig", F.lit(0).cast("long").alias("start"), F.col("contig_length").alias("end"))
     # reads of READ bases hold no k-mers of the command's default
-    return germline.germline_assembly(views.reads(spark, d), ref, loci, k=11, half_window=30, min_occurrence=2, step=10)
+    reads = views.reads(spark, d).withColumn("end", F.col("start") + views.READ)
+    return germline.germline_calls(reads, views.pile(spark, d), views.reference(spark, d), k=11, half_window=14, min_occurrence=2)
 
 
 @query()

@@ -19,6 +19,9 @@ from .somatic import annotate_known, somatic_standard
 
 def _reads(spark: SparkSession, args, paths: list[str], filtered: bool = True) -> DataFrame:
     keep = ReadFilter(args.include_duplicates, args.include_failed_quality_checks, args.include_single_end, True, args.min_alignment_quality) if filtered else ReadFilter(True, True, True, True)
+    if getattr(args, "partitioned_reads", None):
+        # a read stands in every partition that it comes near; one of its copies is read again
+        return keep(sam.read_partitioned(spark, args.partitioned_reads))
     table = sam.read_samples(spark, paths, keep)
     return table.withColumn("read_id", F.monotonically_increasing_id()).withColumn("rid", F.col("read_id"))
 
@@ -73,10 +76,10 @@ def somatic_joint_command(spark, args):
 
 def germline_command(spark, args):
     reads = _reads(spark, args, [args.reads])
-    if args.shortcut_assembly:
-        out = germline.germline_shortcut(_pile(spark, args, reads), args.min_likelihood)
-    else:
-        out = germline.germline_assembly(reads, REF.read_fasta(spark, args.reference), _loci(spark, args, reads), args.kmer_size, args.assembly_window_range, args.min_occurrence)
+    out = germline.germline_calls(
+        reads, _pile(spark, args, reads), REF.read_fasta(spark, args.reference), args.kmer_size, args.assembly_window_range, args.min_occurrence, args.min_area_vaf,
+        args.min_mean_kmer_quality, args.min_likelihood, shortcut=args.shortcut_assembly,
+    )
     sinks.write_genotypes(out, args.out)
 
 
@@ -125,7 +128,7 @@ def partition_reads_command(spark, args):
     if args.partitioning_stats:
         for table in P.partition_stats(P.partition_copies(reads.select("rid", "contig", "start", "end"), partitioning, args.half_window)):
             table.orderBy(table.columns[0]).show(100, truncate=False)
-    laid = P.partition_regions(reads.drop("base_qualities", "mate"), partitioning, args.half_window, args.parallelism or spark.sparkContext.defaultParallelism)
+    laid = P.partition_regions(reads, partitioning, args.half_window, args.parallelism or spark.sparkContext.defaultParallelism)
     laid.write.partitionBy("partition").parquet(args.out)
 
 
@@ -147,6 +150,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--loci")
         c.add_argument("--loci-file")
         c.add_argument("--out")
+        c.add_argument("--partitioned-reads", help="reads that partition-reads laid out, in place of the paths")
         c.add_argument("--split-size", type=int, help="most bytes of a file that one task reads")
         return c
 
@@ -170,7 +174,7 @@ def parser() -> argparse.ArgumentParser:
     c = command("germline-assembly", germline_command)
     c.add_argument("--reads", required=True)
     c.add_argument("--shortcut-assembly", action="store_true")
-    for name, default in (("min-likelihood", 0), ("kmer-size", 47), ("assembly-window-range", 120), ("min-occurrence", 3)):
+    for name, default in (("min-likelihood", 0), ("kmer-size", 47), ("assembly-window-range", 120), ("min-occurrence", 3), ("min-area-vaf", 5), ("min-mean-kmer-quality", 0)):
         c.add_argument(f"--{name}", type=int, default=default)
     c = command("vaf-histogram", vaf_histogram_command, many=True)
     c.add_argument("--cluster", action="store_true")

@@ -142,3 +142,8 @@ def read_samples(spark: SparkSession, paths: list[str], filters=None) -> DataFra
         part = one(part) if one else part
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
+    """Reads that were laid out by partition, each once: its copies share an id."""
+    return spark.read.parquet(path).drop("partition").dropDuplicates(["rid"])

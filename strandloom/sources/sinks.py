@@ -84,9 +84,11 @@ def joint_records(calls: DataFrame, evidence: DataFrame, names: dict[int, str])
     cell = F.concat_ws(":", gt, F.concat_ws(",", F.col("ref_depth").cast("string"), F.col("alt_depth").cast("string")), F.col("depth").cast("string"), F.round("vaf", 4).cast("string"))
     wide = evidence.withColumn("cell", cell).groupBy(*site).pivot("sample_id", list(names)).agg(F.first("cell"))
     cells = [F.coalesce(F.col(f"`{k}`"), F.lit("./.")) for k in names]
+    failing = F.array_join("failing", ";") if "failing" in calls.columns else F.lit("")
+    filters = F.when(failing == "", "PASS").otherwise(failing)
     return calls.join(wide, site).select(
         "contig", "start", "ref", "alt", "is_germline", "is_somatic", "triggered",
-        F.concat_ws("\t", "contig", (F.col("start") + 1).cast("string"), F.lit("."), "ref", "alt", F.lit("."), F.lit("PASS"), joint_info(calls), F.lit("GT:AD:DP:VAF"), *cells).alias("value"),
+        F.concat_ws("\t", "contig", (F.col("start") + 1).cast("string"), F.lit("."), "ref", "alt", F.lit("."), filters, joint_info(calls), F.lit("GT:AD:DP:VAF"), *cells).alias("value"),
     )
 
 

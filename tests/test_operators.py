@@ -93,7 +93,7 @@ def test_take_loci(trim, rows, want):
 
 def test_capped_never_exceeds(spark):
     r = regions(spark, [("c", i, i + 7, 1 + i % 3) for i in range(0, 60, 2)])
-    parts = P.capped(r, None, 12, ranges=2)
+    parts = P.capped(r, None, 12, span=16)
     copies = P.partition_copies(r, parts)
     assert max(x.regions for x in P.partition_stats(copies)[1].collect()) <= 12
 
@@ -243,3 +243,109 @@ def test_joint_annotations(spark):
 def test_depth_report(spark):
     text = I.depth_report(I.coverage(regions(spark, REGIONS)), 5)
     assert text.splitlines()[0] == "10 positions of depth 5 or less, 4 deeper (28.57 %)" and "chr5:90-91 dropped 1" in text
+
+
+def test_semi_join_on_all_levels(spark):
+    import random
+
+    rng = random.Random(3)
+    loci = [("c", s, s + n) for s, n in [(rng.randrange(0, 4_000_000), rng.choice([1, 5, 4096, 9000])) for _ in range(40)]] + [("d", 0, 300_000_000), ("c", 7, 7)]
+    reads = [(rng.choice("cde"), s, s + n) for s, n in [(rng.randrange(0, 4_000_000), rng.choice([0, 1, 100, 5000, 2_000_000])) for _ in range(300)]]
+    reads += [(c, max(0, at + d), max(0, at + d) + 10) for c, s, e in loci[:40] for at in (s, e) for d in (-11, -10, -9, -1, 0, 1)]
+    got = I.overlapping(spark.createDataFrame(reads, "contig string, start long, end long"), spark.createDataFrame(loci[:40], "contig string, start long, end long"))
+    want = [r for r in reads if any(r[0] == c and r[1] < e and r[2] > s for c, s, e in loci[:40])]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+    got = I.overlap_join(spark.createDataFrame(reads, "contig string, start long, end long"), spark.createDataFrame(loci, "contig string, start long, end long"), "semi", broadcast=True)
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in reads if any(r[0] == c and r[1] < e and r[2] > s and s < e for c, s, e in loci))
+
+
+def test_capped_against_the_walk(spark):
+    import random
+
+    rng = random.Random(9)
+    for trim in (False, True):
+        rows = [(c, s, s + rng.randrange(1, 25), rng.choice([1, 1, 2, 9])) for c in "ab" for s in rng.sample(range(600), 150)]
+        r = regions(spark, rows)
+        cov = sorted(map(tuple, I.coverage(r).collect()))
+        for span in (64, 1 << 20):
+            for tasks in (1, 5):
+                got = {}
+                for x in P.capped(r.repartition(tasks), None, 20, trim=trim, span=span).collect():
+                    got.setdefault(x.partition, []).append((x.contig, x.start, x.end))
+                want = []
+                for key in sorted({(c, locus // span) for c, locus, *_ in cov}):
+                    want += P.take_loci([x for x in cov if (x[0], x[1] // span) == key], 20, trim)
+                assert [sorted(got[i]) for i in range(len(got))] == want
+
+
+def test_diploid_likelihoods_are_the_general_ones(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(s, "c", locus, ref, rng.choice([ref, ref, "A", "G", "GT", "", "N"]), rng.randrange(2, 40), rng.randrange(1, 60), True) for s in (0, 1) for locus, ref in enumerate("ACGTAC") for _ in range(30)]
+    p = spark.createDataFrame(rows, "sample_id int, contig string, locus long, ref string, alt string, qual int, mapq int, is_positive_strand boolean")
+    for options in ({}, {"use_mapq": True}, {"normalize": True}):
+        a = {(x.sample_id, x.locus, x.genotype_id): x.ln_likelihood for x in PU.diploid_likelihoods(p, **options).collect()}
+        b = {(x.sample_id, x.locus, x.genotype_id): x.ln_likelihood for x in PU.genotype_likelihoods(p, PU.diploid_genotypes(p), **options).collect()}
+        assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], abs_tol=1e-9) for k in a)
+    few = PU.diploid_likelihoods(p, min_variants=1000)
+    assert few.count() == 0
+
+
+def test_germline_calls_against_the_walk(spark):
+    """Every site by plain loops: gate, activity, assembly or genotype, jumps and the last call."""
+    import random
+
+    from strandloom.plans import germline as G
+
+    rng = random.Random(11)
+    genome = "".join(rng.choice("ACGT") for _ in range(9000))
+    k, half = 9, 20
+    changed = {i: rng.choice([c for c in "ACGT" if c != genome[i]]) for i in [*rng.sample(range(60, 8900), 30), 4100, 4104, 5000, 5003]}
+    rows = []
+    for i in range(1500):
+        start = rng.randrange(0, len(genome) - 60)
+        hap = rng.random() < 0.5
+        seq = "".join(changed.get(p, genome[p]) if hap else genome[p] for p in range(start, start + 50))
+        cigar = "50M"
+        if hap and start < 7000 < start + 40 and 7000 - start > 5:  # a deletion of three bases
+            at = 7000 - start
+            seq, cigar = "".join(changed.get(p, genome[p]) for p in [*range(start, 7000), *range(7003, start + 53)]), f"{at}M3D{50 - at}M"
+        rows.append((i, 0, "c", start, seq, [30] * 50, 40, cigar, i % 2 == 0))
+    reads = spark.createDataFrame(rows, READ).selectExpr("*", "cast(start + if(cigar = '50M', 50, 53) as long) as end")
+    ref = spark.createDataFrame([("c", 0, genome)], "contig string, offset long, sequence string")
+    pileup = PU.elements(reads, ref)
+    elements = [(e.read_id, e.locus, e.ref, e.alt, e.aln_type) for e in pileup.collect()]
+    noisy = {i for i, *_ in rows if sum(e[0] == i and e[4] == "Mismatch" for e in elements) > 1} | {r[0] for r in rows if r[7] != "50M"}
+    at = {}
+    for read, locus, a, b, _ in elements:
+        at.setdefault(locus, []).append((read, a != b))
+    best = {r.locus: r for r in G.germline_shortcut(pileup).collect()}
+    spans = sorted((r[3], r[3] + (50 if r[7] == "50M" else 53), r[4], 30.0) for r in rows)
+    for shortcut in (False, True):
+        want, state = set(), {}
+        for locus in sorted(at):
+            if sum(v for _, v in at[locus]) < 2:
+                continue
+            chunk = max(0, locus - half) // PU.CHUNK
+            last, resume = state.get(chunk, (-1, -1))
+            if locus < resume:
+                continue
+            busy = 100 * sum(r in noisy for r, _ in at[locus]) / len(at[locus]) > 5
+            if shortcut and not busy:
+                if locus in best:
+                    want |= {(locus, *a.split(">"), 0) for a in best[locus].genotype_id.split("/") if a.split(">")[0] != a.split(">")[1] and a.split(">")[1]}
+                    state[chunk] = (locus, resume)
+                continue
+            begin = max(0, locus - half)
+            window = genome[begin : locus + half]
+            found = A.haplotypes([(s, q) for a, b, s, q in spans if a <= locus + half and b > locus - half], window, k, 3) if len(window) >= k else []
+            if found:
+                new = {(begin + o, r, a, len(found)) for p in found for o, r, a in A.path_variants(p, window) if begin + o > last}
+                want |= new
+                state[chunk] = (max([v[0] for v in new], default=last), locus + half - k)
+        out = G.germline_calls(reads, pileup, ref, k, half, 3, shortcut=shortcut)
+        got = {(r.start, r.ref, r.alt): r for r in out.collect()}
+        assert set(got) == {v[:3] for v in want} and len(got) >= 15
+        assert {(*key, r.n_haplotypes) for key, r in got.items()} <= want
+    assert (6999, genome[6999:7003], genome[6999]) in got or any(len(r) == 4 for _, r, _ in got)
