@@ -168,55 +168,84 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(y[lo:hi], type=pa.int32()), pa.array([f.astype(np.int32).tobytes() for f in look.rows(data, offs)], type=pa.binary())], names=["toxic", "found"])
 
     seen = sample.mapInArrow(presence, "toxic int, found binary").collect()
-    return _train(grams, [np.frombuffer(r["found"], dtype=np.int32) for r in seen], np.array([r["toxic"] for r in seen], dtype=float))
+    y = np.array([r["toxic"] for r in seen], dtype=float)
+    found = [np.frombuffer(r["found"], dtype=np.int32) for r in seen]
+    del seen
+    return _train(grams, found, y)
+
+
+class _Texts:
+    """Which of d n-grams each text has, as one array of n-gram numbers; sums go block by block, so that temporary arrays stay small."""
+
+    def __init__(self, found: list[np.ndarray], d: int, block: int = 1 << 18):
+        self.n, self.d = len(found), d
+        self.first = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
+        self.col = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
+        cuts = np.searchsorted(self.first, np.arange(0, self.first[-1] + block, block))
+        self.edges = np.unique(np.concatenate([[0], np.minimum(cuts, self.n), [self.n]]))
+
+    def blocks(self):
+        """(first text, last + 1, positions, text of each position within the block)."""
+        for a, b in zip(self.edges[:-1].tolist(), self.edges[1:].tolist()):
+            yield a, b, slice(int(self.first[a]), int(self.first[b])), np.repeat(np.arange(b - a), np.diff(self.first[a : b + 1]))
+
+    def count(self, weight: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
+        """For each n-gram the sum of weights of the texts that have it (times x, if given)."""
+        out = np.zeros(self.d)
+        for a, b, at, row in self.blocks():
+            w = weight[a:b][row]
+            out += np.bincount(self.col[at], weights=w if x is None else w * x[at], minlength=self.d)
+        return out
+
+    def values(self, ratio: np.ndarray) -> np.ndarray:
+        """The features, each text's brought to LENGTH."""
+        x = ratio.astype(np.float32)[self.col]
+        for a, b, at, row in self.blocks():
+            size = np.sqrt(np.bincount(row, weights=x[at] ** 2, minlength=b - a))
+            x[at] *= (LENGTH / np.maximum(size, 1e-12)).astype(np.float32)[row]
+        return x
+
+    def scores(self, coef: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = np.empty(self.n)
+        for a, b, at, row in self.blocks():
+            out[a:b] = np.bincount(row, weights=coef[self.col[at]] * x[at], minlength=b - a)
+        return out
 
 
 def _train(grams: np.ndarray, found: list[np.ndarray], y: np.ndarray) -> Model:
     """The model of texts with these n-grams and labels; the order of texts does not matter, and equal texts share a fold."""
     order = sorted(range(len(y)), key=lambda i: (y[i], found[i].tobytes()))
-    found, y = [found[i] for i in order], y[order]
-    row, col = np.repeat(np.arange(len(y)), [len(f) for f in found]), np.concatenate(found).astype(np.int64)
-    fold = np.array([zlib.crc32(f.tobytes()) % FOLDS for f in found])
-    everything = np.ones(len(y), dtype=bool)
-    ratio, coef, bias = _fit_rows(row, col, y, everything, len(grams))
+    y = y[order]
+    fold = np.array([zlib.crc32(found[i].tobytes()) % FOLDS for i in order])
+    texts = _Texts([found[i] for i in order], len(grams))
+    found.clear()
+    ratio, coef, bias, _ = _fit_rows(texts, y, np.ones(len(y), dtype=bool))
     held = np.zeros(len(y))
     for k in range(FOLDS):
-        r, c, b = _fit_rows(row, col, y, fold != k, len(grams))
-        held[fold == k] = _linear(row, col, r, c, b, len(y))[0][fold == k]
+        held[fold == k] = _fit_rows(texts, y, fold != k)[3][fold == k]
     slope, shift = _calibrate(held, y)
     used = np.flatnonzero(ratio)
     return Model(grams[used], ratio[used], coef[used], bias, slope, shift)
 
 
-def _linear(row, col, ratio, coef, bias, n):
-    """(scores before calibration, the features' values) of all texts."""
-    x = ratio[col]
-    size = np.sqrt(np.bincount(row, weights=x * x, minlength=n))
-    x = LENGTH * x / np.maximum(size, 1e-12)[row]
-    return np.bincount(row, weights=coef[col] * x, minlength=n) + bias, x
-
-
-def _fit_rows(row, col, y, use, d: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """(ratios, coefficients, bias) from the texts that `use` marks; n-grams that tell nothing among these have ratio 0."""
-    on = use[row]
+def _fit_rows(texts: _Texts, y: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """(ratios, coefficients, bias, scores of all texts) from the texts that `use` marks; n-grams that tell nothing among these have ratio 0."""
     pos, neg = max(1.0, float(y[use].sum())), max(1.0, float((1 - y[use]).sum()))
-    a, b = (np.bincount(col[on], weights=w[row[on]], minlength=d) for w in (y, 1 - y))
+    a, b = texts.count(y * use), texts.count((1 - y) * use)
     pooled = (a + b) / (pos + neg)
     z = np.abs(a / pos - b / neg) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / pos + 1 / neg))
     ratio = np.where((a + b >= MIN_DOCS) & (z >= MIN_Z), np.log((a + 1) / (pos + 2)) - np.log((b + 1) / (neg + 2)), 0.0)
-    on &= ratio[col] != 0
-    row, col, n, m = row[on], col[on], len(y), float(use.sum())
-    x = _linear(row, col, ratio, np.zeros(d), 0.0, n)[1]
-    sign = np.where(y == 1, 1.0, -1.0)
+    x = texts.values(ratio)
+    m, sign = float(use.sum()), np.where(y == 1, 1.0, -1.0)
 
     def loss(w):
-        s = np.bincount(row, weights=w[:-1][col] * x, minlength=n) + w[-1]
+        s = texts.scores(w[:-1], x) + w[-1]
         err = (_sigmoid(s) - y) * use / m
         value = float((np.logaddexp(0, -sign * s) * use).sum()) / m + L2 / 2 * float(w[:-1] @ w[:-1])
-        return value, np.append(np.bincount(col, weights=err[row] * x, minlength=d) + L2 * w[:-1], err.sum())
+        return value, np.append(texts.count(err, x) + L2 * w[:-1], err.sum())
 
-    w = _minimise(loss, np.append(np.zeros(d), np.log(pos / neg)))
-    return ratio, w[:-1], float(w[-1])
+    w = _minimise(loss, np.append(np.zeros(texts.d), np.log(pos / neg)))
+    return ratio, w[:-1], float(w[-1]), texts.scores(w[:-1], x) + w[-1]
 
 
 def _minimise(loss, w: np.ndarray, memory: int = 8) -> np.ndarray:
