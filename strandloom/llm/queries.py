@@ -101,8 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op3_token_rollups": r"""
         WITH kept AS (
-            SELECT source, lang, coalesce(text, '') AS t FROM documents
-            QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) = 1
+            SELECT source, lang, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL
         ), counted AS (
             SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n FROM kept
             UNION ALL

@@ -5,7 +5,8 @@ revise or delete.  Committing it writes two small tables under the rollup's fold
 one signed row per change and document, and `deltas`, the changes summed by source, language
 and tokenizer version.  A batch becomes visible by one rename of its folder, and a batch id
 that is already there is not applied again; so retries and replays change nothing.  Totals are
-the sum of all deltas; nothing that was committed is rewritten.
+the sum of all deltas; nothing that was committed is rewritten.  A rollup has one writer at a time: of
+two that commit the same batch one wins, but two batches at once would be judged by the same ledger.
 """
 
 from __future__ import annotations
@@ -84,12 +85,22 @@ class TokenRollup:
         written = self.spark.read.schema(LEDGER).parquet(f"{stage}/ledger")
         written.groupBy("batch", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).coalesce(MIN_FILES).write.parquet(f"{stage}/deltas")
         self._fs.mkdirs(self._path(f"{self.root}/batches"))
-        # a rename to a name that exists fails or nests, so the check above and this one name decide
-        done = self._fs.rename(self._path(stage), self._path(f"{self.root}/batches/b{batch}"))
+        target = f"{self.root}/batches/b{batch}"
+        done = self._fs.rename(self._path(stage), self._path(target))
+        # where another writer was first, a rename fails or puts the folder into the one that is there
+        nested = self._path(f"{target}/{stage.rsplit('/', 1)[1]}")
+        if self._fs.exists(nested):
+            self._fs.delete(nested, True)
+            done = False
         if not done:
             self._fs.delete(self._path(stage), True)
         return bool(done)
 
+    def taken(self, batch: int) -> DataFrame:
+        """What a committed batch took back, as changes that insert it again."""
+        back = self.ledger().filter((F.col("batch") == batch) & (F.col("docs") < 0))
+        return back.select("id", *KEYS, F.lit("insert").alias("op"), F.negative("tokens").alias("tokens"))
+
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) of all groups with documents."""
         return self._read("deltas", DELTAS).groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens")).filter("n_docs > 0")
@@ -113,7 +124,10 @@ def document_rollup(rollup: TokenRollup, docs: DataFrame) -> DataFrame:
 
     1 inserts every document under both tokenizer versions with a quarter of its characters as a
     provisional count; 2 revises all counts to the real ones; 3 deletes all but the smallest id
-    of equal texts; then 2 is sent again, which changes nothing.
+    of equal texts; 4 inserts again what 3 took; then 2 is sent again, which changes nothing.  So the
+    totals cover every document.  Null texts count 0; a null source or lang is a group of its own;
+    documents with a null id are left out; of rows with one id the largest count holds; other columns
+    are not looked at; an empty table gives no rows.
     """
     names = F.array(F.lit("words-1"), F.lit("pieces-1"))
     base = docs.select(F.col("doc_id").alias("id"), "source", "lang", "text")
@@ -126,5 +140,6 @@ def document_rollup(rollup: TokenRollup, docs: DataFrame) -> DataFrame:
     rollup.commit(1, first)
     rollup.commit(2, real)
     rollup.commit(3, gone)
+    rollup.commit(4, rollup.taken(3))
     rollup.commit(2, real)
     return rollup.totals()
