@@ -40,6 +40,26 @@ def success_to_phred(p: Column) -> Column:
     return (-10 * F.log10(1 - F.least(p, F.lit(1 - 1e-16)))).cast("int")
 
 
+def distance_from_sequencing_end(locus: Column, start: Column, end: Column, is_positive_strand: Column) -> Column:
+    """Positions to where sequencing ended: the read's end on the positive strand, else its start."""
+    return F.when(is_positive_strand, end - locus).otherwise(locus - start)
+
+
+def truncated_join(pieces: Column, most: int = 500, separator: str = ",", ellipsis: str = " [...]") -> Column:
+    """Strings of an array joined until `most` characters are used up; what is left out shows as an ellipsis.
+
+    A piece is begun while more characters are left than the ellipsis has, and then is whole; each costs its
+    separator too, which is also written before the ellipsis.
+    """
+    fits = lambda acc: acc["left"] > len(ellipsis)
+    step = lambda acc, p: F.struct(
+        F.when(fits(acc), acc["left"] - F.length(p) - len(separator)).otherwise(acc["left"]).alias("left"), F.when(fits(acc), acc["n"] + 1).otherwise(acc["n"]).alias("n")
+    )
+    kept = F.slice(pieces, 1, F.aggregate(pieces, F.struct(F.lit(most).alias("left"), F.lit(0).alias("n")), step)["n"])
+    rest = F.when(F.size(kept) == 0, ellipsis).otherwise(separator + ellipsis)
+    return F.concat(F.array_join(kept, separator), F.when(F.size(kept) < F.size(pieces), rest).otherwise(""))
+
+
 def cigar_elements(cigar: Column) -> Column:
     """array<struct<len, op>> of a CIGAR string."""
     return F.zip_with(

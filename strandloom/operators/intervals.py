@@ -7,11 +7,14 @@ Sweeps run within bins, so a contig is never one task's work.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 #: Positions in a bin: a few read lengths, so that most reads fall in one or two.
 BIN = 1 << 12
@@ -173,6 +176,53 @@ def window_regions(regions: DataFrame, loci: DataFrame, half_window: int) -> Dat
     return overlap_join(regions, around).withColumn("locus", F.col("r_locus")).drop("r_contig", "r_start", "r_end", "r_locus")
 
 
+#: Positions of a contig that share one state in `window_fold`.
+FOLD = 1 << 16
+
+
+def window_fold(windows: DataFrame, initial, step: Callable[[object, dict], tuple[object, Iterable[tuple]]], schema: str, span: int = FOLD) -> DataFrame:
+    """Rows of `step`, which is called with the state and each row of `windows` in order of locus.
+
+    step(state, row) gives the next state and any number of rows of `schema`.  A state lives for `span`
+    positions of a contig and begins as `initial`, so no task holds more and results depend neither on
+    the layout of the data nor on the number of tasks.  windows: a row for each (contig, locus), such as
+    coverage or window_regions aggregated by locus; with more rows at one locus, they come in the order of their columns.
+    """
+    order = ["locus", *(c for c in windows.columns if c not in ("contig", "locus") and not isinstance(windows.schema[c].dataType, (ArrayType, MapType)))]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, out = initial, []
+        for row in pdf.sort_values(order, kind="stable").drop(columns="__span").to_dict("records"):
+            state, rows = step(state, row)
+            out += rows
+        return pd.DataFrame(out, columns=names)
+
+    names = [f.name for f in StructType.fromDDL(schema)]
+    return windows.withColumn("__span", F.floor(F.col("locus") / span)).groupBy("contig", "__span").applyInPandas(fold, schema)
+
+
+class CoverageCache:
+    """Coverage of one table of regions, computed once for each pair of half window and loci."""
+
+    def __init__(self, regions: DataFrame):
+        self.regions, self._kept = regions, {}
+
+    def __call__(self, half_window: int = 0, loci: DataFrame | None = None) -> DataFrame:
+        key = (half_window, None if loci is None else loci.semanticHash())
+        for seen, cov in self._kept.get(key, []):  # equal hashes are no proof
+            if loci is None or loci.sameSemantics(seen):
+                return cov
+        cov = coverage(self.regions, half_window, loci).persist()
+        self._kept.setdefault(key, []).append((loci, cov))
+        return cov
+
+    def release(self) -> None:
+        for kept in self._kept.values():
+            for _, cov in kept:
+                cov.unpersist()
+        self._kept.clear()
+
+
 def union_samples(*tables: DataFrame) -> DataFrame:
     """Bag union of samples, numbered in turn."""
     return reduce(DataFrame.unionByName, [t.withColumn("sample_id", F.lit(i)) for i, t in enumerate(tables)])

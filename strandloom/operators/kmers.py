@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import overlap_join, small
 
 #: Windows that are cut from one piece of a sequence.
 PIECE = 128
@@ -38,6 +39,20 @@ def prune(kmers: DataFrame, min_support: int) -> DataFrame:
     return kmers.filter(F.col("n") >= min_support)
 
 
+def consensus_sequences(reads: DataFrame, regions: DataFrame, min_count: int) -> DataFrame:
+    """(contig, start, end, sequence, n): what min_count reads or more show over a whole region.
+
+    Only reads that cover the region and whose alignment is all M count, as their bases stand one to one
+    for its positions.  reads: contig, start, end, sequence, cigar; regions: contig, start, end.
+    """
+    plain = reads.filter(F.col("cigar").rlike("^([0-9]+M)+$")).select("contig", "start", "end", "sequence")
+    spots = regions.select("contig", "start", "end").distinct()
+    inside = overlap_join(plain, spots, broadcast=small(spots)).filter("start <= r_start and end >= r_end")
+    shown = F.substring(F.col("sequence"), (F.col("r_start") - F.col("start") + 1).cast("int"), (F.col("r_end") - F.col("r_start")).cast("int"))
+    by = inside.groupBy("contig", F.col("r_start").alias("start"), F.col("r_end").alias("end"), shown.alias("sequence")).agg(F.count(F.lit(1)).alias("n"))
+    return by.filter(F.col("n") >= min_count)
+
+
 def sources_and_sinks(kmers: DataFrame, edges: DataFrame) -> DataFrame:
     """(kmer, parents, children) of every node."""
     into = edges.groupBy(F.col("target").alias("kmer")).agg(F.count(F.lit(1)).alias("parents"))

@@ -206,6 +206,12 @@ def partition_regions(regions: DataFrame, partitioning: DataFrame, half_window:
     return partition_copies(regions, partitioning, half_window).repartition(tasks, "partition").sortWithinPartitions("partition", "contig", "start")
 
 
+def loci_stats(partitioning: DataFrame) -> DataFrame:
+    """(partition, positions, contigs, ranges, longest) of each partition of disjoint loci."""
+    size = F.col("end") - F.col("start")
+    return partitioning.groupBy("partition").agg(F.sum(size).alias("positions"), F.count_distinct("contig").alias("contigs"), F.count(F.lit(1)).alias("ranges"), F.max(size).alias("longest"))
+
+
 def partition_stats(copies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(partitions per region: copies, regions), (regions per partition: partition, regions)."""
     per = copies.groupBy("rid").agg(F.count(F.lit(1)).alias("copies")).groupBy("copies").agg(F.count(F.lit(1)).alias("regions"))

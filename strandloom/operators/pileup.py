@@ -205,6 +205,17 @@ def genotype_likelihoods(pile: DataFrame, genotypes: DataFrame, use_mapq: bool =
     return out
 
 
+def two_genotype_probabilities(pile: DataFrame, genotypes: DataFrame, use_mapq: bool = False) -> DataFrame:
+    """(site, genotype_id, probability): the chances of a site's two genotypes, which sum to one.
+
+    genotypes as in genotype_likelihoods, with two ids at each site; another number of them is an error.
+    """
+    lik = genotype_likelihoods(pile, genotypes, use_mapq, normalize=True)
+    n = F.count(F.lit(1)).over(W.partitionBy(*SITE))
+    checked = F.when(n == 2, F.exp("ln_likelihood")).otherwise(F.raise_error(F.lit("a site needs two genotypes")).cast("double"))
+    return lik.select(*SITE, "genotype_id", checked.alias("probability"))
+
+
 def diploid_genotypes(pile: DataFrame) -> DataFrame:
     """Every unordered pair of a site's alleles with standard alternates: (site, genotype_id, ref, alt, fraction).
 

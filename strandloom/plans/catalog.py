@@ -143,13 +143,43 @@ def micro_region_counts(spark, d):
     return P.micro_counts(regions, P.uniform(_spans(regions), 200))
 
 
-@query()
+MICRO = f"""WITH RECURSIVE {R}, {SPANS}, {UNIFORM.format(p=200)},
+counts AS (SELECT "partition" AS m, count(DISTINCT rid) AS n FROM parts p JOIN regions r ON r.contig = p.contig AND r."start" < p."end" AND r."end" > p."start" GROUP BY 1),
+mics AS (SELECT row_number() OVER (ORDER BY m) - 1 AS j, CAST(size AS BIGINT) AS size, coalesce(n, 0) AS n, CAST(sum(size) OVER (ORDER BY m) - size AS BIGINT) AS lo
+         FROM (SELECT "partition" AS m, sum("end" - "start") AS size FROM parts GROUP BY 1) LEFT JOIN counts USING (m)),
+per AS (SELECT greatest(CAST(1 AS DOUBLE), CAST(sum(n) AS DOUBLE) / 8) AS per FROM mics),
+walk AS (
+    SELECT j, lo AS pos, size AS rest, n AS regions, 0 AS part, CAST(0 AS BIGINT) AS assigned, CAST(0 AS BIGINT) AS took, lo AS took_at FROM mics WHERE j = 0
+    UNION ALL
+    SELECT CASE WHEN rest = 0 THEN m_j ELSE j END, CASE WHEN rest = 0 THEN m_lo ELSE pos + taken END, CASE WHEN rest = 0 THEN m_size ELSE rest - taken END, CASE WHEN rest = 0 THEN m_n ELSE regions - moved END,
+           part + CASE WHEN turn THEN 1 ELSE 0 END, assigned + moved, taken, pos
+    FROM (SELECT *, CASE WHEN rest = 0 OR turn THEN 0 WHEN regions = 0 THEN rest ELSE greatest(1, CAST(trunc(share * rest) AS BIGINT)) END AS taken,
+                 CASE WHEN rest = 0 OR turn OR regions = 0 THEN 0 ELSE CAST(trunc(share * regions) AS BIGINT) END AS moved
+          FROM (SELECT *, rest > 0 AND regions > 0 AND room <= 0 AND part < 7 AS turn, CASE WHEN part < 7 AND regions > 0 THEN least(CAST(1 AS DOUBLE), CAST(room AS DOUBLE) / regions) ELSE CAST(1 AS DOUBLE) END AS share
+                FROM (SELECT w.*, x.j AS m_j, x.lo AS m_lo, x.size AS m_size, x.n AS m_n, trunc((part + 1) * per - assigned + CAST(0.5 AS DOUBLE)) AS room
+                      FROM walk w CROSS JOIN per LEFT JOIN mics x ON x.j = w.j + 1 WHERE w.rest > 0 OR x.j IS NOT NULL)))
+), runs AS (SELECT part, min(took_at) AS a, max(took_at + took) AS b FROM walk WHERE took > 0 GROUP BY part)
+SELECT contig, CAST("start" + greatest(c0, a) - c0 AS BIGINT) AS "start", CAST("start" + least(c0 + "end" - "start", b) - c0 AS BIGINT) AS "end", CAST(part AS INTEGER) AS "partition"
+FROM cum JOIN runs ON a < c0 + "end" - "start" AND b > c0"""
+
+
+@query(MICRO)
 def micro_region_partition(spark, d):
     regions = views.regions(spark, d)
     return P.micro_region(regions, _spans(regions), 8, accuracy=25)
 
 
-@query()
+@query(f"""WITH RECURSIVE {R}, {coverage_sql()}, spots AS (SELECT *, locus // 512 AS part, row_number() OVER (PARTITION BY contig, locus // 512 ORDER BY locus) AS i FROM cov),
+walk AS (
+    SELECT DISTINCT contig, part, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS locus, true AS fresh, CAST(0 AS BIGINT) AS used, 0 AS nth, 0 AS block, false AS held, false AS taken FROM spots
+    UNION ALL
+    SELECT contig, part, i, locus, fresh AND gone, CASE WHEN gone THEN used WHEN full_ THEN depth ELSE used + cost END, nth + CASE WHEN full_ AND NOT gone AND held THEN 1 ELSE 0 END,
+           block + CASE WHEN full_ THEN 1 ELSE 0 END, held OR NOT gone, NOT gone
+    FROM (SELECT *, full_ AND depth > 2000 AS gone FROM (
+        SELECT *, used + cost > 2000 AS full_ FROM (SELECT w.contig, w.part, s.i, s.locus, w.fresh, w.used, w.nth, w.block, w.held, s.depth, CASE WHEN w.fresh THEN s.depth ELSE s.starts END AS cost
+            FROM walk w JOIN spots s ON s.contig = w.contig AND s.part = w.part AND s.i = w.i + 1)))
+)
+SELECT contig, min(locus) AS "start", max(locus) + 1 AS "end", CAST(dense_rank() OVER (ORDER BY contig, part, nth) - 1 AS INTEGER) AS "partition" FROM walk WHERE taken GROUP BY contig, part, nth, block""")
 def capped_partition(spark, d):
     return P.capped(views.regions(spark, d), None, 2000, span=512)
 
@@ -167,6 +197,19 @@ def partition_copy_histogram(spark, d):
     return P.partition_stats(P.partition_copies(regions, P.uniform(_spans(regions), 16)))[0]
 
 
+@query(f"""WITH {R}, {SPANS}, {UNIFORM.format(p=16)} SELECT "partition", CAST(sum("end" - "start") AS BIGINT) AS positions, count(DISTINCT contig) AS contigs, count(*) AS ranges, max("end" - "start") AS longest FROM parts GROUP BY "partition" """)
+def partition_loci_stats(spark, d):
+    return P.loci_stats(P.uniform(_spans(views.regions(spark, d)), 16))
+
+
+@query(f"""WITH {R}, {coverage_sql()} SELECT contig, locus, depth FROM cov QUALIFY depth > coalesce(max(depth) OVER (PARTITION BY contig, locus // 256 ORDER BY locus ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)""")
+def window_fold(spark, d):
+    def deeper(most, row):
+        return max(most, row["depth"]), [(row["contig"], row["locus"], row["depth"])] if row["depth"] > most else []
+
+    return I.window_fold(I.coverage(views.regions(spark, d)), 0, deeper, "contig string, locus long, depth long", span=256)
+
+
 # reads
 
 @query(f"""WITH {R} SELECT sample_id, count(*) AS n_all, count(*) FILTER (WHERE is_mapped) AS n_mapped, count(*) FILTER (WHERE NOT is_duplicate AND NOT failed_qc AND is_paired) AS n_default,
@@ -269,12 +312,13 @@ def vaf_mixture(spark, d):
 @query(f"""WITH {VAF}, s AS (SELECT sample_id, CAST(vaf AS DOUBLE) AS vaf, row_number() OVER (PARTITION BY sample_id ORDER BY vaf) AS i, count(*) OVER (PARTITION BY sample_id) AS n FROM vafs),
 q AS (SELECT sample_id, n, p, greatest(1, least(n, p * (n + 1))) AS pos FROM (SELECT DISTINCT sample_id, n FROM s), (VALUES (0.25), (0.5), (0.75)) v(p)),
 x AS (SELECT q.sample_id, p, round(a.vaf + (pos - floor(pos)) * (b.vaf - a.vaf), 6) AS v FROM q JOIN s a ON a.sample_id = q.sample_id AND a.i = floor(pos) JOIN s b ON b.sample_id = q.sample_id AND b.i = least(floor(pos) + 1, q.n))
-SELECT sample_id, max(CASE WHEN p = 0.25 THEN v END) AS p25, max(CASE WHEN p = 0.5 THEN v END) AS p50, max(CASE WHEN p = 0.75 THEN v END) AS p75 FROM x GROUP BY sample_id""")
+SELECT sample_id, max(n) AS n, max(lo) AS "min", max(hi) AS "max", max(mid) AS mean, max(CASE WHEN p = 0.25 THEN v END) AS p25, max(CASE WHEN p = 0.5 THEN v END) AS p50, max(CASE WHEN p = 0.75 THEN v END) AS p75
+FROM x JOIN (SELECT sample_id, count(*) AS n, round(min(vaf), 6) AS lo, round(max(vaf), 6) AS hi, round(avg(vaf), 6) AS mid FROM s GROUP BY sample_id) USING (sample_id) GROUP BY sample_id""")
 def vaf_statistics(spark, d):
     from .vaf import statistics
 
     s = statistics(PU.vaf_loci(views.pile(spark, d)))
-    return s.select("sample_id", *(F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")))
+    return s.select("sample_id", "n", *(F.round(c, 6).alias(c) for c in ("min", "max", "mean", "p25", "p50", "p75")))
 
 
 GENO = f"""{PILE}, alleles AS (SELECT DISTINCT sample_id, contig, locus, "ref", alt FROM pile WHERE regexp_matches(alt, '^[ACGT]*$')),
@@ -449,11 +493,20 @@ def germline_assembly(spark, d):
     return germline.germline_calls(reads, views.pile(spark, d), views.reference(spark, d), k=11, half_window=14, min_occurrence=2)
 
 
-@query()
+RIGHT = "(1 - pow(10.0, -p.qual / 10.0)) * (1 - pow(10.0, -p.mapq / 10.0))"
+
+
+@query(f"""WITH {GENO.replace("1 - pow(10.0, -p.qual / 10.0)", RIGHT).replace("ELSE pow(10.0, -p.qual / 10.0)", f"ELSE 1 - {RIGHT}")},
+varied AS (SELECT sample_id, contig, locus FROM pile GROUP BY ALL HAVING count(*) FILTER (WHERE "ref" <> alt) >= 2),
+whole AS (SELECT *, ll - ln(sum(exp(ll - top)) OVER w) - top AS nl FROM (SELECT *, max(ll) OVER (PARTITION BY sample_id, contig, locus) AS top FROM lik JOIN varied USING (sample_id, contig, locus)) WINDOW w AS (PARTITION BY sample_id, contig, locus)),
+best AS (SELECT * FROM whole QUALIFY row_number() OVER (PARTITION BY sample_id, contig, locus ORDER BY round(nl, 9) DESC, genotype_id) = 1),
+named AS (SELECT DISTINCT sample_id, contig, locus, genotype_id, r1 = a1 AND r2 = a2 AS plain FROM geno)
+SELECT sample_id, contig, locus, genotype_id, least(phred, 90) AS phred FROM (SELECT *, CAST(trunc(-10 * log10(1 - least(exp(nl), 1 - 1e-16))) AS INTEGER) AS phred FROM best JOIN named USING (sample_id, contig, locus, genotype_id) WHERE NOT plain) WHERE phred > 0""")
 def germline_shortcut(spark, d):
     from .germline import germline_shortcut
 
-    return germline_shortcut(views.pile(spark, d))
+    # beyond 90 the last bits of a sum decide, which go with its order
+    return germline_shortcut(views.pile(spark, d)).withColumn("phred", F.least("phred", F.lit(90)))
 
 
 # further rows of the inventory
@@ -483,10 +536,12 @@ def kmer_prune(spark, d):
     return K.prune(K.kmer_counts(views.seqs(spark, d, "benchmark", "item_id"), 8), 2)
 
 
-@query(f"""WITH {SEQ_B}, {views.READS}, w AS (SELECT contig, sequence, substr(sequence, CAST(s AS INTEGER), 10) AS kmer FROM reads, (VALUES (1), (6), (11)) v(s)) SELECT kmer, count(*) AS n FROM w GROUP BY kmer HAVING count(*) >= 3""")
+@query(f"""WITH {SEQ_B}, {views.READS}, w AS (SELECT contig, unnest(range(0, contig_length - 9, 5)) AS s FROM reference)
+SELECT w.contig, s AS "start", s + 10 AS "end", substr(sequence, CAST(s - "start" + 1 AS INTEGER), 10) AS sequence, count(*) AS n
+FROM w JOIN reads r ON r.contig = w.contig AND r."start" <= s AND r."start" + {views.READ} >= s + 10 WHERE cigar = '20M' GROUP BY ALL HAVING count(*) >= 2""")
 def consensus_kmers(spark, d):
-    pieces = views.reads(spark, d).select(F.explode(F.array(*(F.substring("sequence", s, 10) for s in (1, 6, 11)))).alias("sequence"))
-    return K.kmer_counts(pieces, 10, 3)
+    spots = views.reference(spark, d).select("contig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("contig_length") - 10, F.lit(5).cast("long"))).alias("start"))
+    return K.consensus_sequences(views.reads(spark, d).withColumn("end", F.col("start") + views.READ), spots.withColumn("end", F.col("start") + 10), 2)
 
 
 EVIDENCE_SQL = f"""{PILE}, e AS (SELECT sample_id, contig, locus, "ref", alt, count(*) AS allele_depth, avg(mapq) AS mean_mapq, avg(qual) AS mean_base_quality FROM pile GROUP BY ALL),
@@ -518,20 +573,68 @@ def vcf_lines(spark, d):
     return genotype_records(_calls(spark, d)).select(vcf_line().alias("line"))
 
 
-@query(f"""WITH {PILE}, s AS (SELECT sample_id, contig, locus, sum(ln(CASE WHEN "ref" = alt THEN 1 - pow(10.0, -qual / 10.0) ELSE pow(10.0, -qual / 10.0) END)) AS hom, sum(ln(0.5)) AS het FROM pile GROUP BY ALL)
-SELECT sample_id, contig, locus, round(1 / (1 + exp(greatest(-60, least(60, het - hom)))), 6) AS p_reference FROM s""")
+@query(f"""WITH {PILE}, tops AS (SELECT sample_id, contig, locus, "ref" AS r, alt AS a FROM pile WHERE aln_type = 'Mismatch' GROUP BY sample_id, contig, locus, "ref", alt QUALIFY row_number() OVER (PARTITION BY sample_id, contig, locus ORDER BY count(*) DESC, "ref", alt) = 1),
+e AS (SELECT sample_id, contig, locus, "ref" = r AND alt = r AS same, "ref" = r AND alt = a AS other, 1 - pow(10.0, -qual / 10.0) AS pc FROM pile JOIN tops USING (sample_id, contig, locus)),
+s AS (SELECT sample_id, contig, locus, sum(ln(CASE WHEN same THEN pc ELSE 1 - pc END)) AS hom, sum(ln(0.5 * CASE WHEN same THEN pc ELSE 1 - pc END + 0.5 * CASE WHEN other THEN pc ELSE 1 - pc END)) AS het FROM e GROUP BY ALL)
+SELECT sample_id, contig, locus, 'hom' AS genotype_id, round(1 / (1 + exp(greatest(-60, least(60, het - hom)))), 6) AS probability FROM s
+UNION ALL SELECT sample_id, contig, locus, 'het', round(1 / (1 + exp(greatest(-60, least(60, hom - het)))), 6) FROM s""")
 def two_genotype_probability(spark, d):
-    p = S.phred_to_success(F.col("qual").cast("double"))
-    s = views.pile(spark, d).groupBy(*PU.SITE).agg(F.sum(F.ln(F.when(F.col("ref") == F.col("alt"), p).otherwise(1 - p))).alias("hom"), F.sum(F.ln(F.lit(0.5))).alias("het"))
-    return s.select(*PU.SITE, F.round(1 / (1 + F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col("het") - F.col("hom"))))), 6).alias("p_reference"))
+    pile = views.pile(spark, d)
+    w = W.partitionBy(*PU.SITE).orderBy(F.desc("n"), "ref", "alt")
+    tops = PU.allele_counts(pile.filter("aln_type = 'Mismatch'")).withColumn("i", F.row_number().over(w)).filter("i = 1")
+    part = lambda name, alt, share: F.struct(F.lit(name).alias("genotype_id"), F.col("ref"), F.col(alt).alias("alt"), F.lit(share).alias("fraction"))
+    mixes = tops.select(*PU.SITE, F.explode(F.array(part("hom", "ref", 1.0), part("het", "ref", 0.5), part("het", "alt", 0.5))).alias("g")).select(*PU.SITE, "g.*")
+    p = PU.two_genotype_probabilities(pile, mixes)
+    return p.select(*PU.SITE, "genotype_id", F.round("probability", 6).alias("probability"))
 
 
-@query(f"""WITH {SEQ_B}, {views.READS}, q AS (SELECT read_id, sequence, mapq FROM reads)
-SELECT read_id, translate(sequence, 'ACGT', 'TGCA') AS complement, round(1 - pow(10.0, -mapq / 10.0), 8) AS alignment_likelihood, CAST(trunc(-10 * log10(1 - least(1 - pow(10.0, -mapq / 10.0), 1 - 1e-16)) + 0.5) AS INTEGER) AS phred FROM q""")
+@query(f"""WITH {SEQ_B}, {views.READS}
+SELECT read_id, translate(sequence, 'ACGT', 'TGCA') AS complement, round(1 - pow(10.0, -mapq / 10.0), 8) AS alignment_likelihood, mapq AS phred,
+    CASE WHEN is_positive_strand THEN {views.READ} - 3 ELSE 3 END AS to_sequencing_end FROM reads""")
 def read_scalars(spark, d):
     r = views.reads(spark, d)
-    p = S.phred_to_success(F.col("mapq").cast("double"))
-    return r.select("read_id", S.complement(F.col("sequence")).alias("complement"), F.round(p, 8).alias("alignment_likelihood"), (-10 * F.log10(1 - F.least(p, F.lit(1 - 1e-16))) + 0.5).cast("int").alias("phred"))
+    mapq = F.col("mapq").cast("double")
+    # phreds are cut to whole numbers: the middle of a step comes back as the step
+    ends = S.distance_from_sequencing_end(F.col("start") + 3, F.col("start"), F.col("start") + views.READ, F.col("is_positive_strand"))
+    return r.select("read_id", S.complement(F.col("sequence")).alias("complement"), F.round(S.phred_to_success(mapq), 8).alias("alignment_likelihood"), S.success_to_phred(S.phred_to_success(mapq + 0.5)).alias("phred"), ends.cast("int").alias("to_sequencing_end"))
+
+
+@query("""WITH w AS (SELECT item_id, string_split(text, ' ') AS p FROM benchmark WHERE text IS NOT NULL),
+n AS (SELECT *, len(list_filter(range(1, len(p) + 1), lambda i: 60 - coalesce(list_sum(list_transform(p[1:i - 1], lambda x: length(x) + 1)), 0) > 6)) AS k FROM w)
+SELECT item_id, array_to_string(p[1:k], ',') || CASE WHEN k < len(p) THEN ', [...]' ELSE '' END AS line FROM n""")
+def truncated_strings(spark, d):
+    t = views.table(spark, d, "benchmark").filter("text is not null")
+    return t.select("item_id", S.truncated_join(F.split("text", " "), 60).alias("line"))
+
+
+@query(f"""WITH {PILE}, {joint.CANDIDATES} SELECT c.contig, CASE WHEN k THEN c."start" - 4 ELSE c."start" END AS "start", CASE WHEN k THEN c."end" + 2 ELSE c."end" END AS "end",
+    CASE WHEN k THEN l || c."ref" || r ELSE c."ref" END AS "ref", CASE WHEN k THEN l || c.alt || r ELSE c.alt END AS alt
+FROM (SELECT c.*, c."start" >= 4 AND c."end" + 2 <= contig_length AS k, substr(sequence, CAST(c."start" - 3 AS INTEGER), 4) AS l, substr(sequence, CAST(c."end" + 1 AS INTEGER), 2) AS r FROM cands c JOIN reference f ON f.contig = c.contig) c""")
+def allele_context(spark, d):
+    alleles = joint.candidate_alleles(views.pile(spark, d)).select(*joint.SITE)
+    return joint.change_context(alleles, views.reference(spark, d), 4, 2)
+
+
+@query(joint.best_sql(PILE))
+def joint_best_alleles(spark, d):
+    pile = views.pile(spark, d)
+    samples = spark.createDataFrame([(1, "normal", "dna"), (0, "tumor", "dna")], "sample_id int, tissue string, analyte string")
+    calls = joint.joint_calls(joint.sample_evidence(joint.read_support(pile, joint.candidate_alleles(pile)), samples))
+    return joint.choose_alleles(calls).select(*joint.SITE, "is_germline", "is_somatic", F.round("posterior", 4).alias("posterior"))
+
+
+FORCED = """wanted AS (SELECT contig, locus AS "start" FROM solid WHERE locus % 25 = 0 GROUP BY ALL), totals AS (
+    SELECT contig, "start", "end", "ref", alt, count(*) AS n FROM runs WHERE regexp_matches("ref", '^[ACGT]+$') AND regexp_matches(alt, '^[ACGT]+$') AND "ref" <> alt GROUP BY ALL
+), bare AS (SELECT * FROM wanted ANTI JOIN cands USING (contig, "start")), most AS (
+    SELECT t.* FROM totals t SEMI JOIN bare USING (contig, "start") QUALIFY row_number() OVER (PARTITION BY contig, "start" ORDER BY n DESC, "end", "ref", alt) = 1
+), blank AS (SELECT b.contig, b."start", b."start" + 1 AS "end", min(substr(s."ref", 1, 1)) AS "ref", 'N' AS alt, CAST(0 AS BIGINT) AS n FROM (SELECT * FROM bare ANTI JOIN most USING (contig, "start")) b JOIN solid s ON s.contig = b.contig AND s.locus = b."start" GROUP BY ALL)"""
+
+
+@query(f"""WITH {PILE}, {joint.CANDIDATES}, {FORCED} SELECT * FROM (SELECT contig, "start", "end", "ref", alt, n FROM cands UNION ALL SELECT * FROM most UNION ALL SELECT * FROM blank)""")
+def forced_alleles(spark, d):
+    pile = views.pile(spark, d)
+    sites = pile.filter("aln_type <> 'Clipped' and locus % 25 = 0").select("contig", F.col("locus").alias("start"))
+    return joint.fallback_alleles(pile, sites, joint.candidate_alleles(pile))
 
 
 @query(f"""WITH {PILE}, {joint.CANDIDATES} SELECT sample_id, contig, "start", "end", "ref", alt, count(*) AS n_reads FROM runs GROUP BY ALL""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,8 +63,12 @@ def somatic_joint_command(spark, args):
     analytes = args.analytes or ["dna"] * len(args.paths)
     samples = spark.createDataFrame(list(zip(range(len(names)), tissues, analytes)), "sample_id int, tissue string, analyte string")
     pile = _pile(spark, args, _reads(spark, args, args.paths))
-    evidence = joint.sample_evidence(joint.read_support(pile, joint.candidate_alleles(pile)), samples)
-    forced = REF.loci(spark, args.force_call_loci).select("contig", F.explode(F.sequence("start", F.col("end") - 1)).alias("start")) if args.force_call_loci else None
+    given = [f(spark, x) for f, x in ((REF.loci, args.force_call_loci), (REF.read_loci, args.force_call_loci_file)) if x]
+    forced = reduce(DataFrame.unionByName, given).select("contig", F.explode(F.sequence("start", F.col("end") - 1)).alias("start")).distinct() if given else None
+    candidates = joint.candidate_alleles(pile)
+    if forced is not None:
+        candidates = joint.fallback_alleles(pile, forced, candidates)
+    evidence = joint.sample_evidence(joint.read_support(pile, candidates), samples)
     calls = joint.annotate(joint.choose_alleles(joint.joint_calls(evidence), keep_uncalled=forced), evidence)
     if not args.include_filtered:
         passing = F.size("failing") == 0
@@ -126,6 +131,7 @@ def partition_reads_command(spark, args):
     reads = _reads(spark, args, args.paths)
     partitioning = _partitioning(spark, args, reads)
     if args.partitioning_stats:
+        P.loci_stats(partitioning).orderBy("partition").show(100, truncate=False)
         for table in P.partition_stats(P.partition_copies(reads.select("rid", "contig", "start", "end"), partitioning, args.half_window)):
             table.orderBy(table.columns[0]).show(100, truncate=False)
     laid = P.partition_regions(reads, partitioning, args.half_window, args.parallelism or spark.sparkContext.defaultParallelism)
@@ -171,6 +177,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--tissue-types", nargs="*")
     c.add_argument("--analytes", nargs="*")
     c.add_argument("--force-call-loci")
+    c.add_argument("--force-call-loci-file")
     c = command("germline-assembly", germline_command)
     c.add_argument("--reads", required=True)
     c.add_argument("--shortcut-assembly", action="store_true")

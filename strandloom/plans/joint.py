@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import phred_to_success, strand_bias_phred
 from ..operators.filters import failing_names, insufficient_normal
+from ..operators.pileup import CHUNK, reference_chunks
 
 SITE = ["contig", "start", "end", "ref", "alt"]
 
@@ -50,6 +51,36 @@ def variant_runs(pile: DataFrame) -> DataFrame:
     return parts.select("sample_id", "read_id", "contig", "start", "end", join("r").alias("ref"), join("a").alias("alt"))
 
 
+def change_context(alleles: DataFrame, reference: DataFrame, before: int, after: int) -> DataFrame:
+    """Alleles with so many more reference bases on either side; one whose context passes the known bases is left as it is.
+
+    reference: segments (contig, offset, sequence).  An allele meets the chunk that holds its first base; a
+    context of more than OVERLAP bases may pass the chunk's end.
+    """
+    chunks = reference_chunks(reference).select(F.col("contig").alias("r_contig"), "chunk", "chunk_start", "bases")
+    first, last = F.col("start") - before, F.col("end") + after
+    held = (F.col("contig") == F.col("r_contig")) & (F.floor(first / CHUNK) == F.col("chunk")) & (first >= F.col("chunk_start")) & (last <= F.col("chunk_start") + F.length("bases"))
+    j = alleles.join(chunks, held, "left")
+    piece = lambda at, n: F.substring(F.col("bases"), (at - F.col("chunk_start") + 1).cast("int"), F.lit(n))
+    left, right = piece(first, before), piece(F.col("end"), after)
+    changed = {"start": first, "end": last, "ref": F.concat(left, "ref", right), "alt": F.concat(left, "alt", right)}
+    return j.select(*(F.when(F.col("chunk").isNotNull(), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in alleles.columns))
+
+
+def fallback_alleles(pile: DataFrame, sites: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates, and for each of the given sites (contig, start) that has none its allele with the most reads, else N.
+
+    An N stands for the reference's base; a site that no read covers stays without an allele.
+    """
+    bare = sites.select("contig", "start").distinct().join(candidates.select("contig", "start").distinct(), ["contig", "start"], "left_anti")
+    runs = variant_runs(pile).filter("ref rlike '^[ACGT]+$' and alt rlike '^[ACGT]+$' and ref <> alt").groupBy(*SITE).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(W.partitionBy("contig", "start").orderBy(F.desc("n"), "end", "ref", "alt"))
+    most = runs.join(bare, ["contig", "start"], "left_semi").withColumn("rank", rank).filter("rank = 1").drop("rank")
+    covered = pile.filter("aln_type <> 'Clipped'").select("contig", F.col("locus").alias("start"), F.substring("ref", 1, 1).alias("r")).join(bare, ["contig", "start"], "left_semi").groupBy("contig", "start").agg(F.min("r").alias("ref"))
+    none = covered.join(most.select("contig", "start"), ["contig", "start"], "left_anti").select("contig", "start", (F.col("start") + 1).alias("end"), "ref", F.lit("N").alias("alt"), F.lit(0).cast("long").alias("n"))
+    return candidates.unionByName(most).unionByName(none)
+
+
 def candidate_alleles(pile: DataFrame, params: Parameters = Parameters()) -> DataFrame:
     """(contig, start, end, ref, alt, n): alleles with enough reads in a sample, the most frequent ones of a site."""
     depth = pile.filter("aln_type <> 'Clipped'").groupBy("sample_id", "contig", (F.col("locus") + 1).alias("start")).agg(F.count(F.lit(1)).alias("depth"))
@@ -110,7 +141,8 @@ def joint_calls(evidence: DataFrame, params: Parameters = Parameters()) -> DataF
 
     Germline: the largest of ll_ref, ll_het - 4, ll_hom - 5.  A tumor DNA sample (or pool) triggers where
     ll_mix - prior exceeds ll_ref and the mixture's alleles differ from the germline's; the prior falls
-    where tumor RNA expresses the allele.
+    where tumor RNA expresses the allele.  posterior is the largest log10 posterior that decided: of the
+    pooled normal's genotypes for a germline call, else of the tumor DNA samples' mixtures.
     """
     normal = (F.col("tissue") == "normal") & (F.col("sample_id") == -1)
     het, hom = F.col("ll_het") - params.germline_het, F.col("ll_hom") - params.germline_hom_alt
@@ -127,14 +159,16 @@ def joint_calls(evidence: DataFrame, params: Parameters = Parameters()) -> DataF
         F.first("germline").alias("germline"), F.sort_array(F.collect_set(F.when(triggers, F.col("sample_id")))).alias("triggered"),
         side("depth", -1).alias("normal_depth"), side("ref_depth", -1).alias("normal_ref_depth"), side("alt_depth", -1).alias("normal_alt_depth"),
         side("depth", -2).alias("tumor_depth"), side("alt_depth", -2).alias("tumor_alt_depth"), side("vaf", -2).alias("tumor_vaf"),
+        F.max(F.when(normal, F.greatest(F.col("ll_ref"), het, hom))).alias("of_normal"), F.max(F.when(tumor_dna, F.greatest(F.col("ll_ref"), F.col("ll_mix") - prior))).alias("of_tumor"),
     )
     germ = F.col("germline") != "ref"
-    return out.withColumn("is_germline", germ).withColumn("is_somatic", ~germ & (F.size("triggered") > 0))
+    out = out.withColumn("is_germline", germ).withColumn("is_somatic", ~germ & (F.size("triggered") > 0))
+    return out.withColumn("posterior", F.round(F.when(germ, F.col("of_normal")).otherwise(F.col("of_tumor")), 6)).drop("of_normal", "of_tumor")
 
 
 def choose_alleles(calls: DataFrame, params: Parameters = Parameters(), keep_uncalled: DataFrame | None = None) -> DataFrame:
-    """Per site the called alleles, up to max_calls_per_site by (germline, somatic, depth); sites of `keep_uncalled` (contig, start) stay without a call."""
-    rank = F.row_number().over(W.partitionBy("contig", "start").orderBy(F.desc("is_germline"), F.desc("is_somatic"), F.desc("tumor_alt_depth"), "end", "ref", "alt"))
+    """Per site the called alleles, up to max_calls_per_site by (germline, somatic, posterior); sites of `keep_uncalled` (contig, start) stay without a call."""
+    rank = F.row_number().over(W.partitionBy("contig", "start").orderBy(F.desc("is_germline"), F.desc("is_somatic"), F.desc_nulls_last("posterior"), "end", "ref", "alt"))
     ranked = calls.withColumn("rank", rank)
     called = F.col("is_germline") | F.col("is_somatic")
     if keep_uncalled is None:
@@ -200,7 +234,7 @@ EVIDENCE = """spots2 AS (SELECT contig, "start", "end", "ref" AS r, alt AS a, un
 ), judged AS (
     SELECT c.contig, c."start", c."end", c."ref", c.alt, n.depth AS normal_depth, n.alt_depth AS normal_alt_depth, t.depth AS tumor_depth, t.alt_depth AS tumor_alt_depth, t.vaf AS tumor_vaf,
            CASE WHEN n.depth IS NULL OR (n.ll_ref >= n.ll_het - 4 AND n.ll_ref >= n.ll_hom - 5) THEN 'ref' WHEN n.ll_het - 4 >= n.ll_hom - 5 THEN 'het' ELSE 'hom' END AS germline,
-           coalesce(t.ll_mix - 6 > t.ll_ref, false) AS mixed
+           coalesce(t.ll_mix - 6 > t.ll_ref, false) AS mixed, greatest(n.ll_ref, n.ll_het - 4, n.ll_hom - 5) AS of_normal, greatest(t.ll_ref, t.ll_mix - 6) AS of_tumor
     FROM cands c LEFT JOIN ev n ON n.sample_id = 1 AND n.contig = c.contig AND n."start" = c."start" AND n."end" = c."end" AND n.r = c."ref" AND n.a = c.alt
                  LEFT JOIN ev t ON t.sample_id = 0 AND t.contig = c.contig AND t."start" = c."start" AND t."end" = c."end" AND t.r = c."ref" AND t.a = c.alt
     WHERE n.depth IS NOT NULL OR t.depth IS NOT NULL
@@ -214,3 +248,11 @@ def candidates_sql(pile: str) -> str:
 def calls_sql(pile: str, germline: bool) -> str:
     which = "germline <> 'ref'" if germline else "germline = 'ref' AND mixed"
     return f'WITH {pile}, {CANDIDATES}, {EVIDENCE} SELECT contig, "start", "end", "ref", alt, germline, normal_depth, normal_alt_depth, tumor_depth, tumor_alt_depth, round(tumor_vaf, 6) AS tumor_vaf FROM judged WHERE {which}'
+
+
+def best_sql(pile: str) -> str:
+    """One allele a site: what triggers follows the germline genotype, the largest posterior wins."""
+    return f"""WITH {pile}, {CANDIDATES}, {EVIDENCE}, called AS (
+        SELECT *, germline <> 'ref' AS is_germline, germline = 'ref' AND mixed AS is_somatic, round(CASE WHEN germline <> 'ref' THEN of_normal ELSE of_tumor END, 6) AS posterior FROM judged
+    ) SELECT contig, "start", "end", "ref", alt, is_germline, is_somatic, round(posterior, 4) AS posterior FROM called WHERE is_germline OR is_somatic
+    QUALIFY row_number() OVER (PARTITION BY contig, "start" ORDER BY is_germline DESC, is_somatic DESC, posterior DESC NULLS LAST, "end", "ref", alt) = 1"""

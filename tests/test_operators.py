@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from strandloom.functions import scalar as S
 from strandloom.operators import assembly as A
 from strandloom.operators import intervals as I
 from strandloom.operators import kmers as K
@@ -349,3 +350,96 @@ def test_germline_calls_against_the_walk(spark):
         assert set(got) == {v[:3] for v in want} and len(got) >= 15
         assert {(*key, r.n_haplotypes) for key, r in got.items()} <= want
         assert any(6990 <= start <= 7005 and len(ref_) == 4 and len(alt) == 1 for start, ref_, alt in got)
+
+
+def test_truncated_join(spark):
+    from pyspark.sql import functions as F
+
+    def join(pieces, most):
+        return spark.createDataFrame([(pieces,)], "p array<string>").select(S.truncated_join(F.col("p"), most)).first()[0]
+
+    assert join(["a", "b"], 500) == "a,b" and join([], 500) == ""
+    assert join(["abc", "de", "f"], 10) == "abc, [...]"  # 10, then 6 are left: not more than the ellipsis has
+    assert join(["abc", "de", "f"], 11) == "abc,de, [...]"
+    assert join(["abc"], 6) == " [...]" and join(["abcdefghij"], 7) == "abcdefghij"
+
+
+def test_consensus_sequences(spark):
+    reads = spark.createDataFrame([("c", 0, 8, "AACCGGTT", "8M"), ("c", 2, 10, "CCGGTTAA", "4M4M"), ("c", 2, 10, "CCGGTTAA", "4M1I3M"), ("c", 3, 11, "TTTTTTTT", "8M"), ("d", 0, 8, "AACCGGTT", "8M")], "contig string, start long, end long, sequence string, cigar string")
+    spots = spark.createDataFrame([("c", 2, 6), ("c", 2, 6), ("c", 3, 12)], "contig string, start long, end long")
+    got = lambda n: sorted(tuple(r) for r in K.consensus_sequences(reads, spots, n).collect())
+    assert got(2) == [("c", 2, 6, "CCGG", 2)] and got(3) == []
+    wide = spark.createDataFrame([("c", 3, 8)], spots.schema)
+    assert sorted(tuple(r)[3:] for r in K.consensus_sequences(reads, wide, 1).collect()) == [("CGGTT", 2), ("TTTTT", 1)]
+
+
+def test_two_genotype_probabilities(spark):
+    from pyspark.sql import functions as F
+
+    p = pile(spark, [(0, 0, "ACGT", "4M", 30)] * 4 + [(0, 0, "ATGT", "4M", 30)] * 4, "ACGT").filter("locus = 1")
+    mixes = spark.createDataFrame([(0, "c", 1, "hom", "C", "C", 1.0), (0, "c", 1, "het", "C", "C", 0.5), (0, "c", 1, "het", "C", "T", 0.5)], "sample_id int, contig string, locus long, genotype_id string, ref string, alt string, fraction double")
+    got = {r.genotype_id: r.probability for r in PU.two_genotype_probabilities(p, mixes).collect()}
+    assert math.isclose(sum(got.values()), 1) and got["het"] > 0.99
+    with pytest.raises(Exception, match="two genotypes"):
+        PU.two_genotype_probabilities(p, mixes.filter("genotype_id = 'hom'")).collect()
+    assert PU.two_genotype_probabilities(p.filter(F.lit(False)), mixes).count() == 0
+
+
+def test_loci_stats(spark):
+    t = spark.createDataFrame([("a", 0, 10, 0), ("b", 0, 3, 0), ("b", 5, 6, 0), ("b", 9, 20, 1)], "contig string, start long, end long, partition int")
+    assert sorted(tuple(r) for r in P.loci_stats(t).collect()) == [(0, 14, 2, 3, 10), (1, 11, 1, 1, 11)]
+    assert P.loci_stats(t.limit(0)).count() == 0
+
+
+def test_window_fold_does_not_depend_on_tasks(spark):
+    rows = [("c", i, (i * 7) % 11) for i in range(40)] + [("d", i, i) for i in range(5)]
+
+    def add(total, row):
+        total += row["depth"]
+        return total, [(row["contig"], row["locus"], total)] if total % 2 else []
+
+    want = []
+    for contig in "cd":
+        total, span = 0, None
+        for c, i, v in rows:
+            if c == contig:
+                total, span = (total if i // 16 == span else 0) + v, i // 16
+                want += [(c, i, total)] if total % 2 else []
+    for tasks in (1, 5):
+        t = spark.createDataFrame(rows[::-1], "contig string, locus long, depth long").repartition(tasks)
+        assert sorted(tuple(r) for r in I.window_fold(t, 0, add, "contig string, locus long, total long", span=16).collect()) == want
+    assert I.window_fold(t.limit(0), 0, add, "contig string, locus long, total long").count() == 0
+
+
+def test_coverage_cache(spark):
+    cache = I.CoverageCache(regions(spark, REGIONS))
+    loci = lambda end: spark.createDataFrame([("chr1", 0, end)], "contig string, start long, end long")
+    one, chosen = cache(), loci(10)
+    assert cache(0) is one and cache(1) is not one and cache(0, chosen) is cache(0, chosen) and cache(0, chosen) is not cache(0, loci(11))
+    assert one.is_cached and sorted(one.collect()) == sorted(I.coverage(regions(spark, REGIONS)).collect())
+    cache.release()
+    assert not one.is_cached and cache() is not one
+
+
+def test_allele_contexts(spark):
+    t = spark.createDataFrame([("c", 2, 3, "G", "T", 7), ("c", 0, 1, "A", "C", 1), ("c", 5, 6, "C", "A", 2), ("x", 2, 3, "G", "T", 3)], "contig string, start long, end long, ref string, alt string, n long")
+    ref = spark.createDataFrame([("c", 0, "ACGTAC")], "contig string, offset long, sequence string")
+    got = sorted(tuple(r) for r in joint.change_context(t, ref, 1, 2).collect())
+    assert got == [("c", 0, 1, "A", "C", 1), ("c", 1, 5, "CGTA", "CTTA", 7), ("c", 5, 6, "C", "A", 2), ("x", 2, 3, "G", "T", 3)]
+    assert joint.change_context(t, ref, 0, 0).exceptAll(t).count() == 0
+
+
+def test_fallback_alleles(spark):
+    p = pile(spark, [(0, 0, "ACGTA", "5M", 30)] * 9 + [(0, 0, "ACTTA", "5M", 30), (1, 0, "ACTTA", "5M", 30)], "ACGTA")
+    found = joint.candidate_alleles(p, joint.Parameters(min_percent=50.0, min_reads=3))
+    sites = spark.createDataFrame([("c", 2), ("c", 2), ("c", 3), ("c", 99), ("z", 1)], "contig string, start long")
+    assert found.count() == 0
+    assert sorted(tuple(r) for r in joint.fallback_alleles(p, sites, found).collect()) == [("c", 2, 3, "G", "T", 2), ("c", 3, 4, "T", "N", 0)]
+    both = joint.fallback_alleles(p, sites, spark.createDataFrame([("c", 3, 4, "T", "A", 5)], "contig string, start long, end long, ref string, alt string, n long"))
+    assert sorted(tuple(r) for r in both.collect()) == [("c", 2, 3, "G", "T", 2), ("c", 3, 4, "T", "A", 5)]
+
+
+def test_alleles_rank_by_posterior(spark):
+    rows = [("c", 1, 2, "A", "C", False, True, -3.0, 50), ("c", 1, 2, "A", "G", False, True, -2.0, 9), ("c", 5, 6, "A", "C", True, False, -9.0, 1), ("c", 5, 6, "A", "G", False, True, -1.0, 1)]
+    t = spark.createDataFrame(rows, "contig string, start long, end long, ref string, alt string, is_germline boolean, is_somatic boolean, posterior double, tumor_alt_depth long")
+    assert sorted((r.start, r.alt) for r in joint.choose_alleles(t).collect()) == [(1, "G"), (5, "C")]
