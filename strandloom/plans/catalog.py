@@ -653,3 +653,6 @@ def sample_evidence(spark, d):
 @query(f"""WITH {R}, p AS (SELECT contig, sum("end" - "start") AS bases, count(*) AS n, count(*) FILTER (WHERE is_positive_strand) AS forward FROM regions GROUP BY contig) SELECT contig, CAST(bases AS BIGINT) AS bases, n, forward, round(bases / CAST(n AS DOUBLE), 6) AS mean_length FROM p""")
 def region_totals(spark, d):
     return views.regions(spark, d).groupBy("contig").agg(F.sum(F.col("end") - F.col("start")).alias("bases"), F.count(F.lit(1)).alias("n"), F.count_if("is_positive_strand").alias("forward"), F.round(F.avg(F.col("end") - F.col("start")), 6).alias("mean_length"))
+
+
+from . import exchange  # noqa: E402, F401  its queries register themselves

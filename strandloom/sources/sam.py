@@ -65,15 +65,34 @@ def merge_contigs(*tables: DataFrame) -> DataFrame:
 
 
 def bgzf_payload(data: bytes) -> bytes:
-    """Contents of a block-compressed file: concatenated gzip members."""
-    out, at = [], 0
+    """Contents of a block-compressed file: gzip members, each of which names its own size in its BC field."""
+    out, at, view = [], 0, memoryview(data)
     while at < len(data):
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data[at:]) + d.flush())
-        at = len(data) - len(d.unused_data)
+        size, head = _block(data, at)
+        if size:
+            out.append(zlib.decompress(view[at + head : at + size - 8], -15))
+            at += size
+        else:  # a member without that field ends where inflating says
+            d = zlib.decompressobj(31)
+            out.append(d.decompress(view[at:]) + d.flush())
+            at = len(data) - len(d.unused_data)
     return b"".join(out)
 
 
+def _block(data: bytes, at: int) -> tuple[int, int]:
+    """Bytes of the member at a place, and of its header; zeros where it does not name its size."""
+    if data[at : at + 4] != b"\x1f\x8b\x08\x04":
+        return 0, 0
+    extra = struct.unpack_from("<H", data, at + 10)[0]
+    p = at + 12
+    while p < at + 12 + extra:
+        name, n = data[p : p + 2], struct.unpack_from("<H", data, p + 2)[0]
+        if name == b"BC" and n == 2:
+            return struct.unpack_from("<H", data, p + 4)[0] + 1, 12 + extra
+        p += 4 + n
+    return 0, 0
+
+
 def parse_bam(data: bytes):
     """Records of a BAM file as raw alignment tuples, in the order of RAW."""
     body = bgzf_payload(data)

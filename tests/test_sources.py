@@ -145,3 +145,21 @@ def test_partitioned_reads_round_trip(spark, sam_file, tmp_path):
     assert sorted(map(str, spark.read.csv(str(tmp_path / "h1")).collect())) == sorted(map(str, spark.read.csv(str(tmp_path / "h2")).collect()))
     main(["germline-assembly", "--reads", sam_file, "--shortcut-assembly", "--kmer-size", "5", "--assembly-window-range", "8", "--reference", str(tmp_path / "x.fa"), "--out", str(tmp_path / "g"), *keep])
     assert "n_haplotypes" in spark.read.parquet(str(tmp_path / "g")).columns
+
+
+def test_block_compressed_payload():
+    import gzip
+    import os
+    import struct
+    import zlib
+
+    def block(data, other=b""):
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = c.compress(data) + c.flush()
+        extra = other + b"BC\x02\x00" + struct.pack("<H", 12 + len(other) + 6 + len(body) + 8 - 1)
+        return b"\x1f\x8b\x08\x04" + bytes(6) + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+    parts = [os.urandom(5000), b"", b"A" * 60000, os.urandom(1)]
+    packed = [block(parts[0]), block(parts[1]), block(parts[2], other=b"XY\x01\x00z"), gzip.compress(parts[3])]
+    assert sam.bgzf_payload(b"".join(packed)) == b"".join(parts) and sam.bgzf_payload(b"") == b""
+    assert sam.bgzf_payload(b"".join(packed[::-1])) == b"".join(parts[::-1])
