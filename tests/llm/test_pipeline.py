@@ -7,7 +7,7 @@ from .helpers import corpus, table
 
 @pytest.fixture
 def folder(spark, tmp_path):
-    rows = [r for r in corpus(9) if r[1] is None or len(r[1]) < 100_000]
+    rows = corpus(9)
     rows += [(5000 + i, " ".join(f"q{j * 13 % 97}{i}" for j in range(60)) + " zorgfuk blatwim", "l0", "s", 10) for i in range(40)]
     rows.append((7000, "so bar1q con2q dil3q far4q gon5q hil6q jar7q kon8q lil9q mar10q end", "l0", "s", 66))
     d = str(tmp_path / "sf")
