@@ -163,3 +163,28 @@ def test_block_compressed_payload():
     packed = [block(parts[0]), block(parts[1]), block(parts[2], other=b"XY\x01\x00z"), gzip.compress(parts[3])]
     assert sam.bgzf_payload(b"".join(packed)) == b"".join(parts) and sam.bgzf_payload(b"") == b""
     assert sam.bgzf_payload(b"".join(packed[::-1])) == b"".join(parts[::-1])
+
+
+def test_joint_command_calls_forced_loci(spark, tmp_path):
+    from strandloom.plans.cli import main
+
+    def reads(name, bases):
+        lines = ["@SQ\tSN:1\tLN:40", *(f"r{i}\t0\t1\t5\t60\t20M\t*\t0\t0\t{b}\t{'I' * 20}" for i, b in enumerate(bases))]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        return str(tmp_path / name)
+
+    whole = "ACGT" * 10
+    same = whole[4:24]
+    other = same[:8] + "T" + same[9:]  # position 12, A to T
+    (tmp_path / "x.fa").write_text(f">1\n{whole}\n")
+    (tmp_path / "forced").write_text("1:14-15")
+    paths = [reads("n.sam", [same] * 40), reads("t.sam", [same] * 20 + [other] * 20)]
+    keep = ["--include-single-end", "--include-filtered", "--reference", str(tmp_path / "x.fa")]
+
+    def sites(out, *more):
+        main(["somatic-joint", *paths, *keep, "--out-dir", str(tmp_path / out), *more])
+        return sorted(tuple(r[0].split("\t")[i] for i in (0, 1, 3, 4)) for r in spark.read.text(str(tmp_path / out / "all.vcf")).collect() if not r[0].startswith("#"))
+
+    called = ("1", "13", "A", "T")
+    assert sites("plain") == [called]
+    assert sites("given", "--force-call-loci", "1:9-10,1:12-13", "--force-call-loci-file", str(tmp_path / "forced")) == sorted([called, ("1", "10", "C", "N"), ("1", "15", "G", "N")])
