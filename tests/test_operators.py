@@ -443,3 +443,20 @@ def test_alleles_rank_by_posterior(spark):
     rows = [("c", 1, 2, "A", "C", False, True, -3.0, 50), ("c", 1, 2, "A", "G", False, True, -2.0, 9), ("c", 5, 6, "A", "C", True, False, -9.0, 1), ("c", 5, 6, "A", "G", False, True, -1.0, 1)]
     t = spark.createDataFrame(rows, "contig string, start long, end long, ref string, alt string, is_germline boolean, is_somatic boolean, posterior double, tumor_alt_depth long")
     assert sorted((r.start, r.alt) for r in joint.choose_alleles(t).collect()) == [(1, "G"), (5, "C")]
+
+
+def test_statistics_of_ties_against_sorting(spark):
+    rng = random.Random(8)
+    values = [rng.choice([0.125, 0.25, 0.5, 0.75, 1.0]) for _ in range(101)]
+    t = spark.createDataFrame([(0, v) for v in values] + [(1, 0.5)], "sample_id int, vaf float")
+    got = {r.sample_id: r for r in vaf.statistics(t).collect()}
+    order = sorted(values)
+
+    def at(p):
+        pos = p * (len(order) + 1)
+        low = int(pos)
+        return order[low - 1] + (pos - low) * (order[low] - order[low - 1])
+
+    assert (got[0].n, got[0].min, got[0].max) == (101, order[0], order[-1]) and math.isclose(got[0].mean, sum(values) / 101)
+    assert all(math.isclose(a, at(p)) for a, p in ((got[0].p25, 0.25), (got[0].p50, 0.5), (got[0].p75, 0.75)))
+    assert tuple(got[1])[1:] == (1, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5) and vaf.statistics(t.limit(0)).count() == 0
