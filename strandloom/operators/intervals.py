@@ -170,10 +170,17 @@ def valid_loci_counts(cov: DataFrame, cutoff: int) -> DataFrame:
     return cov.groupBy((F.col("depth") <= cutoff).alias("valid")).agg(F.count(F.lit(1)).alias("loci"))
 
 
-def window_regions(regions: DataFrame, loci: DataFrame, half_window: int) -> DataFrame:
-    """Each locus (contig, locus) with the regions within half_window of it: start <= locus + hw and end > locus - hw."""
+def window_regions(regions: DataFrame, loci: DataFrame, half_window: int, keep_empty: bool = False) -> DataFrame:
+    """Each locus (contig, locus) with the regions within half_window of it: start <= locus + hw and end > locus - hw.
+
+    With keep_empty, a locus without regions is one row whose region is null.
+    """
     around = loci.select("contig", F.col("locus"), (F.col("locus") - half_window).alias("start"), (F.col("locus") + half_window + 1).alias("end"))
-    return overlap_join(regions, around).withColumn("locus", F.col("r_locus")).drop("r_contig", "r_start", "r_end", "r_locus")
+    found = overlap_join(regions, around).withColumn("locus", F.col("r_locus")).drop("r_contig", "r_start", "r_end", "r_locus")
+    if not keep_empty:
+        return found
+    bare = loci.select("contig", "locus").distinct().join(found.select("contig", "locus"), ["contig", "locus"], "left_anti")
+    return found.unionByName(bare, allowMissingColumns=True)
 
 
 #: Positions of a contig that share one state in `window_fold`.

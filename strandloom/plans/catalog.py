@@ -112,6 +112,14 @@ def sliding_window(spark, d):
     return near.groupBy("contig", "locus").agg(F.count(F.lit(1)).alias("n_regions"), F.sum(F.col("end") - F.col("start")).alias("total_length"))
 
 
+@query(f"""WITH {R}, {L} SELECT l.contig, l.locus, count(r.rid) AS n_regions FROM (SELECT DISTINCT contig, unnest(range("start", "end" + 400, 10)) AS locus FROM loci) l
+LEFT JOIN (SELECT * FROM regions WHERE mapq >= 57) r ON r.contig = l.contig AND r."start" <= l.locus + 2 AND r."end" > l.locus - 2 GROUP BY 1, 2""")
+def sliding_window_empty_too(spark, d):
+    spots = views.loci(spark).select("contig", F.explode(F.sequence("start", F.col("end") + 399, F.lit(10))).alias("locus")).distinct()
+    near = I.window_regions(views.regions(spark, d).filter("mapq >= 57"), spots, 2, keep_empty=True)
+    return near.groupBy("contig", "locus").agg(F.count("rid").alias("n_regions"))
+
+
 @query(f"WITH {R}, {L} SELECT contig, locus, sample_id, count(*) AS n_regions FROM regions r JOIN (SELECT contig AS c, unnest(range(\"start\", \"end\")) AS locus FROM loci) l ON r.contig = l.c AND r.\"start\" <= locus AND r.\"end\" > locus GROUP BY ALL")
 def samples_at_loci(spark, d):
     spots = views.loci(spark).select("contig", F.explode(F.sequence("start", F.col("end") - 1)).alias("locus"))

@@ -460,3 +460,11 @@ def test_statistics_of_ties_against_sorting(spark):
     assert (got[0].n, got[0].min, got[0].max) == (101, order[0], order[-1]) and math.isclose(got[0].mean, sum(values) / 101)
     assert all(math.isclose(a, at(p)) for a, p in ((got[0].p25, 0.25), (got[0].p50, 0.5), (got[0].p75, 0.75)))
     assert tuple(got[1])[1:] == (1, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5) and vaf.statistics(t.limit(0)).count() == 0
+
+
+def test_windows_without_regions(spark):
+    r = regions(spark, REGIONS)
+    spots = spark.createDataFrame([("chr1", 100), ("chr1", 300), ("chr1", 300), ("chr9", 5)], "contig string, locus long")
+    assert sorted((x.contig, x.locus) for x in I.window_regions(r, spots.distinct(), 0).collect()) == [("chr1", 100)]
+    got = sorted((x.contig, x.locus, x.rid) for x in I.window_regions(r, spots.distinct(), 0, keep_empty=True).collect())
+    assert got == [("chr1", 100, 0), ("chr1", 300, None), ("chr9", 5, None)]
