@@ -6,12 +6,15 @@ chunk of the reference, joined by contig and chunk, so neither reads nor referen
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import READ_OPS, REFERENCE_OPS, cigar_elements, phred_to_success
+from ..functions.scalar import CIGAR, READ_OPS, REFERENCE_OPS, cigar_elements, phred_to_success
 from .intervals import BIN, overlap_join, small
 
 #: Positions of a reference chunk, and by how much it runs into the next ones (the longest span of a read's M and D).
@@ -113,6 +116,93 @@ def elements(reads: DataFrame, reference: DataFrame, loci: DataFrame | None = No
     return e.select("read_id", "sample_id", "contig", "locus", "aln_type", ref.alias("ref"), alt.alias("alt"), qual.alias("qual"), "mapq", "is_positive_strand", "read_pos")
 
 
+def read_elements(reads: DataFrame, reference: DataFrame) -> DataFrame:
+    """One row per mapped read with its elements in parallel arrays: loci, refs, alts, quals, and whether ref and alt differ.
+
+    The rows of `elements` that are not clipped, in the order of the alignment, held by the read that
+    they come from: what looks along a read needs no shuffle.  Columns beside the arrays: read_id,
+    sample_id, contig, mapq, is_positive_strand.
+    """
+    r = with_reference(reads.select("read_id", "sample_id", "contig", "start", "sequence", "base_qualities", "mapq", "cigar", "is_positive_strand"), reference)
+    spans = F.aggregate(F.regexp_extract_all("cigar", F.lit(r"(\d+)[MDN=X]"), F.lit(1)), F.lit(0), lambda a, n: a + n.cast("int"))
+    around = F.substring("ref_bases", (F.col("start") - F.col("ref_start") + 1).cast("int"), spans)
+    kept = ["read_id", "sample_id", "contig", "mapq", "is_positive_strand"]
+    r = r.select(*kept, F.col("start").cast("long").alias("start"), "sequence", F.col("base_qualities").cast("array<int>").alias("base_qualities"), "cigar", around.alias("around"))
+    arrays = "loci array<long>, refs array<string>, alts array<string>, quals array<int>, differs array<boolean>"
+    return r.mapInArrow(_along_reads, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in r.select(*kept).schema) + f", {arrays}")
+
+
+def _along_reads(batches):
+    layouts = {}
+    for batch in batches:
+        column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        loci, refs, alts, quals, ends = [], [], [], [], [0]
+        for start, sequence, own, mapq, cigar, around in zip(*(column[c].to_pylist() for c in ("start", "sequence")), _lists(column["base_qualities"]), *(column[c].to_pylist() for c in ("mapq", "cigar", "around"))):
+            if cigar not in layouts:
+                if len(layouts) == 10_000:
+                    layouts.clear()
+                layouts[cigar] = _layout(cigar or "")
+            if start is not None:
+                for op, size, r, q, follow, more in layouts[cigar]:
+                    if op == "I":
+                        if start + r == 0:  # no base before it: a row of its own at the contig's start
+                            loci.append(0)
+                            refs.append(sequence and sequence[size : size + 1])
+                            alts.append(sequence and sequence[: size + 1])
+                            quals.append(min((x for x in own[q : q + size + 1] if x is not None), default=None))
+                        continue
+                    loci.extend(range(start + r, start + r + size))
+                    known = ((around or "")[r : r + size + (more if follow == "D" else 0)]).ljust(size + more, "N")
+                    refs.extend(known[:size])
+                    if op == "D":
+                        alts.extend([""] * size)
+                        quals.extend([mapq] * size)
+                        continue
+                    shown, right = [None] * size if sequence is None else list(sequence[q : q + size]), own[q : q + size]
+                    alts.extend(shown if len(shown) == size else shown + [""] * (size - len(shown)))
+                    quals.extend(right if len(right) == size else right + [None] * (size - len(right)))
+                    if follow == "D":
+                        refs[-1], alts[-1] = known[size - 1 : size + more], known[size - 1]
+                    elif follow == "I":
+                        refs[-1], alts[-1] = alts[-1], sequence if sequence is None else sequence[q + size - 1 : q + size + more]
+                        quals[-1] = min((x for x in own[q + size - 1 : q + size + more] if x is not None), default=None)
+            ends.append(len(loci))
+        refs, alts, ends = pa.array(refs, pa.string()), pa.array(alts, pa.string()), pa.array(ends, pa.int32())
+        values = {"loci": pa.array(loci, pa.int64()), "refs": refs, "alts": alts, "quals": pa.array(quals, pa.int32()), "differs": pc.not_equal(refs, alts)}
+        kept = [n for n in batch.schema.names if n not in ("start", "sequence", "base_qualities", "cigar", "around")]
+        yield pa.RecordBatch.from_arrays([*(column[n] for n in kept), *(pa.ListArray.from_arrays(ends, v) for v in values.values())], names=[*kept, *values])
+
+
+def _lists(column: pa.ListArray):
+    """Lists of numbers of a column; a missing list is empty."""
+    if column.null_count or column.values.null_count:
+        return [x or [] for x in column.to_pylist()]
+    values, at = column.values.to_numpy().tolist(), column.offsets.to_numpy().tolist()
+    return [values[a:b] for a, b in zip(at, at[1:])]
+
+
+def _layout(cigar: str) -> list[tuple]:
+    """(op, size, reference and read positions before it, the I or D that follows its last base, its size) of a CIGAR string's M, =, X, D and I."""
+    ops, out, r, q = [(op, int(n)) for n, op in re.findall(CIGAR, cigar)], [], 0, 0
+    for (op, size), (follow, more) in zip(ops, [*ops[1:], ("", 0)]):
+        if size and op in "M=XDI":
+            cuts = op in "M=X" and (follow == "D" or (follow == "I" and op != "X"))
+            out.append(("M" if op in "=X" else op, size, r, q, follow if cuts else "", more if cuts else 0))
+        r, q = r + size * (op in REFERENCE_OPS), q + size * (op in READ_OPS)
+    return out
+
+
+def by_read(pile: DataFrame) -> DataFrame:
+    """Rows of `elements` gathered by read, as read_elements has them; rows of read_elements stay."""
+    if "loci" in pile.columns:
+        return pile
+    at = ["locus", "read_pos"] if "read_pos" in pile.columns else ["locus"]
+    spots = F.sort_array(F.collect_list(F.struct(*at, "ref", "alt", "qual")))
+    r = pile.filter("aln_type <> 'Clipped'").groupBy("sample_id", "read_id", "contig").agg(F.first("mapq").alias("mapq"), F.first("is_positive_strand").alias("is_positive_strand"), spots.alias("s"))
+    r = r.select("read_id", "sample_id", "contig", "mapq", "is_positive_strand", F.col("s.locus").alias("loci"), F.col("s.ref").alias("refs"), F.col("s.alt").alias("alts"), F.col("s.qual").alias("quals"))
+    return r.withColumn("differs", F.zip_with("refs", "alts", lambda r, a: r != a))
+
+
 def slice_reads(reads: DataFrame, start: Column, end: Column) -> DataFrame:
     """Mapped reads cut to the reference range [start, end): start, end, sequence, base_qualities and cigar fit the range.
 

@@ -455,17 +455,17 @@ def insufficient_normal_sites(spark, d):
 
 @query(joint.candidates_sql(PILE))
 def candidate_alleles(spark, d):
-    return joint.candidate_alleles(views.pile(spark, d))
+    return joint.candidate_alleles(views.read_pile(spark, d))
 
 
 @query(joint.calls_sql(PILE, germline=True))
 def joint_germline(spark, d):
-    return joint.calls_for_query(views.pile(spark, d), germline=True)
+    return joint.calls_for_query(views.read_pile(spark, d), germline=True)
 
 
 @query(joint.calls_sql(PILE, germline=False))
 def joint_somatic(spark, d):
-    return joint.calls_for_query(views.pile(spark, d), germline=False)
+    return joint.calls_for_query(views.read_pile(spark, d), germline=False)
 
 
 # kernels
@@ -619,13 +619,13 @@ def truncated_strings(spark, d):
     CASE WHEN k THEN l || c."ref" || r ELSE c."ref" END AS "ref", CASE WHEN k THEN l || c.alt || r ELSE c.alt END AS alt
 FROM (SELECT c.*, c."start" >= 4 AND c."end" + 2 <= contig_length AS k, substr(sequence, CAST(c."start" - 3 AS INTEGER), 4) AS l, substr(sequence, CAST(c."end" + 1 AS INTEGER), 2) AS r FROM cands c JOIN reference f ON f.contig = c.contig) c""")
 def allele_context(spark, d):
-    alleles = joint.candidate_alleles(views.pile(spark, d)).select(*joint.SITE)
+    alleles = joint.candidate_alleles(views.read_pile(spark, d)).select(*joint.SITE)
     return joint.change_context(alleles, views.reference(spark, d), 4, 2)
 
 
 @query(joint.best_sql(PILE))
 def joint_best_alleles(spark, d):
-    pile = views.pile(spark, d)
+    pile = views.read_pile(spark, d)
     samples = spark.createDataFrame([(1, "normal", "dna"), (0, "tumor", "dna")], "sample_id int, tissue string, analyte string")
     calls = joint.joint_calls(joint.sample_evidence(joint.read_support(pile, joint.candidate_alleles(pile)), samples))
     return joint.choose_alleles(calls).select(*joint.SITE, "is_germline", "is_somatic", F.round("posterior", 4).alias("posterior"))
@@ -647,12 +647,12 @@ def forced_alleles(spark, d):
 
 @query(f"""WITH {PILE}, {joint.CANDIDATES} SELECT sample_id, contig, "start", "end", "ref", alt, count(*) AS n_reads FROM runs GROUP BY ALL""")
 def variant_runs(spark, d):
-    return joint.variant_runs(views.pile(spark, d)).groupBy("sample_id", "contig", "start", "end", "ref", "alt").agg(F.count(F.lit(1)).alias("n_reads"))
+    return joint.variant_runs(views.read_pile(spark, d)).groupBy("sample_id", "contig", "start", "end", "ref", "alt").agg(F.count(F.lit(1)).alias("n_reads"))
 
 
 @query(f"""WITH {PILE}, {joint.CANDIDATES}, {joint.EVIDENCE} SELECT contig, "start", "end", r AS "ref", a AS alt, sample_id, depth, alt_depth, round(vaf, 6) AS vaf, round(ll_ref, 4) + 0.0 AS ll_ref, round(ll_het, 4) + 0.0 AS ll_het, round(ll_hom, 4) + 0.0 AS ll_hom, round(ll_mix, 4) + 0.0 AS ll_mix FROM ev""")
 def sample_evidence(spark, d):
-    pile = views.pile(spark, d)
+    pile = views.read_pile(spark, d)
     samples = spark.createDataFrame([(1, "normal", "dna"), (0, "tumor", "dna")], "sample_id int, tissue string, analyte string")
     e = joint.sample_evidence(joint.read_support(pile, joint.candidate_alleles(pile)), samples).filter("sample_id >= 0")
     return e.select(*joint.SITE, "sample_id", "depth", "alt_depth", F.round("vaf", 6).alias("vaf"), *(F.round(c, 4).alias(c) for c in ("ll_ref", "ll_het", "ll_hom", "ll_mix")))

@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import phred_to_success, strand_bias_phred
 from ..operators.filters import failing_names, insufficient_normal
-from ..operators.pileup import CHUNK, reference_chunks
+from ..operators.intervals import small
+from ..operators.pileup import CHUNK, by_read, reference_chunks
 
 SITE = ["contig", "start", "end", "ref", "alt"]
+#: Candidates that are sent to all executors at most, and the width of the bins where more of them meet reads.
+BROADCAST, NEAR = 500_000, 64
 
 
 @dataclass(frozen=True)
@@ -37,18 +40,38 @@ class Parameters:
     normal_min_depth: int = 30
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once: in the folder of spark.checkpoint.dir, on one machine without it among the session's blocks."""
+    sc = df.sparkSession.sparkContext
+    where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None and where:
+        sc.setCheckpointDir(where)
+    if sc.getCheckpointDir() is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
+
+
+def _with_runs(pile: DataFrame) -> DataFrame:
+    """(sample_id, read_id, contig, locus, run) by element; run, a struct (start, end, ref, alt), is null but where a run begins."""
+    i, size = F.col("i"), F.size("loci")
+    begins = F.get("differs", i) & ~F.get("differs", i - 1) & (F.get("loci", i - 1) == F.get("loci", i) - 1)
+    spots = by_read(pile).select("sample_id", "read_id", "contig", "loci", "refs", "alts", "differs", F.explode(F.when(size > 0, F.sequence(F.lit(0), size - 1))).alias("i"))
+    ends = F.array_position(F.slice("differs", i + 2, size), F.lit(False)).cast("int")
+    spots = spots.withColumn("n", F.when(begins, F.when(ends > 0, ends).otherwise(size - i)))
+    part = lambda c: F.slice(c, i + 1, F.col("n"))
+    run = F.struct(
+        F.get("loci", i).alias("start"), (F.get("loci", i + F.col("n") - 1) + 1).alias("end"),
+        F.array_join(F.transform(part("refs"), lambda r: F.substring(r, 1, 1)), "").alias("ref"), F.array_join(part("alts"), "").alias("alt"),
+    )
+    return spots.select("sample_id", "read_id", "contig", F.get("loci", i).alias("locus"), F.when(F.col("n").isNotNull(), run).alias("run"))
+
+
 def variant_runs(pile: DataFrame) -> DataFrame:
-    """(sample_id, read_id, contig, start, end, ref, alt) of each read's runs of differing positions; a run that meets the read's end is cut there."""
-    w = W.partitionBy("sample_id", "read_id").orderBy("locus")
-    rows = pile.filter("aln_type <> 'Clipped'").select("sample_id", "read_id", "contig", "locus", "ref", "alt", (F.col("ref") != F.col("alt")).alias("differs"))
-    rows = rows.withColumn("begins", F.coalesce(F.col("differs") & ~F.lag("differs").over(w) & (F.lag("locus").over(w) == F.col("locus") - 1), F.lit(False)))
-    rows = rows.withColumn("run", F.sum((F.col("begins") | ~F.col("differs")).cast("long")).over(w)).filter("differs")
-    parts = rows.groupBy("sample_id", "read_id", "contig", "run").agg(
-        F.min("locus").alias("start"), (F.max("locus") + 1).alias("end"), F.bool_or("begins").alias("whole"),
-        F.sort_array(F.collect_list(F.struct("locus", F.substring("ref", 1, 1).alias("r"), F.col("alt").alias("a")))).alias("bases"),
-    ).filter("whole")
-    join = lambda k: F.array_join(F.transform("bases", lambda b: b[k]), "")
-    return parts.select("sample_id", "read_id", "contig", "start", "end", join("r").alias("ref"), join("a").alias("alt"))
+    """(sample_id, read_id, contig, start, end, ref, alt) of each read's runs of differing positions; a run that meets the read's end is cut there.
+
+    pile: rows by element, or by read (read_elements), which need no shuffle.
+    """
+    return _with_runs(pile).filter("run is not null").select("sample_id", "read_id", "contig", "run.*")
 
 
 def change_context(alleles: DataFrame, reference: DataFrame, before: int, after: int) -> DataFrame:
@@ -76,35 +99,58 @@ def fallback_alleles(pile: DataFrame, sites: DataFrame, candidates: DataFrame) -
     runs = variant_runs(pile).filter("ref rlike '^[ACGT]+$' and alt rlike '^[ACGT]+$' and ref <> alt").groupBy(*SITE).agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(W.partitionBy("contig", "start").orderBy(F.desc("n"), "end", "ref", "alt"))
     most = runs.join(bare, ["contig", "start"], "left_semi").withColumn("rank", rank).filter("rank = 1").drop("rank")
-    covered = pile.filter("aln_type <> 'Clipped'").select("contig", F.col("locus").alias("start"), F.substring("ref", 1, 1).alias("r")).join(bare, ["contig", "start"], "left_semi").groupBy("contig", "start").agg(F.min("r").alias("ref"))
+    spots = by_read(pile).select("contig", F.explode(F.arrays_zip("loci", "refs")).alias("e"))
+    covered = spots.select("contig", F.col("e.loci").alias("start"), F.substring("e.refs", 1, 1).alias("r")).join(bare, ["contig", "start"], "left_semi").groupBy("contig", "start").agg(F.min("r").alias("ref"))
     none = covered.join(most.select("contig", "start"), ["contig", "start"], "left_anti").select("contig", "start", (F.col("start") + 1).alias("end"), "ref", F.lit("N").alias("alt"), F.lit(0).cast("long").alias("n"))
     return candidates.unionByName(most).unionByName(none)
 
 
 def candidate_alleles(pile: DataFrame, params: Parameters = Parameters()) -> DataFrame:
     """(contig, start, end, ref, alt, n): alleles with enough reads in a sample, the most frequent ones of a site."""
-    depth = pile.filter("aln_type <> 'Clipped'").groupBy("sample_id", "contig", (F.col("locus") + 1).alias("start")).agg(F.count(F.lit(1)).alias("depth"))
-    runs = variant_runs(pile).filter("ref rlike '^[ACGT]+$' and alt rlike '^[ACGT]+$' and ref <> alt").groupBy("sample_id", *SITE).agg(F.count(F.lit(1)).alias("n"))
-    enough = runs.join(depth, ["sample_id", "contig", "start"]).filter(F.col("n") >= F.greatest(F.lit(float(params.min_reads)), F.col("depth") * params.min_percent / 100))
+    # one pass: a position counts to the depth of the site that starts after it, a run to its own
+    after = F.struct((F.col("locus") + 1).alias("start"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("alt"))
+    rows = _with_runs(pile).select("sample_id", "contig", F.explode(F.when(F.col("run").isNull(), F.array(after)).otherwise(F.array(after, "run"))).alias("of"))
+    seen = rows.groupBy("sample_id", "contig", "of").agg(F.count(F.lit(1)).alias("n")).select("sample_id", "contig", "of.*", "n")
+    seen = seen.withColumn("depth", F.sum(F.when(F.col("end").isNull(), F.col("n"))).over(W.partitionBy("sample_id", "contig", "start")))
+    runs = seen.filter("ref rlike '^[ACGT]+$' and alt rlike '^[ACGT]+$' and ref <> alt")
+    enough = runs.filter(F.col("n") >= F.greatest(F.lit(float(params.min_reads)), F.col("depth") * params.min_percent / 100))
     total = enough.groupBy(*SITE).agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("contig", "start").orderBy(F.desc("n"), "end", "ref", "alt"))
     return total.withColumn("rank", rank).filter(F.col("rank") <= params.max_alleles).drop("rank")
 
 
 def read_support(pile: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(candidate, sample_id, read_id, kind ref/alt/other, quality, mapq, is_positive_strand) of reads that agree before the site and reach beyond it."""
-    spots = candidates.select(*(F.col(c).alias(f"c_{c}") for c in SITE), "contig", F.explode(F.sequence(F.col("start") - 1, F.col("end"))).alias("locus"))
-    rows = pile.filter("aln_type <> 'Clipped'").select("sample_id", "read_id", "contig", "locus", "ref", "alt", "qual", "mapq", "is_positive_strand")
-    inside = (F.col("locus") >= F.col("c_start")) & (F.col("locus") < F.col("c_end"))
-    by = rows.join(spots, ["contig", "locus"]).groupBy("sample_id", "read_id", *(f"c_{c}" for c in SITE)).agg(
-        F.bool_or((F.col("locus") == F.col("c_start") - 1) & (F.col("ref") == F.col("alt"))).alias("anchored"), F.bool_or(F.col("locus") == F.col("c_end")).alias("beyond"),
-        F.sort_array(F.collect_list(F.when(inside, F.struct("locus", "alt")))).alias("bases"), F.round(F.avg(F.when(inside, F.col("qual")))).alias("quality"),
-        F.first("mapq").alias("mapq"), F.first("is_positive_strand").alias("is_positive_strand"),
-    ).filter("anchored and beyond")
-    allele = F.array_join(F.transform("bases", lambda b: b["alt"]), "")
-    return by.select(
-        *(F.col(f"c_{c}").alias(c) for c in SITE), "sample_id", "read_id",
-        F.when(allele == F.col("c_ref"), "ref").when(allele == F.col("c_alt"), "alt").otherwise("other").alias("kind"), "quality", "mapq", "is_positive_strand",
+    """(candidate, sample_id, read_id, kind ref/alt/other, quality, mapq, is_positive_strand) of reads that agree before the site and reach beyond it.
+
+    pile: rows by element, or by read (read_elements).  Candidates are computed here; as many as BROADCAST meet each
+    read's agreeing positions where the reads are, more meet the reads by bins of positions.
+    """
+    chosen = settled(candidates.select("contig", "start", "end", F.col("ref").alias("c_ref"), F.col("alt").alias("c_alt")))
+    reads = by_read(pile).select("sample_id", "read_id", "contig", "mapq", "is_positive_strand", "loci", "alts", "quals", "differs").filter(F.size("loci") > 1)
+    if small(chosen, BROADCAST):
+        anchors = reads.select("*", F.explode(F.sequence(F.lit(0), F.size("loci") - 2)).alias("i")).filter(~F.get("differs", F.col("i")))
+        pairs = anchors.withColumn("start", F.get("loci", F.col("i")) + 1).join(F.broadcast(chosen), ["contig", "start"])
+    else:
+        first, last = F.get("loci", F.lit(0)), F.get("loci", F.size("loci") - 1)
+        binned = reads.select("*", F.explode(F.sequence(F.floor(first / NEAR), F.floor(last / NEAR))).alias("bin"))
+        held = (F.col("start") > first) & (F.col("end") <= last)
+        pairs = binned.join(chosen.withColumn("bin", F.floor((F.col("start") - 1) / NEAR)), ["contig", "bin"]).filter(held)
+        # of an insertion and a base at the contig's start the last one is the base
+        agree = F.filter(F.sequence(F.lit(0), F.size("loci") - 2), lambda i: (F.get("loci", i) == F.col("start") - 1) & ~F.get("differs", i))
+        pairs = pairs.withColumn("i", F.get(agree, F.lit(0))).filter("i is not null")
+    i = F.col("i")
+    # elements from the site to its end, and whether the read goes on
+    beyond = F.array_position(F.slice("loci", i + 2, (F.col("end") - F.col("start") + 1).cast("int")), F.col("end")).cast("int")
+    pairs = pairs.withColumn("n", beyond - 1).filter("n >= 0")
+    part = lambda c: F.slice(c, i + 2, F.col("n"))
+    allele = F.when(F.col("n") == 1, F.coalesce(F.get("alts", i + 1), F.lit(""))).otherwise(F.array_join(part("alts"), ""))
+    known = F.filter(part("quals"), lambda q: q.isNotNull())
+    mean = F.aggregate(known, F.lit(0).cast("long"), lambda acc, q: acc + q).cast("double") / F.when(F.size(known) > 0, F.size(known))
+    quality = F.when(F.col("n") == 1, F.get("quals", i + 1).cast("double")).otherwise(F.round(mean))
+    pairs = pairs.withColumn("allele", allele)
+    return pairs.select(
+        "contig", "start", "end", F.col("c_ref").alias("ref"), F.col("c_alt").alias("alt"), "sample_id", "read_id",
+        F.when(F.col("allele") == F.col("c_ref"), "ref").when(F.col("allele") == F.col("c_alt"), "alt").otherwise("other").alias("kind"), quality.alias("quality"), "mapq", "is_positive_strand",
     )
 
 
@@ -112,27 +158,40 @@ def sample_evidence(support: DataFrame, samples: DataFrame, params: Parameters =
     """Counts and log10 likelihoods of every candidate in every sample and in the pools of normal and tumor DNA.
 
     samples: (sample_id, tissue normal/tumor, analyte dna/rna).  Pools have sample_id -1 (normal DNA) and
-    -2 (tumor DNA).  Normal RNA is an error.
+    -2 (tumor DNA).  Normal RNA is an error.  The support is read twice, for the mixtures' fractions and for the
+    sums: so only sums by candidate and sample are shuffled, never reads.
     """
     checked = samples.withColumn("tissue", F.when((F.col("tissue") == "normal") & (F.col("analyte") == "rna"), F.raise_error(F.lit("normal RNA is not a valid sample")).cast("string")).otherwise(F.col("tissue")))
-    pooled = F.when(F.col("analyte") == "dna", F.array(F.col("sample_id"), F.when(F.col("tissue") == "normal", -1).otherwise(-2))).otherwise(F.array("sample_id"))
     # a table of samples has as many rows as the caller was given files
-    named = support.join(F.broadcast(checked), "sample_id").withColumn("sample_id", F.explode(pooled))
-    counted = named.groupBy(*SITE, "sample_id", "tissue", "analyte", "kind", "quality", "mapq").agg(F.count(F.lit(1)).alias("m"), F.count_if("is_positive_strand").alias("forward"))
-    w = W.partitionBy(*SITE, "sample_id")
-    vaf = F.sum(F.when(F.col("kind") == "alt", F.col("m")).otherwise(0)).over(w) / F.sum("m").over(w)
+    counted = support.groupBy(*SITE, "sample_id").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("kind") == "alt").alias("alts")).join(F.broadcast(checked), "sample_id")
+    w = W.partitionBy(*SITE, "tissue", "analyte")
+    counted = counted.withColumn("vaf", F.col("alts") / F.col("all")).withColumn("pool_vaf", F.sum("alts").over(w) / F.sum("all").over(w))
+    shares = settled(counted.drop("alts", "all"))
+    rows = support.join(F.broadcast(shares) if small(shares, 2 * BROADCAST) else shares, [*SITE, "sample_id"])
     pc = phred_to_success(F.col("quality")) * phred_to_success(F.col("mapq").cast("double"))
-    rows = counted.withColumn("vaf", vaf).withColumn("pc", pc)
+    rows = rows.withColumn("pc", pc).withColumn("right", F.log10("pc")).withColumn("wrong", F.log10(1 - F.col("pc")))
+    is_ref, is_alt = F.col("kind") == "ref", F.col("kind") == "alt"
 
     def ll(ref: Column, alt: Column) -> Column:
-        f = F.when(F.col("kind") == "ref", ref).when(F.col("kind") == "alt", alt).otherwise(F.lit(0.0))
-        return F.sum(F.when(F.col("mapq") == 0, F.lit(0.0)).otherwise(F.col("m") * F.log10(f * F.col("pc") + (1 - f) * (1 - F.col("pc")))))
-
-    mixed = F.greatest(F.lit(params.vaf_floor), F.col("vaf"))
-    of = lambda k, c="m": F.sum(F.when(F.col("kind") == k, F.col(c)).otherwise(0))
-    return rows.groupBy(*SITE, "sample_id", "tissue", "analyte").agg(
-        F.sum("m").alias("depth"), of("ref").alias("ref_depth"), of("alt").alias("alt_depth"), of("ref", "forward").alias("ref_forward"), of("alt", "forward").alias("alt_forward"), F.first("vaf").alias("vaf"),
-        ll(F.lit(1.0), F.lit(0.0)).alias("ll_ref"), ll(F.lit(0.5), F.lit(0.5)).alias("ll_het"), ll(F.lit(0.0), F.lit(1.0)).alias("ll_hom"), ll(1 - mixed, mixed).alias("ll_mix"),
+        return F.sum(F.when(F.col("mapq") == 0, F.lit(0.0)).when(is_ref, ref).when(is_alt, alt).otherwise(F.col("wrong")))
+
+    def mixed(vaf: str) -> Column:
+        f = F.greatest(F.lit(params.vaf_floor), F.col(vaf))
+        of = lambda f: F.log10(f * F.col("pc") + (1 - f) * (1 - F.col("pc")))
+        return ll(of(1 - f), of(f))
+
+    half = F.log10(0.5 * F.col("pc") + 0.5 * (1 - F.col("pc")))
+    sums = ["depth", "ref_depth", "alt_depth", "ref_forward", "alt_forward", "ll_ref", "ll_het", "ll_hom"]
+    by = rows.groupBy(*SITE, "sample_id", "tissue", "analyte", "vaf", "pool_vaf").agg(
+        F.count(F.lit(1)).alias("depth"), F.count_if(is_ref).alias("ref_depth"), F.count_if(is_alt).alias("alt_depth"), F.count_if(is_ref & F.col("is_positive_strand")).alias("ref_forward"), F.count_if(is_alt & F.col("is_positive_strand")).alias("alt_forward"),
+        ll(F.col("right"), F.col("wrong")).alias("ll_ref"), ll(half, half).alias("ll_het"), ll(F.col("wrong"), F.col("right")).alias("ll_hom"), mixed("vaf").alias("ll_mix"), mixed("pool_vaf").alias("ll_pool"),
+    )
+    own = F.struct("sample_id", "vaf", "ll_mix")
+    pool = F.struct(F.when(F.col("tissue") == "normal", -1).otherwise(-2).alias("sample_id"), F.col("pool_vaf").alias("vaf"), F.col("ll_pool").alias("ll_mix"))
+    named = by.select(*SITE, "tissue", "analyte", *sums, F.explode(F.when(F.col("analyte") == "dna", F.array(own, pool)).otherwise(F.array(own))).alias("of"))
+    named = named.select(*SITE, "tissue", "analyte", *sums, "of.*")
+    return named.groupBy(*SITE, "sample_id", "tissue", "analyte").agg(*(F.sum(c).alias(c) for c in sums), F.first("vaf").alias("vaf"), F.sum("ll_mix").alias("ll_mix")).select(
+        *SITE, "sample_id", "tissue", "analyte", *sums[:5], "vaf", *sums[5:], "ll_mix"
     )
 
 

@@ -143,4 +143,11 @@ def pile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements(reads(spark, sf_dir), reference(spark, sf_dir))
 
 
+def read_pile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pile's elements, by read."""
+    from ..operators.pileup import read_elements
+
+    return read_elements(reads(spark, sf_dir), reference(spark, sf_dir))
+
+
 PILE_SQL = f"{seqs_sql('benchmark', 'item_id')}, {READS}, {PILE}"

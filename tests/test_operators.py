@@ -468,3 +468,49 @@ def test_windows_without_regions(spark):
     assert sorted((x.contig, x.locus) for x in I.window_regions(r, spots.distinct(), 0).collect()) == [("chr1", 100)]
     got = sorted((x.contig, x.locus, x.rid) for x in I.window_regions(r, spots.distinct(), 0, keep_empty=True).collect())
     assert got == [("chr1", 100, 0), ("chr1", 300, None), ("chr9", 5, None)]
+
+
+def test_read_elements_are_the_pileup_by_read(spark):
+    import random
+
+    rng = random.Random(5)
+    cigars = ["12M", "3S9M", "4M2I6M", "4M3D8M", "3=1X8=", "4M3N8M", "2I10M", "1S2I9M", "3X2I7M", "3X2D9M", "2M1I1M1D8M", "5M2I", "5H12M"]
+    rows = []
+    for i in range(400):
+        seq = "".join(rng.choice("ACGT") for _ in range(rng.choice([12, 12, 12, 5])))
+        rows.append((i, i % 2, rng.choice("cd"), rng.choice([0, 0, 3, 30, 4090, 4999]), seq, [rng.randrange(2, 40) for _ in seq], rng.randrange(1, 60), rng.choice(cigars), i % 3 == 0))
+    rows += [(400, 0, "c", 3, None, None, 9, "4M2I2M2D4M", True), (401, 0, "c", 3, "ACGT", [1, None, 3, 4], 9, "4M", True), (402, 0, "c", 3, "ACGT", [1, 2, 3, 4], 9, "*", True)]
+    reads = spark.createDataFrame(rows, READ)
+    ref = spark.createDataFrame([("c", 0, "".join(rng.choice("ACGT") for _ in range(5005)))], "contig string, offset long, sequence string")
+    names = ["read_id", "sample_id", "contig", "mapq", "is_positive_strand", "loci", "refs", "alts", "quals", "differs"]
+    got = {r.read_id: tuple(r) for r in PU.read_elements(reads, ref).select(*names).collect() if r.loci}
+    want = {r.read_id: tuple(r) for r in PU.by_read(PU.elements(reads, ref)).select(*names).collect()}
+    assert len(want) == 402 and got == want
+
+
+def test_joint_caller_by_read(spark, monkeypatch):
+    """Reads are not shuffled, and candidates that are too many to be sent to all give the same evidence."""
+    import random
+
+    rng = random.Random(6)
+    genome = "".join(rng.choice("ACGT") for _ in range(300))
+    rows = []
+    for i in range(600):
+        start = rng.randrange(0, 260)
+        seq = "".join({"A": "C", "C": "G", "G": "T", "T": "A"}[b] if p % 17 == 3 and i % 3 else b for p, b in enumerate(genome[start : start + 30], start))
+        rows.append((i, i % 2, "c", start, seq, [rng.randrange(2, 40) for _ in seq], rng.randrange(0, 60), rng.choice(["30M", "10M2I18M", "12M3D18M", "3S27M"]), i % 2 == 0))
+    reads = spark.createDataFrame(rows, READ)
+    ref = spark.createDataFrame([("c", 0, genome)], "contig string, offset long, sequence string")
+    samples = spark.createDataFrame([(1, "normal", "dna"), (0, "tumor", "dna")], "sample_id int, tissue string, analyte string")
+    whole = PU.read_elements(reads, ref)
+    key = lambda rows: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows)
+    support = joint.read_support(whole, joint.candidate_alleles(whole))
+    assert "Exchange hashpartitioning" not in support._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "").replace("Exchange hashpartitioning(contig", "join of the reference")
+    evidence = key(joint.sample_evidence(support, samples).collect())
+    by_element = PU.elements(reads, ref)
+    cands = joint.candidate_alleles(by_element)
+    assert len(evidence) > 100 and key(cands.collect()) == key(joint.candidate_alleles(whole).collect())
+    assert key(joint.sample_evidence(joint.read_support(by_element, cands), samples).collect()) == evidence
+    monkeypatch.setattr(joint, "BROADCAST", 3)
+    assert key(joint.read_support(whole, cands).collect()) == key(support.collect())
+    assert key(joint.sample_evidence(joint.read_support(whole, cands), samples).collect()) == evidence
