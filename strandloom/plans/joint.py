@@ -2,7 +2,7 @@
 
 A variant starts right after a position where the read agrees with the reference; it is the run
 of differing positions from there.  All steps are joins and aggregations by site; sufficient
-statistics (counts by allele and quality) replace the reads before likelihoods are summed.
+statistics by candidate and sample are summed where the reads are.
 """
 
 from __future__ import annotations
