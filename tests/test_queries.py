@@ -32,6 +32,38 @@ def test_matches_sql(spark, data_dir, db, name, tmp_path):
     assert rows(got, sorted(got.columns)) == rows(want, sorted(want.columns))
 
 
+@pytest.fixture(scope="module")
+def deep(spark, data_dir, tmp_path_factory):
+    """The tables with twenty times the events, whose ids are shifted."""
+    d = tmp_path_factory.mktemp("deep")
+    for name in os.listdir(data_dir):
+        if name != "events.parquet":
+            os.symlink(f"{data_dir}/{name}", d / name)
+    duckdb.sql(f"copy (select * replace (event_id + k * 1200 as event_id) from '{data_dir}/events.parquet', range(20) r(k)) to '{d}/events.parquet'")
+    return str(d)
+
+
+def rows_shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+@pytest.mark.parametrize("name", ["joint_somatic"])
+def test_joint_queries_shuffle_sums(spark, deep, name, tmp_path):
+    """Where reads are deep, fewer rows are shuffled than reads have elements, over all jobs of a query; its rows are SQL's."""
+    before = rows_shuffled(spark)
+    catalog.QUERIES[name](spark, deep).write.parquet(str(tmp_path / "out"))
+    shuffled = sum(n for stage, n in rows_shuffled(spark).items() if stage not in before)
+    assert 0 < shuffled < catalog.views.pile(spark, deep).count()
+    con = duckdb.connect()
+    for table in os.listdir(deep):
+        con.sql(f"create view {table.removesuffix('.parquet')} as select * from '{deep}/{table}'")
+    got, want = con.sql(f"select * from '{tmp_path}/out/*.parquet'").df(), con.sql(catalog.SQL[name]).df()
+    assert len(want) > 0 and rows(got, sorted(want.columns)) == rows(want, sorted(want.columns))
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_kernels_run(spark, data_dir, name):
     deeper = data_dir.replace("sf0.001", "sf0.01")  # assemblies need reads enough
