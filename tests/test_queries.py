@@ -50,7 +50,7 @@ def rows_shuffled(spark):
     return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
 
 
-@pytest.mark.parametrize("name", ["joint_somatic"])
+@pytest.mark.parametrize("name", ["joint_somatic", "sample_evidence"])
 def test_joint_queries_shuffle_sums(spark, deep, name, tmp_path):
     """Where reads are deep, fewer rows are shuffled than reads have elements, over all jobs of a query; its rows are SQL's."""
     before = rows_shuffled(spark)
